@@ -148,3 +148,23 @@ def batches(iterator: Iterator, *names: str) -> Iterator[tuple]:
 def remove(path: str) -> None:
     if os.path.exists(path):
         os.remove(path)
+
+
+def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of n words, in time that doesn't depend on n; none if there are fewer words."""
+    count = len(hashes) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(len(hashes))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power, dtype=np.uint64)))
+        return mix((sums[n:] - sums[:-n]) * inverse[:count])
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of every `width` neighbours, by doubling."""
+    out, have = values, 1
+    while have < width:
+        step = min(have, width - have)
+        out, have = np.minimum(out[: len(out) - step], out[step:]), have + step
+    return out

@@ -11,6 +11,7 @@ from .jaccard import similar_pairs
 from .length_histogram import length_histogram
 from .mixing import mix_sources
 from .quality import classify
+from .substrings import duplicate_spans
 from .topk import ORACLE as TOP_K_SQL
 from .topk import top_k
 
@@ -31,6 +32,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("_row")
 
