@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import leaks
 from .jaccard import similar_pairs
 from .length_histogram import length_histogram
+from .lines import without_common_blocks
 from .mixing import mix_sources
 from .quality import classify
+from .sharding import assign_shards
 from .substrings import duplicate_spans
 from .topk import ORACLE as TOP_K_SQL
 from .topk import top_k
@@ -40,10 +42,18 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_common_blocks(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents"))
 
