@@ -1,7 +1,7 @@
 """Mixing sources to target weights: fit each source's token budget exactly, by lengths.
 
 Documents are counted by source and exact token length. A source's budget is its weight's share of the total. From every
-length it first takes the same proportion of documents, rounded down; what the budget then lacks is fitted by a bounded
+part of the lengths it first takes the same proportion of documents; what the budget then lacks is fitted by a bounded
 knapsack (a reachability bitset over token sums) from the documents left over; so the sum comes as close to the budget as the
 lengths left over allow, without exceeding it. Which documents fill a length's count is decided by a seeded hash.
 
@@ -23,8 +23,8 @@ from .token_lengths import VOCABULARY, lengths
 
 #: Share of all tokens that is selected when no total is given.
 SHARE = 0.5
-#: Tokens that the knapsack fits exactly at the end; a larger remainder is first reduced to it, longest documents first.
-RESERVE = 1 << 16
+#: Tokens of each budget that are left to the knapsack; what rounding adds to them is first taken off, longest documents first.
+RESERVE = 2048
 
 
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
@@ -32,8 +32,17 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     total = sum(n * c for n, c in counts.items())
     if total <= budget:
         return dict(counts)
-    take = {n: c * budget // total if n else c for n, c in counts.items()}
+    # The same share of every part of the lengths, shortest first: rounding goes over from length to length, as most have few documents.
+    take, seen, used = {0: counts[0]} if 0 in counts else {}, 0, 0
+    for n in sorted(n for n in counts if n):
+        seen += counts[n]
+        take[n] = seen * max(0, budget - RESERVE) // total - used
+        used += take[n]
     lack = budget - sum(n * c for n, c in take.items())
+    while lack < 0:  # too much by the rounding: the shortest document that mends it goes, or else the longest
+        n = min((n for n in take if n >= -lack and take[n]), default=None) or max(n for n in take if take[n])
+        take[n] -= 1
+        lack += n
     for n in sorted((n for n in counts if n), reverse=True):  # a large lack is first brought down to what the bitset spans
         more = max(0, min(counts[n] - take[n], (lack - RESERVE) // n))
         take[n] += more
