@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LEXICAL = r"[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)*"
-CAMEL = r"[A-Z]+(?=[A-Z][a-z]|[0-9_]|$)|[A-Z]?[a-z]+|[0-9]+"
+UP, LOW = "[A-Z]", "[a-z]"
+LEXICAL = r"\w+(?:\.\w+)*"  # Java's word characters are ASCII
+CAMEL = f"{UP}+(?={UP}{LOW}|[0-9_]|$)|{UP}?{LOW}+|[0-9]+"
+LINK, FENCE = r"\x5B([^\x5D]+)\x5D\x28[^\x29]+\x29", "(?s)`{3}(?:python)?\n(.*?)`{3}"
 NAMESPACE = "a1b2c3d4e5f67890abcdef1234567890"
 
 
@@ -43,7 +45,7 @@ def tokens(text: Column) -> Column:
 
 def simple_tokens(text: Column) -> Column:
     """Pieces between anything that isn't a word character, underscores and camel humps; no whole identifiers."""
-    humps = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9]+", " "), r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    humps = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9]+", " "), f"(?<=[a-z0-9])(?={UP})|(?<={UP})(?={UP}{LOW})", " ")
     return F.filter(F.split(F.lower(humps), " "), lambda t: t != "")
 
 
@@ -119,7 +121,7 @@ def slugify(text: Column, words: int = 6, most: int = 40) -> Column:
 
 def preview(text: Column, most: int = 250) -> Column:
     """Links reduced to their words, one line, cut with an ellipsis."""
-    plain = F.trim(F.replace(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\[([^\]]+)\]\([^)]+\)", "$1"), F.lit("\n"), F.lit(" ")))
+    plain = F.trim(F.replace(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), LINK, "$1"), F.lit("\n"), F.lit(" ")))
     return F.when(F.length(plain) > most, F.concat(F.substring(plain, 1, most), F.lit("…"))).otherwise(plain)
 
 
@@ -155,15 +157,15 @@ def rate(hits: Column, total: Column) -> Column:
 
 def fenced_code(text: Column) -> Column:
     """The first fenced block, the whole text where there is none."""
-    found = F.regexp_extract(text, r"(?s)```(?:python)?\n(.*?)```", 1)
-    return F.when(F.regexp_like(text, F.lit(r"(?s)```(?:python)?\n.*?```")), found).otherwise(text)
+    found = F.regexp_extract(text, FENCE, 1)
+    return F.when(F.regexp_like(text, F.lit(FENCE)), found).otherwise(text)
 
 
 def answer_letter(text: Column) -> Column:
     """The letter of a JSON answer, fenced or not; X where it isn't one of A to D."""
-    inner = F.regexp_replace(F.trim(text), r"^```(?:json)?\s*|\s*```$", "")
+    inner = F.regexp_replace(F.trim(text), r"^`{3}(?:json)?\s*|\s*`{3}$", "")
     letter = F.upper(F.trim(F.get_json_object(inner, "$.answer")))
-    return F.when(letter.isin("A", "B", "C", "D", "X"), letter).otherwise(F.lit("X"))
+    return F.when(letter.isin(*"ABCDX"), letter).otherwise(F.lit("X"))
 
 
 def question_text(question: Column, options: Column) -> Column:

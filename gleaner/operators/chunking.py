@@ -42,9 +42,12 @@ def subsections(parts: DataFrame, count: Callable[[Column], Column] | None = Non
     return parts.select(*others, F.posexplode(texts).alias("paragraph_idx", "text"))
 
 
-def windows_of(ends: list[int], line_count: int) -> list[tuple[int, int]]:
+Spans = list[tuple[int, int]]
+
+
+def windows_of(ends: list[int], line_count: int) -> Spans:
     """Greedy windows over statements that end at these lines: one closes once it has FINE_LEAST lines and the next statement would make it longer than FINE_MOST."""
-    out: list[tuple[int, int]] = []
+    out: Spans = []
     start, end, held = 1, 0, 0
     for place, statement_end in enumerate(ends):
         full = held and statement_end - start >= FINE_MOST and end - start + 1 >= FINE_LEAST
@@ -107,7 +110,8 @@ def function_chunks_of(path: str, source: str, module: str, nested: bool = True)
     out, seen = [], set()
 
     def visit(node: ast.AST, parent: str | None) -> None:
-        for child in ast.iter_child_nodes(node):
+        children = [*ast.iter_child_nodes(node)]
+        for child in children:
             if isinstance(child, _FUNCTIONS):
                 span = _start(child), child.end_lineno
                 if span not in seen:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 from gleaner.operators.sparse import plain_unions
 
-NUMBA = {"njit", "jit", "vectorize", "guvectorize", "stencil", "cfunc", "prange"}
+NUMBA = frozenset("cfunc guvectorize jit njit prange stencil vectorize".split())
+Imports = list[tuple[str, list[str]]]
 _DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
@@ -28,20 +29,16 @@ def neighbours(rows: DataFrame, group: str, order: str, value: Column, eligible:
     return marked.withColumn("above", F.last("_v", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -1))).withColumn("below", F.first("_v", ignorenulls=True).over(w.rangeBetween(1, Window.unboundedFollowing))).drop("_v")
 
 
-def imports_of(source: str) -> list[tuple[str, list[str]]]:
+def imports_of(source: str) -> Imports:
     """Every import statement, in one form, with the names it binds; star imports bind none and are left out."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
         return []
     out = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            names = [a.asname or a.name.partition(".")[0] for a in node.names]
-        elif isinstance(node, ast.ImportFrom):
-            names = [a.asname or a.name for a in node.names if a.name != "*"]
-        else:
-            continue
+    for node in filter(lambda n: isinstance(n, ast.Import | ast.ImportFrom), ast.walk(tree)):
+        whole = isinstance(node, ast.Import)
+        names = [a.asname or (a.name.partition(".")[0] if whole else a.name) for a in node.names if a.name != "*"]
         if names:
             out.append((ast.unparse(node), names))
     return out

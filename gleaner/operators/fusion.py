@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.sparse import DIGITS, plain_unions, ranked
 
-CONSTANT = 60
+CONSTANT, WIDTH = 60, 20
 
 
 def prefetch(k: int) -> int:
-    return max(k, 20)
+    """How deep a leg is ranked."""
+    return k if k > WIDTH else WIDTH
 
 
 def fuse(legs: dict[str, DataFrame], k: int, weights: dict[str, float] | None = None, id_col: str = "doc_id", constant: int = CONSTANT, offset: int = 1) -> DataFrame:

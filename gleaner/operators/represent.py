@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import context_text
 
 _TRIPLE = re.compile(r"('''|\"\"\").*?('''|\"\"\")", re.S)
-_WITH_BODY = (ast.Module, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+_WITH_BODY = (ast.ClassDef, ast.Module, ast.AsyncFunctionDef, ast.FunctionDef)
 
 
 def _comment_at(line: str) -> int:
@@ -53,7 +53,7 @@ def code_only(text: str) -> str:
     for line in without_docstrings(text).splitlines(keepends=True):
         body = line.rstrip("\n")
         at = _comment_at(body)
-        lines.append((body if at < 0 else body[:at].rstrip()) + ("\n" if line.endswith("\n") else ""))
+        lines.append((body if at < 0 else body[:at].rstrip()) + line[len(body) :])
     return "".join(lines).strip() or text
 
 

@@ -45,9 +45,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-# -- SQL pieces -----------------------------------------------------------------------------------------------------------------
+# SQL pieces.
 
-LEX = r"[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)*"
+LEX = r"\w+(?:\.\w+)*"
 
 
 def _terms(name: str, source: str, id_col: str, text: str = "text") -> str:
@@ -109,7 +109,7 @@ TOPK = "SELECT query_id, doc_id, score, CAST(r - 1 AS INTEGER) AS rank FROM (SEL
 LONG = ["query_id", "doc_id", "fused_rank", "fused_score"]
 
 
-# -- tokens and postings --------------------------------------------------------------------------------------------------------
+# Tokens and postings.
 
 
 @query(f"WITH {DOC} SELECT doc_id, term, tf FROM doc")
@@ -143,7 +143,7 @@ def stable_hash(spark, sf_dir):
     return terms.withColumn("hash", stable_u32("term"))
 
 
-# -- ranking --------------------------------------------------------------------------------------------------------------------
+# Ranking.
 
 
 @query(f"WITH {DOC}, {ASK}, {_tfidf()} " + TOPK.format(scores="tfidf", k=K))
@@ -308,7 +308,7 @@ def expand_refs(spark, sf_dir):
     return R.expand_refs(start, edges, points, 2)
 
 
-# -- chunks and enrichment ------------------------------------------------------------------------------------------------------
+# Chunks and enrichment.
 
 
 @query("""WITH line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
@@ -384,7 +384,7 @@ def slugify(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.slugify(F.col("text")).alias("slug"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN length(p) > 250 THEN concat(substr(p, 1, 250), '…') ELSE p END AS preview FROM (SELECT doc_id, trim(replace(regexp_replace(trim(text), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), chr(10), ' ')) AS p FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN length(p) > 250 THEN concat(substr(p, 1, 250), '…') ELSE p END AS preview FROM (SELECT doc_id, trim(replace(regexp_replace(trim(text), '\x5B([^\x5D]+)\x5D\x28[^\x29]+\x29', '\1', 'g'), chr(10), ' ')) AS p FROM documents)""")
 def preview(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
@@ -403,7 +403,7 @@ def shorten_path(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.shorten_path(F.col("url"), "://").alias("short"))
 
 
-@query(r"SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?s)```(?:python)?\n.*?```') THEN regexp_extract(t, '(?s)```(?:python)?\n(.*?)```', 1) ELSE t END AS code FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN concat('so:', chr(10), '```python', chr(10), text, chr(10), '``` done') ELSE text END AS t FROM conversations)")
+@query(r"SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?s)`{3}(?:python)?\n.*?`{3}') THEN regexp_extract(t, '(?s)`{3}(?:python)?\n(.*?)`{3}', 1) ELSE t END AS code FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN concat('so:', chr(10), '```python', chr(10), text, chr(10), '``` done') ELSE text END AS t FROM conversations)")
 def fenced_code(spark, sf_dir):
     talk = table(spark, sf_dir, "conversations")
     wrapped = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("so:\n```python\n"), "text", F.lit("\n``` done"))).otherwise(F.col("text"))
@@ -424,7 +424,7 @@ def token_percentiles(spark, sf_dir):
     return n.agg(p.alias("p"), F.max("n").alias("longest"), F.count_if(F.col("n") > 512).alias("over_512"), F.count_if(F.col("n") > 450).alias("over_450")).select(F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), "longest", "over_512", "over_450")
 
 
-# -- store ----------------------------------------------------------------------------------------------------------------------
+# Store.
 # The stored state stands for an earlier run: the labelled documents, those of poor quality with another text. The sources now have all but Spanish ones.
 
 
@@ -480,7 +480,7 @@ def invariants(spark, sf_dir):
     return V.invariants({"unlabelled": V.dangling(t("documents"), "doc_id", t("labels"), "doc_id"), "orphan_lines": V.dangling(t("lineitem"), "l_orderkey", t("orders"), "o_orderkey"), "orphan_orders": V.dangling(t("orders"), "o_custkey", t("customer"), "c_custkey")})
 
 
-# -- events ---------------------------------------------------------------------------------------------------------------------
+# Events.
 
 
 @query("SELECT user_id, event_type, max_by(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
@@ -513,7 +513,7 @@ def session_mode(spark, sf_dir):
     return E.most_appearing(E.appearances(found, "event_type", "user_id"), "event_type").select("session_id", "event_type", "n")
 
 
-# -- evaluation -----------------------------------------------------------------------------------------------------------------
+# Evaluation.
 # The targets: documents that have an item's whole text.
 
 _TARGETS = "targets AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -601,7 +601,7 @@ def population_rate(spark, sf_dir):
     return V.population(v.withColumn("space", F.col("label").cast("string")), v.count())
 
 
-# -- Python code: a small tree of sources from the rows of `part` -----------------------------------------------------------------
+# Python code: a small tree of sources from the rows of `part`.
 
 
 def _files(spark, sf_dir) -> DataFrame:

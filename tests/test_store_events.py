@@ -63,7 +63,7 @@ def test_columnar_export(spark):
 
 def test_papers_and_sources(spark, tmp_path):
     (tmp_path / "one.md").write_text(" text one\n")
-    (tmp_path / "one.json").write_text(json.dumps({"section": "Intro", "math_terms": ["kernel"]}))
+    (tmp_path / "one.json").write_text(json.dumps({"math_terms": ["kernel"], "section": "Intro"}))
     (tmp_path / "two.md").write_text("text two")
     (tmp_path / "empty.md").write_text(" \n")
     got = sorted((r["text"], r["section"], r["math_terms"], r["source"]) for r in S.papers(spark, str(tmp_path)).collect())
