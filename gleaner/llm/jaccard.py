@@ -339,7 +339,8 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     tiled = blocked.join(tiles, "centre").select("centre", F.col("doc_a").alias("p_a"), F.col("doc_b").alias("p_b"), F.least(part("doc_a"), part("doc_b")).alias("i"), F.greatest(part("doc_a"), part("doc_b")).alias("j"))
     tiled = materialise(tiled, "tiles")
     wanted = tiled.select("centre", "i", "j", F.explode(F.array("p_a", "p_b")).alias("s_doc")).distinct()
-    rows = sets.select(F.col("doc_id").alias("s_doc"), F.col("size").alias("s_size"), F.col("grams").alias("s_grams"))
+    # Merged at every size: broadcast while the candidates are few, this join would only begin to shuffle as they grow.
+    rows = sets.select(F.col("doc_id").alias("s_doc"), F.col("size").alias("s_size"), F.col("grams").alias("s_grams")).hint("merge")
     placed = wanted.join(rows, "s_doc").select(F.col("centre").alias("s_centre"), F.col("i").alias("s_i"), F.col("j").alias("s_j"), "s_doc", "s_size", "s_grams")
     exact = tiled.groupBy("centre", "i", "j").cogroup(placed.groupBy("s_centre", "s_i", "s_j")).applyInArrow(overlaps(threshold), "doc_a long, doc_b long, overlap long, jaccard double")
     exact = exact.groupBy("doc_a", "doc_b").agg(F.max_by(F.struct("overlap", "jaccard"), "jaccard").alias("best")).select("doc_a", "doc_b", "best.overlap", "best.jaccard")
