@@ -32,7 +32,9 @@ from .common import buckets_for, materialise, mix, ngrams, text_bytes, words_of
 
 NGRAM, THRESHOLD = 5, 0.5
 #: N-grams in a block of columns, bytes of text in a block of rows, documents in a tile of the last product.
-COLUMNS, ROWS, TILE = 4_000_000, 6_000_000, 3000
+COLUMNS, ROWS, TILE = 1_500_000, 6_000_000, 3000
+#: Blocks of columns that the upper 16 bits of an n-gram tell apart; beyond them the next 8 bits split each block.
+SPLIT = 1 << 16
 BLOCKS = "bucket int, block long, docs binary, grams binary"
 EPS = 1e-9
 
@@ -93,12 +95,19 @@ def incidence(docs: DataFrame, n: int, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null").mapInArrow(cut, BLOCKS)
 
 
+def _split(buckets: int) -> tuple[int, int]:
+    """Blocks by the upper bits, and parts of each."""
+    return min(buckets, SPLIT), min(256, -(-buckets // SPLIT))
+
+
 def _matrix_block(block: int, rows: list, sizes: list, grams: list, buckets: int) -> pa.RecordBatch:
     every, row = np.concatenate(grams), np.repeat(np.arange(len(rows), dtype=np.uint32), sizes)
     head = np.array(rows, "<i8").tobytes() + np.array(sizes, "<i8").tobytes()
     out = {"bucket": [-1 - block % buckets], "block": [block], "docs": [head], "grams": [b""]}
     small = np.uint16 if len(rows) < 1 << 16 else np.uint32
-    for b, at in _by_bucket((every >> np.uint64(48)).astype(np.int64) * buckets >> 16, buckets):
+    whole, parts = _split(buckets)
+    bucket = ((every >> np.uint64(48)).astype(np.int64) * whole >> 16) * parts + (((every >> np.uint64(40)) & np.uint64(255)).astype(np.int64) * parts >> 8)
+    for b, at in _by_bucket(bucket, whole * parts):
         out["bucket"].append(b)
         out["block"].append(block)
         out["docs"].append(row[at].astype(small).tobytes())
@@ -142,7 +151,7 @@ def shared_columns(part: pa.Table) -> pa.Table:
 SETS = "doc_id long, size long, sig long, grams binary"
 
 
-def bounded_rows(threshold: float):
+def bounded_rows(threshold: float, parts: int = 1):
     def keep(part: pa.Table) -> pa.Table:
         """A block of rows, with its n-grams in shared columns: documents that can have a partner, their n-grams rarest first."""
         ids = sizes = None
@@ -152,7 +161,7 @@ def bounded_rows(threshold: float):
                 ids, sizes = np.frombuffer(d, "<i8").reshape(2, -1)
             else:
                 v = _unpack6(g)
-                gram.append(v | np.uint64(bucket) << np.uint64(48))
+                gram.append(v | np.uint64(bucket // parts) << np.uint64(48))
                 row.append(_rows(d, len(v)).astype(np.int64))
                 often.append(np.frombuffer(o, np.uint16))
         out = {"doc_id": [], "size": [], "sig": [], "grams": []}
@@ -321,13 +330,13 @@ def overlaps(threshold: float):
 
 def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     _, size = text_bytes(docs)
-    buckets = min(1 << 15, buckets_for(size / 6, COLUMNS))
+    buckets = buckets_for(size / 6, COLUMNS)
     blocks = incidence(docs, n, buckets)
     back = blocks.groupBy("bucket").applyInArrow(shared_columns, SHARED)
-    sets = materialise(back.groupBy("block").applyInArrow(bounded_rows(threshold), SETS), "sets")
+    sets = materialise(back.groupBy("block").applyInArrow(bounded_rows(threshold, _split(buckets)[1]), SETS), "sets")
     alike = sets.groupBy("sig", "size").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
     copies = materialise(alike.filter(F.size("ids") > 1).select(F.col("ids")[0].alias("c_doc"), "ids", F.col("size").alias("c_size")), "copies")
-    few = max(6, buckets // 4)
+    few = min(SPLIT, max(6, buckets // 8))
     pairs = prefixes(sets, threshold, few).groupBy("bucket").applyInArrow(candidates(threshold), "doc_a long, doc_b long").distinct()
     pairs = materialise(pairs, "candidates")
     # Near copies mostly share their least neighbour, so a block around it has most of their pairs, and their sets once.

@@ -81,3 +81,11 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i + 1, i) for i in range(40)] + [(200, i) for i in range(100, 110)] + [(300, 301), (301, 300)]
     got = dict(map(tuple, jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in [*range(100, 110), 200]}, 300: 300, 301: 300}
+
+
+def test_more_blocks_of_columns_than_upper_bits_tell_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SPLIT", 4)
+    monkeypatch.setattr(jaccard, "buckets_for", lambda *_: 11)
+    rows = corpus(8)
+    got = expanded(jaccard.similar_pairs(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    assert got == brute(rows, 5, 0.5)
