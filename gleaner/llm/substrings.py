@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import Words, buckets_for, rolling, row_key, sliding_min, text_bytes, words_of
 
 MIN_WORDS, ANCHOR = 50, 20
-#: Runs of words in a block of the index.
-BLOCK = 4_000_000
+#: Runs of words in a block of the index; bytes of text worked on at once.
+BLOCK, TEXT = 4_000_000, 2_000_000
 _HEAD = np.dtype([("doc", "<i8"), ("row", "<i8")])
 _RUN = np.dtype([("head", "<u4"), ("at", "<u4"), ("length", "<u4")])
 _PACKED = "bucket int, count int, data binary"
@@ -69,7 +69,7 @@ def _index(length: int, anchor: int, buckets: int) -> Callable:
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
-            for first, _, words in words_of(batch.column(1), 6_000_000):
+            for first, _, words in words_of(batch.column(1), TEXT):
                 doc, _, least = anchors(words, length, anchor)
                 order = np.lexsort((least, doc))
                 doc, least = doc[order], least[order]
@@ -114,7 +114,7 @@ def _lookups(length: int, anchor: int, buckets: int) -> Callable:
     def lookups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
-            for first, end, words in words_of(batch.column(1), 6_000_000):
+            for first, end, words in words_of(batch.column(1), TEXT):
                 doc, at, least = anchors(words, length, anchor)
                 bounds = np.searchsorted(doc, np.arange(end - first + 1))
                 shared = np.zeros(len(doc), bool)
