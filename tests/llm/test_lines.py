@@ -68,3 +68,32 @@ def test_defined_results(spark):
     assert got == [(0, "a\nb", 0), (1, "a\nb\n\nc", 0), (2, "x", 3), (2, "x", 3), (4, "", 0), (5, "new", 2), (7, "first", 3000)]
     assert without_common_blocks(docs).count() == len(rows)
     assert without_common_blocks(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_blocks_of_frequent_lines_leave_later_documents(spark):
+    """Against a brute force without the limit: no document keeps two lines in a row that an earlier one has in a row."""
+    passage = [f"passage {k}" for k in range(4)]
+    rows = []
+    for i in range(150):
+        own = [f"own {i} {k}" for k in range(3)]
+        if i % 5 == 0:
+            rows.append((i, "copied a\n\ncopied b\ncopied c"))
+        elif i % 5 == 1:
+            rows.append((i, "one line"))
+        elif i % 5 == 2:
+            rows.append((i, "\n".join([own[0], *passage, *own[1:]])))
+        elif i % 5 == 3:
+            rows.append((i, "\n".join([*passage[1:3], *own, *passage[1:3]])))
+        else:
+            rows.append((i, "\n".join([own[0], passage[i % 4], *own[1:]])))
+    got = {r["doc_id"]: r["text"] for r in without_common_blocks(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    seen, want = set(), {}
+    for i, t in rows:
+        lines = [x for x in t.split("\n") if x]
+        blocks = [(k, k + 1) for k in range(len(lines) - 1)] or [(0, 0)]
+        names = {b: (lines[b[0]], lines[b[1]], len(lines) == 1) for b in blocks}
+        gone = {k for b in blocks if names[b] in seen for k in b}
+        want[i] = [x for k, x in enumerate(lines) if k not in gone]
+        seen |= set(names.values())
+    assert {i: [x for x in t.split("\n") if x] for i, t in got.items()} == want
+    assert want[5] == want[6] == [] and want[4] == rows[4][1].split("\n") and want[7] == [f"own 7 {k}" for k in range(3)]
