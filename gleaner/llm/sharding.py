@@ -3,11 +3,11 @@
 `assign_shards(docs)` has a row for each distinct doc_id: doc_id, shard (0 to SHARDS - 1). No shard has more than (1 + SLACK) / SHARDS of them,
 rounded up, plus one for every RANKED documents. Sizes are numbers of documents.
 
-1. Links: a document's sketch is the SKETCH least hashes of its word n-grams. The documents that have a hash are linked in
-   the order of doc_id, each with the next: a hash with m documents makes m - 1 links, however many share it. A link weighs as many hashes as
-   it stands for.
+1. Links: a document's sketch is the SKETCH least hashes of its word n-grams. All documents that have a hash are linked with each other, once for
+   each hash. Links aren't written out: a hash with m documents has m rows, however many share it.
 2. Documents are dealt to shards evenly, in a seeded order.
-3. In each of ROUNDS rounds a half of the documents, another one each time, wishes to be where most of its links' weight is, if that is more than
+3. In each round, documents are counted by hash and shard, at most SHARDS rows for each hash, and a document's links to a shard are the sum over
+   its hashes, without itself. In each of ROUNDS rounds a half of the documents, another one each time, wishes to be where most of its links' weight is, if that is more than
    in its own shard. From shard i to j, as many go as wish to go from j to i, and besides an equal share of j's free room; those that gain
    most go first. So sizes keep their bounds while fewer links are cut.
 
@@ -55,14 +55,17 @@ def _sketch(n: int, size: int):
     return sketch
 
 
-def links(docs: DataFrame, n: int = NGRAM, size: int = SKETCH) -> DataFrame:
-    """a, b, weight for each link, in both directions."""
+def holders(docs: DataFrame, n: int = NGRAM, size: int = SKETCH) -> DataFrame:
+    """doc, hash for each hash that several documents have."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     sketches = named.mapInArrow(_sketch(n, size), "doc long, hash long").distinct()
+    return sketches.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("hash"))).filter("m > 1").select("doc", "hash")
+
+
+def links(docs: DataFrame, n: int = NGRAM, size: int = SKETCH) -> DataFrame:
+    """a, b, weight of links between neighbours by doc_id alone, in both directions: a sample to count cut links by, which has m - 1 for a hash with m documents."""
     follows = F.lead("doc").over(Window.partitionBy("hash").orderBy("doc"))
-    # Hashes of one document, nearly all of them, end before the sort of the window.
-    several = sketches.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("hash"))).filter("m > 1")
-    chained = several.select(F.col("doc").alias("a"), follows.alias("b")).filter("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    chained = holders(docs, n, size).select(F.col("doc").alias("a"), follows.alias("b")).filter("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
     return chained.unionByName(chained.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
 
@@ -80,15 +83,17 @@ def _awake(round_: int) -> Column:
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
-    edges = materialise(links(docs), "links")
+    held = materialise(holders(docs), "holders")
     ids = docs.select(F.col("doc_id").cast("long").alias("d")).filter("d is not null").distinct().count()
     labels = materialise(deal(docs, shards, ids), "shards")
     most = int(np.ceil(ids * (1 + slack) / shards))
     spark = docs.sparkSession
     for k in range(rounds):
         sizes = {r["shard"]: r["count"] for r in labels.groupBy("shard").count().collect()}
-        theirs = labels.select(F.col("doc").alias("b"), F.col("shard").alias("there"))
-        pull = edges.join(theirs, "b").groupBy("a", "there").agg(F.sum("weight").alias("w"))
+        placed = held.join(labels, "doc").select(F.col("doc").alias("a"), "hash", "shard")
+        votes = placed.groupBy("hash", F.col("shard").alias("there")).agg(F.count(F.lit(1)).alias("n"))
+        others = placed.join(votes, "hash").select("a", "there", (F.col("n") - (F.col("there") == F.col("shard")).cast("long")).alias("n")).filter("n > 0")
+        pull = others.groupBy("a", "there").agg(F.sum("n").alias("w"))
         best = pull.groupBy("a").agg(F.max_by(F.struct("there", "w"), F.struct("w", -F.col("there"))).alias("best"), F.collect_list(F.struct("there", "w")).alias("all"))
         own = F.aggregate(F.filter("all", lambda x: x["there"] == F.col("shard")), F.lit(0).cast("long"), lambda s, x: s + x["w"])
         wishes = best.join(labels, best["a"] == labels["doc"]).filter(_awake(k)).select("doc", F.col("shard").alias("i"), F.col("best.there").alias("j"), (F.col("best.w") - own).alias("gain")).filter("gain > 0")

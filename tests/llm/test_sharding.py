@@ -30,3 +30,10 @@ def test_defined_results(spark):
     assert len({r["shard"] for r in full.filter("doc_id = 3").collect()}) == 1 and full.filter("shard is null").count() == 0
     empty = spark.createDataFrame([], SCHEMA)
     assert assign_shards(empty).collect() == sharded_documents(empty).collect() == []
+
+
+def test_a_large_group_meets(spark):
+    rows = [(i, " ".join(f"copied {k}" for k in range(40)) if i % 4 == 0 else " ".join(f"own {i} {k}" for k in range(10))) for i in range(400)]
+    got = {r["doc_id"]: r["shard"] for r in assign_shards(spark.createDataFrame(rows, SCHEMA).repartition(3), 4, 1.0).collect()}
+    assert len(got) == 400 and max(Counter(got.values()).values()) <= 201
+    assert max(Counter(got[i] for i in range(0, 400, 4)).values()) >= 90
