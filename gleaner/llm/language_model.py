@@ -1,22 +1,24 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted over the whole corpus and stored as sorted hash arrays.
+"""LM scoring: an interpolated modified Kneser-Ney model of any order, counted over the whole corpus and stored as sorted hash arrays.
 
-`perplexities(docs)` trains on docs and scores them: a row for every row of docs with doc_id, words, log_prob (natural logarithm, of the words and
+`perplexities(docs, order=n)` trains on docs and scores them: a row for every row of docs with doc_id, words, log_prob (natural logarithm, of the words and
 the end mark) and perplexity (exp of minus log_prob for each of these).
 
-1. Each task counts the word pairs of its own documents, with marks for their beginning and end, and sends them to blocks by the pair's hash, so that
-   even the pairs of the commonest word are spread. A block sums them and writes sorted pair hashes and counts as two arrays. It passes on, for each
-   word, what Kneser-Ney needs of it: how often it is followed, by how many words once, twice, and more often, and how many words it follows.
-2. Blocks by words sum these and write them as sorted hash arrays too. Discounts come from the counts of counts of both orders.
-3. Workers map the arrays into memory and look up the sorted distinct pairs of some MB of text at a time. Nothing is loaded or broadcast, so the model may
+1. Each task counts the n-grams of its own documents, with marks for their beginning and end, and sends them to blocks by the hash of their last two
+   words, so that even the n-grams of the commonest word are spread. A block sums them and writes sorted hashes and counts as two arrays. It passes on,
+   for each n-gram one word shorter, what Kneser-Ney needs of it: how often it is followed, by how many words once, twice, and more often, and how
+   many words it follows.
+2. Each shorter order is summed and written in the same way, down to words: there the count is the number of different words before. An n-gram that
+   begins with the document has its own count. Discounts come from the counts of counts of each order.
+3. Workers map the arrays into memory and look up the sorted distinct n-grams of some MB of text at a time. Nothing is loaded or broadcast, so the model may
    be larger than a worker; the operating system keeps what is used.
 
-The arrays are in the folder that all executors share; a block that is made again replaces its files by equal ones. p(w|v) is
-(c(vw) - D(c)) / c(v) + gamma(v) p(w), and p(w) is (k(w) - D'(k)) / K + gamma' / V for k(w) different words before w. V counts the words, the end mark
-and one unknown word. A word that never occurred has k = 0, after a word that never occurred p is p(w).
+The arrays are in the folder that all executors share; a block that is made again replaces its files by equal ones. p(w|h) is
+(c(hw) - D(c)) / c(h) + gamma(h) p(w|h') for h' without the first word of h, and p(w) is (k(w) - D'(k)) / K + gamma' / V for k(w) different words before w.
+V counts the words, the end mark and one unknown word. After an h that never occurred p(w|h) is p(w|h'); a word that never occurred has k = 0. The first
+words of a document have shorter histories, which begin with the mark.
 
-Words are hashed to 40 bits, pairs to 64. Null texts and texts without words aren't counted; their row has 0 words, log_prob 0 and no perplexity.
-Repeated rows count each time. Rows without doc_id count and have rows. An empty table gives no rows. Only doc_id and text are read. Order 2 is what fits: pairs
-take about 1.6 times the input (Parquet) to shuffle and as much again to store, triples more than the 4 times that the check allows.
+Words are hashed to 40 bits, n-grams to 64. Null texts and texts without words aren't counted; their row has 0 words, log_prob 0 and no perplexity.
+Repeated rows count each time. Rows without doc_id count and have rows. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -34,30 +36,29 @@ from pyspark.sql import functions as F
 
 from .common import Words, buckets_for, local_path, mix, shared_folder, text_bytes, words_of
 
-#: Words of text for each block of pairs; bytes of text that are counted together.
+#: N-grams for each block, words of text for each order above the first; bytes of text that are counted together.
 BLOCK, COUNTED = 4_000_000, 12_000_000
 BEGIN, END = np.uint64(1), np.uint64(2)
 _MASK = np.uint64((1 << 40) - 1)
-_WORD = np.dtype([("word", "<u8"), ("total", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("before", "<u4")])
+#: What is known of an n-gram below the highest order; the last one is its count.
+_FACTS = ("total", "n1", "n2", "n3", "before")
 _PACKED = "bucket int, data binary"
-_COUNTS = "bucket int, n1 long, n2 long, n3 long, n4 long, total long, words long"
 
 
 class Model(NamedTuple):
-    """Where the arrays are, in how many blocks, and the discounts of both orders."""
+    """Where the arrays are, in how many blocks, the discounts of each order from words up, and what the words' estimate needs."""
 
     folder: str
-    pair_blocks: int
-    word_blocks: int
-    discounts: tuple[float, float, float]
-    lower: tuple[float, float, float]
+    order: int
+    blocks: int
+    discounts: list[tuple[float, float, float]]
     lower_gamma: float
     kinds: int
     vocabulary: int
 
 
-def pairs_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Previous word, word and document of every event; texts without words have none."""
+def grams_of(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of words for each place in an n-gram, and the document, of every event; marks fill what is missing. Texts without words have none."""
     size = np.diff(words.bounds)
     used = np.flatnonzero(size)
     ends = np.cumsum(size[used] + 1)
@@ -67,10 +68,12 @@ def pairs_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.ones(total, bool)
     inside[ends - 1] = False
     word[inside] = own
-    before = np.empty(total, np.uint64)
-    before[1:] = word[:-1]
-    before[ends - size[used] - 1] = BEGIN
-    return before, word, np.repeat(used, size[used] + 1)
+    place = np.arange(total) - np.repeat(ends - size[used] - 1, size[used] + 1)
+    grams = np.full((order, total), BEGIN)
+    for back in range(order):
+        has = np.flatnonzero(place >= back)
+        grams[order - 1 - back, has] = word[has - back]
+    return grams, np.repeat(used, size[used] + 1)
 
 
 def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -78,6 +81,26 @@ def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
+def _key(grams: np.ndarray) -> np.ndarray:
+    key = grams[0]
+    for word in grams[1:]:
+        key = pair_hash(key, word)
+    return key
+
+
+def _block(grams: np.ndarray, blocks: int) -> np.ndarray:
+    return _top(mix(grams[0]) if len(grams) == 1 else pair_hash(grams[-2], grams[-1]), blocks)
+
+
+def _whole(grams: np.ndarray) -> np.ndarray:
+    """Not filled up with more than the one mark that a beginning has."""
+    return ~((grams[0] == BEGIN) & (grams[1] == BEGIN)) if len(grams) > 1 else np.ones(grams.shape[1], bool)
+
+
+def _blocks_at(blocks: int, level: int) -> int:
+    return blocks if level > 1 else max(6, blocks // 3)
+
+
 def _pack5(values: np.ndarray) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
@@ -96,37 +119,51 @@ def _packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["bucket", "data"])
 
 
-def _count_pairs(blocks: int):
+def _count_grams(order: int, blocks: int):
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
+
+        def rows() -> pa.RecordBatch:
+            grams, counts = _summed(np.concatenate(held, axis=1), None)
+            return _packed(_rows(grams, counts, _blocks_at(blocks, order)))
+
         for batch in batches:
             for _, _, words in words_of(batch.column(0)):
-                held.append(pairs_of(words)[:2])
+                held.append(grams_of(words, order)[0])
                 size += len(words.data)
                 if size >= COUNTED:
-                    yield _pair_rows(held, blocks)
+                    yield rows()
                     held, size = [], 0
         if held:
-            yield _pair_rows(held, blocks)
+            yield rows()
 
     return count
 
 
-def _pair_rows(held: list[tuple[np.ndarray, np.ndarray]], blocks: int) -> pa.RecordBatch:
-    """A row for each block: number of pairs, the pairs (5 + 5 bytes), and where a count isn't 1, its place and itself."""
-    before, word = (np.concatenate(x) for x in zip(*held))
-    key = pair_hash(before, word)
-    key, at, count = np.unique(key, return_index=True, return_counts=True)
-    before, word = before[at], word[at]
-    bounds = np.searchsorted(_top(key, blocks), np.arange(blocks + 1))
+def _summed(grams: np.ndarray, values: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in the order of their hashes, and the sums of their rows of values (by default, how often they occur)."""
+    key, at, of = np.unique(_key(grams), return_index=True, return_inverse=True)
+    values = np.ones((1, grams.shape[1])) if values is None else values
+    return grams[:, at], np.stack([np.bincount(of, v, len(key)) for v in values]).astype(np.int64)
+
+
+def _rows(grams: np.ndarray, values: np.ndarray, blocks: int) -> list[tuple[int, bytes]]:
+    """A row for each block: number of n-grams, 5 bytes for each word, 4 for each value, by columns."""
+    bucket = _block(grams, blocks)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(blocks + 1))
     rows = []
     for b in np.flatnonzero(np.diff(bounds)).tolist():
-        own = slice(bounds[b], bounds[b + 1])
-        more = np.flatnonzero(count[own] > 1)
-        data = np.int64(bounds[b + 1] - bounds[b]).tobytes() + _pack5(before[own]) + _pack5(word[own]) + more.astype("<u4").tobytes() + count[own][more].astype("<u4").tobytes()
-        rows.append((b, data))
-    return _packed(rows)
+        at = order[bounds[b] : bounds[b + 1]]
+        rows.append((b, b"".join([np.int64(len(at)).tobytes(), *(_pack5(g[at]) for g in grams), *(np.minimum(v[at], 2**32 - 1).astype("<u4").tobytes() for v in values)])))
+    return rows
+
+
+def _unpacked(data: bytes, level: int) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    raw = np.frombuffer(data, np.uint8, 5 * n * level, 8)
+    return _unpack5(raw.reshape(-1, 5)).reshape(level, n), np.frombuffer(data, "<u4", offset=8 + 5 * n * level).reshape(-1, n)
 
 
 def _save(folder: str, name: str, array: np.ndarray) -> None:
@@ -142,60 +179,30 @@ def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == n).sum()) for n in (1, 2, 3, 4)]
 
 
-def _store_pairs(folder: str, word_blocks: int):
-    def store(part: pa.Table) -> pa.Table:
-        befores, words, counts = [], [], []
-        for data in part.column("data").to_pylist():
-            n = int(np.frombuffer(data, np.int64, 1)[0])
-            raw = np.frombuffer(data, np.uint8, 10 * n, 8)
-            befores.append(_unpack5(raw[: 5 * n].reshape(-1, 5)))
-            words.append(_unpack5(raw[5 * n :].reshape(-1, 5)))
-            rest = np.frombuffer(data, "<u4", offset=8 + 10 * n)
-            c = np.ones(n, np.int64)
-            c[rest[: len(rest) // 2]] = rest[len(rest) // 2 :]
-            counts.append(c)
-        before, word, count = np.concatenate(befores), np.concatenate(words), np.concatenate(counts)
-        key, at, of = np.unique(pair_hash(before, word), return_index=True, return_inverse=True)
-        count = np.bincount(of, count, len(key)).astype(np.int64)
-        before, word = before[at], word[at]
-        block = part.column("bucket")[0].as_py()
-        _save(folder, f"pairs-{block}", key)
-        _save(folder, f"counts-{block}", np.minimum(count, 2**32 - 1).astype("<u4"))
-        return pa.Table.from_batches([_packed([(-1, np.array([*_counts_of_counts(count), len(key)], np.int64).tobytes()), *_word_rows(before, word, count, word_blocks)])])
-
-    return store
-
-
-def _word_rows(before: np.ndarray, word: np.ndarray, count: np.ndarray, blocks: int) -> list[tuple[int, bytes]]:
-    names, of = np.unique(np.concatenate((before, word)), return_inverse=True)
-    out = np.zeros(len(names), _WORD)
-    out["word"] = names
-    v = of[: len(before)]
-    out["total"] = np.bincount(v, count, len(names))
-    for name, has in (("n1", count == 1), ("n2", count == 2), ("n3", count > 2)):
-        out[name] = np.bincount(v[has], minlength=len(names))
-    out["before"] = np.bincount(of[len(before) :], minlength=len(names))
-    bucket = _top(mix(names), blocks)
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(blocks + 1))
-    return [(b, out[order[bounds[b] : bounds[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(bounds)).tolist()]
+def _store(folder: str, level: int, blocks: int):
+    """Writes a block of n-grams and passes on rows for those one word shorter; rows of bucket -m have the counts of counts of order m."""
 
-
-def _store_words(folder: str):
     def store(part: pa.Table) -> pa.Table:
         bucket = part.column("bucket")[0].as_py()
-        if bucket < 0:  # counts of counts of pairs
-            total = sum(np.frombuffer(d, np.int64) for d in part.column("data").to_pylist())
-            values = [bucket, *total.tolist(), 0]
-        else:
-            rows = np.concatenate([np.frombuffer(d, _WORD) for d in part.column("data").to_pylist()])
-            words, of = np.unique(rows["word"], return_inverse=True)
-            _save(folder, f"words-{bucket}", words)
-            table = np.column_stack([np.bincount(of, rows[n], len(words)) for n in ("total", "n1", "n2", "n3", "before")])
-            _save(folder, f"facts-{bucket}", table.astype("<f8"))
-            k = table[:, 4]
-            values = [bucket, *_counts_of_counts(k), int(k.sum()), int((k > 0).sum())]
-        return pa.table({c.split()[0]: pa.array([v], pa.int32() if c.endswith("int") else pa.int64()) for c, v in zip(_COUNTS.split(", "), values)})
+        parts = part.column("data").to_pylist()
+        if bucket < 0:
+            return pa.Table.from_batches([_packed([(bucket, sum(np.frombuffer(d, np.int64) for d in parts).tobytes())])])
+        unpacked = [_unpacked(d, level) for d in parts]
+        grams, values = _summed(*(np.concatenate(x, axis=1) for x in zip(*unpacked)))
+        whole = _whole(grams)
+        count = values[-1]
+        _save(folder, f"grams{level}-{bucket}", _key(grams)[whole])
+        _save(folder, f"facts{level}-{bucket}", np.minimum(values[:, whole], 2**32 - 1).astype("<u4").T)
+        own = count[whole]
+        rows = [(-level, np.array([*_counts_of_counts(own), own.sum(), (own > 0).sum()], np.int64).tobytes())]
+        if level > 1:
+            # As a beginning: total and numbers of words once, twice, more often after it. As an end: words before it, or its own count after a mark.
+            begins = np.stack([own, own == 1, own == 2, own > 2, np.zeros_like(own)])
+            ends = np.zeros((len(_FACTS), len(count)), np.int64)
+            ends[-1] = np.where(whole, 1, count)
+            shorter = _summed(np.concatenate((grams[:-1, whole], grams[1:]), axis=1), np.concatenate((begins, ends), axis=1))
+            rows += _rows(*shorter, _blocks_at(blocks, level - 1))
+        return pa.Table.from_batches([_packed(rows)])
 
     return store
 
@@ -210,24 +217,24 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(d if 0 < d < i else u for i, (d, u) in enumerate(zip(found, usual), 1))
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = 2) -> Model:
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
-    shared = shared_folder(spark, "model")
-    folder = local_path(shared)
+    folder = local_path(shared_folder(spark, "model"))
     _, size = text_bytes(docs)
-    pair_blocks = min(1 << 15, buckets_for(size / 6.5, BLOCK))
-    word_blocks = max(6, pair_blocks // 3)
+    blocks = min(1 << 15, buckets_for(size / 6.5 * (order - 1), BLOCK))
     texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
-    words = texts.mapInArrow(_count_pairs(pair_blocks), _PACKED).groupBy("bucket").applyInArrow(_store_pairs(folder, word_blocks), _PACKED)
-    rows = words.groupBy("bucket").applyInArrow(_store_words(folder), _COUNTS).collect()  # a row for each block of words
-    pairs = next((r for r in rows if r["bucket"] < 0), None)
-    of = [r for r in rows if r["bucket"] >= 0]
-    low = [sum(r[f"n{i}"] for r in of) for i in (1, 2, 3, 4)]
-    kinds, vocabulary = sum(r["total"] for r in of), sum(r["words"] for r in of) + 1
-    lower = discounts(*low)
-    seen = sum(r["words"] for r in of)
-    left = lower[0] * low[0] + lower[1] * low[1] + lower[2] * (seen - low[0] - low[1])
-    return Model(folder, pair_blocks, word_blocks, discounts(*(pairs[f"n{i}"] for i in (1, 2, 3, 4))) if pairs else (0.5, 1.0, 1.5), lower, left / kinds if kinds else 1.0, kinds, vocabulary)
+    rows = texts.mapInArrow(_count_grams(order, blocks), _PACKED)
+    for level in range(order, 0, -1):
+        rows = rows.groupBy("bucket").applyInArrow(_store(folder, level, blocks), _PACKED)
+    sums = np.zeros((order + 1, 6), np.int64)
+    for r in rows.collect():  # a row for each block of words and each order
+        sums[-r["bucket"]] += np.frombuffer(r["data"], np.int64)
+    found = [discounts(*map(int, sums[level, :4])) for level in range(1, order + 1)]
+    n1, n2, _, _, kinds, seen = map(int, sums[1])
+    left = found[0][0] * n1 + found[0][1] * n2 + found[0][2] * (seen - n1 - n2)
+    return Model(folder, order, blocks, found, left / kinds if kinds else 1.0, kinds, seen + 1)
 
 
 @lru_cache(maxsize=4096)
@@ -237,41 +244,46 @@ def _mapped(path: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r")
 
 
-def _find(model: Model, name: str, value: str, kind: str, keys: np.ndarray, blocks: int, width: int = 1) -> np.ndarray:
-    """What is stored for sorted keys, 0 where there is nothing."""
+def _find(model: Model, grams: np.ndarray) -> np.ndarray:
+    """The facts that are stored for n-grams, a row for each; 0 where there is nothing."""
+    level, blocks = len(grams), _blocks_at(model.blocks, len(grams))
+    width = 1 if level == model.order else len(_FACTS)
+    keys, first, of = np.unique(_key(grams), return_index=True, return_inverse=True)
     out = np.zeros((len(keys), width))
-    hashed = keys if name == "pairs" else mix(keys)
-    order = np.argsort(_top(hashed, blocks), kind="stable")
-    bounds = np.searchsorted(_top(hashed, blocks)[order], np.arange(blocks + 1))
+    bucket = _block(grams[:, first], blocks)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(blocks + 1))
     for b in np.flatnonzero(np.diff(bounds)).tolist():
         at = order[bounds[b] : bounds[b + 1]]
-        stored = _mapped(f"{model.folder}/{name}-{b}", "<u8")
+        stored = _mapped(f"{model.folder}/grams{level}-{b}", "<u8")
         if len(stored):
             place = np.minimum(np.searchsorted(stored, keys[at]), len(stored) - 1)
             found = stored[place] == keys[at]
-            values = _mapped(f"{model.folder}/{value}-{b}", kind).reshape(-1, width)
-            out[at[found]] = values[place[found]]
-    return out
+            out[at[found]] = _mapped(f"{model.folder}/facts{level}-{b}", "<u4").reshape(-1, width)[place[found]]
+    return out[of]
 
 
 def _discounted(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return count - np.where(count > 2, d[2], np.where(count > 1, d[1], np.where(count > 0, d[0], 0)))
 
 
-def log_probs(model: Model, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Natural logarithm of p(word | before) for every event; each distinct pair and word is looked up once, in the order of the stored arrays."""
-    key = pair_hash(before, word)
-    key, at, of = np.unique(key, return_index=True, return_inverse=True)
-    v, w = before[at], word[at]
-    names, of_name = np.unique(np.concatenate((v, w)), return_inverse=True)
-    facts = _find(model, "words", "facts", "<f8", names, model.word_blocks, 5)
-    total, n1, n2, n3 = facts[of_name[: len(v)], :4].T
-    k = facts[of_name[len(v) :], 4]
-    count = _find(model, "pairs", "counts", "<u4", key, model.pair_blocks)[:, 0]
-    low = _discounted(k, model.lower) / max(1, model.kinds) + model.lower_gamma / model.vocabulary
-    d = model.discounts
-    known = np.maximum(total, 1)
-    p = np.where(total > 0, (_discounted(count, d) + (d[0] * n1 + d[1] * n2 + d[2] * n3) * low) / known, low)
+def log_probs(model: Model, grams: np.ndarray) -> np.ndarray:
+    """Natural logarithm of p(last word | those before) for every event; each distinct n-gram is looked up once, in the order of the stored arrays."""
+    _, at, of = np.unique(_key(grams), return_index=True, return_inverse=True)
+    grams = grams[:, at]
+    n = grams.shape[1]
+    facts = _find(model, np.concatenate((grams[-1:], grams[-2:-1]), axis=1))
+    p = _discounted(facts[:n, -1], model.discounts[0]) / max(1, model.kinds) + model.lower_gamma / model.vocabulary
+    for level in range(2, model.order + 1):
+        total, n1, n2, n3 = facts[n:, :4].T
+        own = grams[-level:]
+        if level < model.order:
+            facts = _find(model, np.concatenate((own, grams[-level - 1 : -1]), axis=1))
+        else:
+            facts = _find(model, own)
+        d = model.discounts[level - 1]
+        longer = (_discounted(facts[:n, -1], d) + (d[0] * n1 + d[1] * n2 + d[2] * n3) * p) / np.maximum(total, 1)
+        p = np.where((total > 0) & _whole(own), longer, p)
     return np.log(p)[of]
 
 
@@ -282,15 +294,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             log = np.zeros(batch.num_rows)
             for first, end, words in words_of(batch.column(1)):
                 n[first:end] = np.diff(words.bounds)
-                before, word, doc = pairs_of(words)
-                if len(word):
-                    log[first:end] = np.bincount(doc, log_probs(model, before, word), end - first)
+                grams, doc = grams_of(words, model.order)
+                if len(doc):
+                    log[first:end] = np.bincount(doc, log_probs(model, grams), end - first)
             out = np.exp(-log / (n + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(log), pa.array(out, mask=n == 0)], ["doc_id", "words", "log_prob", "perplexity"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(apply, "doc_id long, words long, log_prob double, perplexity double")
 
 
-def perplexities(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+def perplexities(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2) -> DataFrame:
     """Perplexity of every row of docs, under a model of the corpus (of docs themselves by default)."""
-    return score(docs, train(docs if corpus is None else corpus))
+    return score(docs, train(docs if corpus is None else corpus, order))

@@ -28,7 +28,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexities(table(spark, sf_dir, "documents"))
+    return perplexities(table(spark, sf_dir, "documents"), order=3)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

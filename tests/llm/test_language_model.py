@@ -61,3 +61,54 @@ def test_defined_results(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert L.perplexities(empty).collect() == []
     assert L.perplexities(spark.createDataFrame([(1, "a b")], SCHEMA), empty).first()["words"] == 2
+
+
+def brute_of_order(corpus, texts, order):
+    """The same at any order, by recursion over tuples of words; histories begin with one mark at most."""
+
+    def events(text):
+        words = WORD.findall((text or "").lower())
+        marked = ["<s>", *words, "</s>"] if words else []
+        return [tuple(marked[max(0, i - order + 1) : i + 1]) for i in range(1, len(marked))]
+
+    raw = Counter(g for t in corpus for g in events(t))
+    counts = {order: Counter({g: c for g, c in raw.items() if len(g) == order})}
+    for m in range(order - 1, 0, -1):
+        counts[m] = Counter(g[1:] for g in counts[m + 1])
+        for g, c in raw.items():  # n-grams that begin with the document have their own count
+            if len(g) >= m > 1 and g[0] == "<s>":
+                counts[m][g[:m]] = 0
+        for g, c in raw.items():
+            if len(g) == m > 1 and g[0] == "<s>":
+                counts[m][g] += c
+        counts[m] = +counts[m]
+    follow = {m: defaultdict(list) for m in counts}
+    for m in counts:
+        for g, c in counts[m].items():
+            follow[m][g[:-1]].append(c)
+    d = {m: L.discounts(*[sum(c == n for c in counts[m].values()) for n in (1, 2, 3, 4)]) for m in counts}
+    cut = lambda c, x: x[min(c, 3) - 1] if c else 0
+    size = len(counts[1]) + 1
+
+    def p(g):
+        m = len(g)
+        after = follow[m].get(g[:-1], [])
+        low = p(g[1:]) if m > 1 else 1 / size
+        c = counts[m][g]
+        return (c - cut(c, d[m])) / sum(after) + sum(cut(x, d[m]) for x in after) / sum(after) * low if after else low
+
+    return [sum(math.log(p(g)) for g in events(t)) for t in texts]
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_higher_orders_equal_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(L, "BLOCK", 300)
+    monkeypatch.setattr(L, "COUNTED", 500)
+    rng = random.Random(order)
+    words = [f"w{int(rng.paretovariate(0.9))}" for _ in range(2000)]
+    corpus = [" ".join(words[i : i + rng.randint(1, 40)]) for i in range(0, 2000, 20)]
+    texts = [*corpus[:40], "never seen words w1", "w1 w1 w1", "w2"]
+    frame = lambda t: spark.createDataFrame(list(enumerate(t)), SCHEMA).repartition(3)
+    got = {r["doc_id"]: r["log_prob"] for r in L.perplexities(frame(texts), frame(corpus), order=order).collect()}
+    for i, x in enumerate(brute_of_order(corpus, texts, order)):
+        assert math.isclose(got[i], x, rel_tol=1e-9)
