@@ -6,9 +6,11 @@ text has no words. They are found, and hashed, for whole Arrow batches at once;
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,10 +98,13 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share; set to a local one only where it is unset."""
+    """A fresh folder under spark.checkpoint.dir, which all executors share; set to a local one, which goes at exit, only where it is unset and there is but one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, base[7:], True)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -112,6 +117,15 @@ def local_path(folder: str) -> str:
     return re.sub(r"^file:(//)?", "", folder)
 
 
+def save_array(folder: str, name: str, array: np.ndarray) -> None:
+    """Written under another name first: a file is whole or isn't there."""
+    os.makedirs(folder, exist_ok=True)
+    other = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with open(other, "wb") as f:
+        f.write(memoryview(np.ascontiguousarray(array)).cast("B") if array.size else b"")
+    os.replace(other, f"{folder}/{name}")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a small intermediate table to the shared folder and read it back: lineage ends there, so lost executors cost nothing."""
     folder = shared_folder(df.sparkSession, name)
@@ -145,11 +159,6 @@ def batches(iterator: Iterator, *names: str) -> Iterator[tuple]:
         yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
 
 
-def remove(path: str) -> None:
-    if os.path.exists(path):
-        os.remove(path)
-
-
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n words, in time that doesn't depend on n; none if there are fewer words."""
     count = len(hashes) - n + 1

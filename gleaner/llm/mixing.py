@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEED, batches, materialise, row_key, seeded
+from .common import SEED, materialise, row_key, seeded
 from .token_lengths import VOCABULARY, lengths
 
 #: Share of all tokens that is selected when no total is given.
