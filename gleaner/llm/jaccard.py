@@ -1,20 +1,20 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix, with bounds taken from sizes.
 
-`similar_pairs(docs)` finds all pairs of documents whose sets of word n-grams have a Jaccard index of THRESHOLD or more. A row has
-doc_a < doc_b, overlap (n-grams in common), jaccard, and copies_a, copies_b: all documents with exactly the set of doc_a, and of
-doc_b (doc_a and doc_b are the least of them). So each similar pair is in one row, and a group of equal documents is
-one row too, with jaccard 1 and the group as both lists.
-
-1. The incidence matrix is shuffled once in blocks of columns. Columns with a single document can't contribute and end there.
-2. The others go back to their documents. A pair at the threshold has at least THRESHOLD * size n-grams in common, so a document
-   with fewer n-grams in shared columns is dropped with all its pairs.
-3. The same bound says that two similar sets share one of their rarest size - ceil(THRESHOLD * size) + 1 n-grams. The product over
+`similarity_classes(docs)` has a row for each document whose set of word n-grams has a Jaccard index of THRESHOLD or more with another document's:
+doc_id, class_id (the least doc_id of all that such links connect, through others too), copies (documents with exactly its set, itself included) and
+links (other documents at the threshold or above, copies included). `similar_sets(docs)` has the links themselves, between different sets.
+
+1. N-grams that HOT documents or more have are found in a first pass. They aren't shuffled by columns: that many documents share them is known.
+2. The incidence matrix is shuffled once in blocks of columns. Columns with a single document can't contribute and end there.
+3. The others go back to their documents. A pair at the threshold has at least THRESHOLD * size n-grams in common, so a document
+   with fewer n-grams in shared columns is dropped with all its pairs. Equal sets become one, however many documents have it.
+4. The same bound says that two similar sets share one of their rarest size - ceil(THRESHOLD * size) + 1 n-grams. The product over
    these columns alone, with pairs of too unequal sizes discarded, gives the candidates.
-4. Candidates are gathered in blocks of documents; the product over all columns of a block accumulates their exact overlaps.
+5. Candidates are gathered in blocks of sets; the sparse product of a block's rows with their candidates' rows accumulates the exact overlaps.
 
 Documents shorter than n words have one n-gram, of all their words. Null texts and texts without words have no n-grams and
-no partners. Rows without doc_id can't be named and are left out. Rows that agree in doc_id are never paired; each is compared with
-others as it stands. An empty table gives no rows. Only doc_id and text are read. Word hashes have 64 bits, n-grams 48 bits and those
+no links. Rows without doc_id can't be named and are left out. Rows that agree in doc_id are one document: never linked with itself, in one class, and
+with the links of each of its different texts. An empty table gives no rows. Only doc_id and text are read. Word hashes have 64 bits, n-grams 48 bits and those
 of the block of columns: about 1 in 10^8 n-grams is taken for another one.
 """
 
@@ -33,6 +33,8 @@ from .common import buckets_for, materialise, mix, ngrams, text_bytes, words_of
 NGRAM, THRESHOLD = 5, 0.5
 #: N-grams in a block of columns, bytes of text in a block of rows, documents in a tile of the last product.
 COLUMNS, ROWS, TILE = 1_500_000, 6_000_000, 3000
+#: Documents of an n-gram that isn't shuffled by columns; pairs held at once.
+HOT, PAIRS = 500_000, 4_000_000
 #: Blocks of columns that the upper 16 bits of an n-gram tell apart; beyond them the next 8 bits split each block.
 SPLIT = 1 << 16
 BLOCKS = "bucket int, block long, docs binary, grams binary"
@@ -69,30 +71,61 @@ def _by_bucket(bucket: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray
             yield b, order[bounds[b] : bounds[b + 1]]
 
 
-def incidence(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Blocks of the matrix: a block of rows (bucket < 0: ids and sizes of its documents) or a block of rows and columns (uint32 row, 48 bits of column)."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+
+
+def hot_grams(docs: DataFrame, n: int, rows: int) -> np.ndarray:
+    """Sorted n-grams that HOT documents or more have. Tasks pass on what is frequent enough among their own documents, with its count; what they don't is less than half of HOT. So there are fewer than 2 / HOT of all n-grams."""
+    share = HOT / 2 / max(1, rows)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, 0
+
+        def frequent() -> pa.RecordBatch:
+            grams, often = np.unique(np.concatenate(held), return_counts=True)
+            some = often > share * number
+            return pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(often[some])], ["gram", "n"])
+
+        if share >= 1:  # fewer documents than that in all
+            return
+        for batch in batches:
+            for first, end, words in words_of(batch.column(0)):
+                held += [grams_of(words.hashes[a:b], n) for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())]
+                size, number = size + len(words.data), number + end - first
+                if size >= 4 * ROWS:
+                    yield frequent()
+                    held, size, number = [], 0, 0
+        if held:
+            yield frequent()
+
+    found = _texts(docs).select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT // 2)
+    return np.sort(np.array([r["gram"] for r in found.collect()], np.int64).view(np.uint64))
+
+
+def incidence(docs: DataFrame, n: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Blocks of the matrix: a block of rows (bucket < 0: ids, sizes and signatures of its documents, and their hot n-grams) or a block of rows and columns (uint32 row, 48 bits of column)."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows, sizes, grams, held = [], [], [], 0
+            rows, grams, held = [], [], 0
             for first, end, words in words_of(batch.column(1)):
                 for i in range(end - first):
                     g = grams_of(words.hashes[words.bounds[i] : words.bounds[i + 1]], n)
                     if len(g):
                         rows.append(ids[first + i])
-                        sizes.append(len(g))
                         grams.append(g)
                 held += len(words.data)
                 if rows and (held >= ROWS or end == len(ids)):
-                    yield _matrix_block(block, rows, sizes, grams, buckets)
-                    block, rows, sizes, grams, held = block + 1, [], [], [], 0
+                    yield _matrix_block(block, rows, grams, buckets, hot)
+                    block, rows, grams, held = block + 1, [], [], 0
             if rows:
-                yield _matrix_block(block, rows, sizes, grams, buckets)
+                yield _matrix_block(block, rows, grams, buckets, hot)
                 block += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null").mapInArrow(cut, BLOCKS)
+    return _texts(docs).mapInArrow(cut, BLOCKS)
 
 
 def _split(buckets: int) -> tuple[int, int]:
@@ -100,11 +133,16 @@ def _split(buckets: int) -> tuple[int, int]:
     return min(buckets, SPLIT), min(256, -(-buckets // SPLIT))
 
 
-def _matrix_block(block: int, rows: list, sizes: list, grams: list, buckets: int) -> pa.RecordBatch:
+def _matrix_block(block: int, rows: list, grams: list, buckets: int, hot: np.ndarray) -> pa.RecordBatch:
+    sizes = np.array([len(g) for g in grams], "<i8")
     every, row = np.concatenate(grams), np.repeat(np.arange(len(rows), dtype=np.uint32), sizes)
-    head = np.array(rows, "<i8").tobytes() + np.array(sizes, "<i8").tobytes()
-    out = {"bucket": [-1 - block % buckets], "block": [block], "docs": [head], "grams": [b""]}
     small = np.uint16 if len(rows) < 1 << 16 else np.uint32
+    with np.errstate(over="ignore"):  # equal sets, and hardly others, have equal signatures
+        sig = mix(np.add.reduceat(mix(every ^ np.uint64(0x5555555555555555)), np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
+    is_hot = hot[np.minimum(np.searchsorted(hot, every), len(hot) - 1)] == every if len(hot) else np.zeros(len(every), bool)
+    head = np.array(rows, "<i8").tobytes() + sizes.tobytes() + sig.tobytes()
+    out = {"bucket": [-1 - block % buckets], "block": [block], "docs": [np.int64(len(rows)).tobytes() + head + row[is_hot].astype("<u4").tobytes()], "grams": [every[is_hot].tobytes()]}
+    every, row = every[~is_hot], row[~is_hot]
     whole, parts = _split(buckets)
     bucket = ((every >> np.uint64(48)).astype(np.int64) * whole >> 16) * parts + (((every >> np.uint64(40)) & np.uint64(255)).astype(np.int64) * parts >> 8)
     for b, at in _by_bucket(bucket, whole * parts):
@@ -154,56 +192,55 @@ SETS = "doc_id long, size long, sig long, grams binary"
 def bounded_rows(threshold: float, parts: int = 1):
     def keep(part: pa.Table) -> pa.Table:
         """A block of rows, with its n-grams in shared columns: documents that can have a partner, their n-grams rarest first."""
-        ids = sizes = None
+        ids = None
         row, gram, often = [], [], []
         for bucket, d, g, o in zip(*(part.column(c).to_pylist() for c in ("bucket", "docs", "grams", "often"))):
             if bucket < 0:
-                ids, sizes = np.frombuffer(d, "<i8").reshape(2, -1)
+                count = int(np.frombuffer(d, np.int64, 1)[0])
+                ids, sizes, sigs = np.frombuffer(d, "<i8", 3 * count, 8).reshape(3, count)
+                gram.append(np.frombuffer(g, np.uint64))
+                row.append(np.frombuffer(d, "<u4", offset=8 + 24 * count).astype(np.int64))
+                often.append(np.full(len(gram[-1]), 65535, np.uint16))
             else:
                 v = _unpack6(g)
                 gram.append(v | np.uint64(bucket // parts) << np.uint64(48))
                 row.append(_rows(d, len(v)).astype(np.int64))
                 often.append(np.frombuffer(o, np.uint16))
         out = {"doc_id": [], "size": [], "sig": [], "grams": []}
-        if row and ids is not None:
+        if ids is not None:
             row, gram, often = np.concatenate(row), np.concatenate(gram), np.concatenate(often)
             order = np.lexsort((gram, often, row))
             gram = gram[order]
             bounds = np.searchsorted(row[order], np.arange(len(ids) + 1))
             for i in np.flatnonzero(np.diff(bounds) >= np.maximum(1, threshold * sizes - EPS)):
-                own = gram[bounds[i] : bounds[i + 1]]
-                # Equal sets lie in shared columns wholly; any other set gets a signature of its own id.
-                with np.errstate(over="ignore"):
-                    whole = mix(own).sum(dtype=np.uint64) if len(own) == sizes[i] else mix(np.array([ids[i]], np.int64).view(np.uint64))[0] ^ np.uint64(0x5555555555555555)
                 out["doc_id"].append(int(ids[i]))
                 out["size"].append(int(sizes[i]))
-                out["sig"].append(int(whole.astype(np.int64)))
-                out["grams"].append(own.tobytes())
+                out["sig"].append(int(sigs[i]))
+                out["grams"].append(gram[bounds[i] : bounds[i + 1]].tobytes())
         return pa.Table.from_batches([_batch(SETS, **out)])
 
     return keep
 
 
-HEADS = np.dtype([("doc", "<i8"), ("sig", "<i8"), ("size", "<i8")])
+HEADS = np.dtype([("sig", "<i8"), ("size", "<i8")])
 
 
 def prefixes(sets: DataFrame, threshold: float, buckets: int) -> DataFrame:
-    """Blocks of the matrix that have each document's rarest n-grams only. N-grams in columns of its own are the rarest of all, and not here."""
+    """Blocks of the matrix that have each set's rarest n-grams only. N-grams in columns of its own are the rarest of all, and not here."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             heads = np.empty(batch.num_rows, HEADS)
-            for name, column in (("doc", 0), ("sig", 2), ("size", 1)):
-                heads[name] = batch.column(column).to_numpy()
+            heads["sig"], heads["size"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             parts = []
-            for size, g in zip(heads["size"].tolist(), batch.column(3).to_pylist()):
+            for size, g in zip(heads["size"].tolist(), batch.column(2).to_pylist()):
                 g = np.frombuffer(g, np.uint64)
                 parts.append(g[: max(0, len(g) - int(np.ceil(threshold * size - EPS)) + 1)])
             every, row = np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p) for p in parts])
             out = {"bucket": [], "block": [], "docs": [], "grams": []}
-            for b, at in _by_bucket((mix(every) >> np.uint64(48)).astype(np.int64) * buckets >> 16, buckets):
+            for b, at in _by_bucket((mix(every) >> np.uint64(33)).astype(np.int64) * buckets >> 31, buckets):
                 used, local = np.unique(row[at], return_inverse=True)
                 out["bucket"].append(b)
                 out["block"].append(len(used))
@@ -211,152 +248,157 @@ def prefixes(sets: DataFrame, threshold: float, buckets: int) -> DataFrame:
                 out["grams"].append(every[at].tobytes())
             yield _batch(BLOCKS, **out)
 
-    return sets.mapInArrow(cut, BLOCKS)
+    return sets.select("sig", "size", "grams").mapInArrow(cut, BLOCKS)
 
 
-def _pairs_in_runs(item: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """Unique codes i * len(sizes) + j of the pairs i < j within runs of `item`, sizes near enough."""
+def _pairs_in_runs(item: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """Codes i * len(sizes) + j of the pairs i < j within runs of `item`, sizes near enough; some millions at a time, each of these once."""
     starts = np.cumsum(lengths) - lengths
-    found, waiting, n = [], 0, len(sizes)
+    n = len(sizes)
+
+    def tiles() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for m in np.unique(lengths[lengths > 1]).tolist():
+            at = starts[lengths == m]
+            if m <= 1500:
+                i, j = np.triu_indices(m, 1)
+                step = max(1, 2_000_000 // len(i))
+                for k in range(0, len(at), step):
+                    runs = item[at[k : k + step, None] + np.arange(m)]
+                    yield runs[:, i].ravel(), runs[:, j].ravel()
+            else:
+                step = max(1, 2_000_000 // m)
+                for s in at.tolist():
+                    for k in range(s, s + m, step):
+                        head = item[k : min(k + step, s + m)]
+                        yield np.repeat(head, s + m - k), np.tile(item[k : s + m], len(head))
 
-    def add(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal waiting, found
+    found, waiting = [], 0
+    for a, b in tiles():
         a, b = np.minimum(a, b), np.maximum(a, b)
         sa, sb = sizes[a], sizes[b]
         fits = (a != b) & (np.minimum(sa, sb) >= threshold * np.maximum(sa, sb) - EPS)
         found.append(np.unique(a[fits] * n + b[fits]))
         waiting += len(found[-1])
-        if waiting > 4_000_000:
+        if waiting > PAIRS:
             found = [np.unique(np.concatenate(found))]
-            waiting = 0
-
-    for m in np.unique(lengths[lengths > 1]).tolist():
-        at = starts[lengths == m]
-        if m <= 1500:
-            i, j = np.triu_indices(m, 1)
-            step = max(1, 2_000_000 // len(i))
-            for k in range(0, len(at), step):
-                runs = item[at[k : k + step, None] + np.arange(m)]
-                add(runs[:, i].ravel(), runs[:, j].ravel())
-        else:
-            for s in at.tolist():
-                run = item[s : s + m]
-                step = max(1, 2_000_000 // m)
-                for k in range(0, m, step):
-                    head = run[k : k + step]
-                    add(np.repeat(head, m - k), np.tile(run[k:], len(head)))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            waiting = len(found[0])
+            if waiting > PAIRS // 2:
+                yield found.pop()
+                waiting = 0
+    if found:
+        yield np.unique(np.concatenate(found))
 
 
 def candidates(threshold: float):
-    def product(part: pa.Table) -> pa.Table:
-        """The product over a block of columns: pairs with an overlap and sizes that allow the threshold. Equal sets count as one."""
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The product over a block of columns: pairs of sets with an overlap and sizes that allow the threshold."""
         heads, rows, grams, at = [], [], [], 0
-        for count, d, g in zip(*(part.column(c).to_pylist() for c in ("block", "docs", "grams"))):
-            heads.append(np.frombuffer(d, HEADS, count))
-            rows.append(np.frombuffer(d, np.uint32, offset=count * HEADS.itemsize).astype(np.int64) + at)
-            grams.append(np.frombuffer(g, np.uint64))
-            at += count
+        for batch in batches:
+            for count, d, g in zip(*(batch.column(c).to_pylist() for c in ("block", "docs", "grams"))):
+                heads.append(np.frombuffer(d, HEADS, count))
+                rows.append(np.frombuffer(d, np.uint32, offset=count * HEADS.itemsize).astype(np.int64) + at)
+                grams.append(np.frombuffer(g, np.uint64))
+                at += count
         heads, rows, grams = np.concatenate(heads), np.concatenate(rows), np.concatenate(grams)
-        # Documents in order, each set's least one standing for all its copies.
-        order = np.lexsort((heads["doc"], heads["sig"], heads["size"]))
-        first = np.concatenate(([True], (heads["sig"][order[1:]] != heads["sig"][order[:-1]]) | (heads["size"][order[1:]] != heads["size"][order[:-1]])))
-        stands = order[np.flatnonzero(first)]
-        by_doc = np.argsort(heads["doc"][stands], kind="stable")
-        place = np.empty(len(stands), np.int64)
-        place[by_doc] = np.arange(len(stands))
-        of = np.empty(len(heads), np.int64)
-        of[order] = place[np.cumsum(first) - 1]
-        heads = heads[stands[by_doc]]
+        _, first, of = np.unique(heads["sig"], return_index=True, return_inverse=True)
+        heads = heads[first]
         order = np.lexsort((of[rows], grams))
         g, item = grams[order], of[rows[order]]
-        once = np.concatenate(([True], (g[1:] != g[:-1]) | (item[1:] != item[:-1])))
-        g, item = g[once], item[once]
         starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        codes = _pairs_in_runs(item, np.diff(np.append(starts, len(g))), heads["size"], threshold)
-        a, b = heads["doc"][codes // len(heads)], heads["doc"][codes % len(heads)]
-        return pa.table({"doc_a": pa.array(a[a != b], pa.int64()), "doc_b": pa.array(b[a != b], pa.int64())})
+        for codes in _pairs_in_runs(item, np.diff(np.append(starts, len(g))), heads["size"], threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(heads["sig"][codes // len(heads)]), pa.array(heads["sig"][codes % len(heads)])], ["a", "b"])
 
     return product
 
 
+LINKS = "a long, b long, overlap long, jaccard double, copies_a long, copies_b long"
+
+
 def overlaps(threshold: float):
     def product(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        """Exact overlaps of the pairs of a tile: a dense product over slices of its shared columns, or one by one where the pairs are few."""
-        none = pa.table({"doc_a": pa.array([], pa.int64()), "doc_b": pa.array([], pa.int64()), "overlap": pa.array([], pa.int64()), "jaccard": pa.array([], pa.float64())})
+        """Exact overlaps of the pairs of a tile: each row of the tile is spread over its columns once and multiplied by the rows of its candidates."""
+        kinds = [np.int64, np.int64, np.int64, np.float64, np.int64, np.int64]
+        names = [c.split()[0] for c in LINKS.split(", ")]
         if not pairs.num_rows or not sets.num_rows:
-            return none
-        ids = sets.column("s_doc").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        size = sets.column("s_size").to_numpy()[order]
+            return pa.table({c: np.zeros(0, k) for c, k in zip(names, kinds)})
+        sig = sets.column("s_sig").to_numpy()
+        order = np.argsort(sig)
+        sig = sig[order]
+        size, copies = sets.column("s_size").to_numpy()[order], sets.column("s_copies").to_numpy()[order]
         blobs = sets.column("s_grams").combine_chunks() if sets.column("s_grams").num_chunks != 1 else sets.column("s_grams").chunk(0)
-        grams = [np.sort(np.frombuffer(blobs[i].as_buffer(), np.uint64)) for i in order.tolist()]
-        pair_a, pair_b = pairs.column("p_a").to_numpy(), pairs.column("p_b").to_numpy()
-        # A doc_id may stand for several rows; each is compared as it stands.
-        (a_from, a_to), (b_from, b_to) = ((np.searchsorted(ids, x), np.searchsorted(ids, x, "right")) for x in (pair_a, pair_b))
-        if (a_to - a_from == 1).all() and (b_to - b_from == 1).all():
-            a, b = a_from, b_from
-        else:
-            both = [(i, j) for k in range(len(pair_a)) for i in range(a_from[k], a_to[k]) for j in range(b_from[k], b_to[k])]
-            a, b = np.array(both, np.int64).reshape(-1, 2).T
-        every, row = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        grams = [np.frombuffer(blobs[i].as_buffer(), np.uint64) for i in order.tolist()]
+        every, ends = np.concatenate(grams), np.cumsum([len(g) for g in grams])
         _, column, often = np.unique(every, return_inverse=True, return_counts=True)
         in_two = often[column] > 1
-        number = np.cumsum(often > 1) - 1
-        column, row = number[column[in_two]], row[in_two]
-        width, m = int((often > 1).sum()), len(ids)
+        ends = np.concatenate(([0], np.cumsum(in_two)))[np.concatenate(([0], ends))]
+        column = (np.cumsum(often > 1) - 1)[column[in_two]].astype(np.int32)
+        a, b = (np.searchsorted(sig, pairs.column(c).to_numpy()) for c in ("p_a", "p_b"))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
         overlap = np.zeros(len(a), np.int64)
-        if len(a) * 20e-6 < m * m * width / 1e10:
-            for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
-                overlap[k] = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
-        else:
-            by_column = np.argsort(column, kind="stable")
-            column, row = column[by_column], row[by_column]
-            total = np.zeros((m, m), np.float32)
-            for first in range(0, width, 4096):
-                lo, hi = np.searchsorted(column, (first, first + 4096))
-                slice_ = np.zeros((m, min(4096, width - first)), np.float32)
-                slice_[row[lo:hi], column[lo:hi] - first] = 1
-                total += slice_ @ slice_.T
-            overlap = total[a, b].astype(np.int64)
+        spread = np.zeros(int((often > 1).sum()), np.uint8)
+        rows = [column[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(a)]):
+            spread[rows[a[x]]] = 1
+            for k in range(x, y, 2000):
+                others = [rows[j] for j in b[k : min(k + 2000, y)].tolist()]
+                sums = np.concatenate(([0], np.cumsum(spread[np.concatenate(others)], dtype=np.int64)))
+                to = np.cumsum([len(o) for o in others])
+                overlap[k : k + len(others)] = sums[to] - sums[np.concatenate(([0], to[:-1]))]
+            spread[rows[a[x]]] = 0
         union = size[a] + size[b] - overlap
-        fits = overlap >= threshold * union - EPS
+        fits = (overlap > 0) & (overlap >= threshold * union - EPS)
         a, b, overlap, union = a[fits], b[fits], overlap[fits], union[fits]
-        return pa.table({"doc_a": ids[a], "doc_b": ids[b], "overlap": overlap, "jaccard": overlap / union})
+        return pa.table(dict(zip(names, (sig[a], sig[b], overlap, overlap / np.maximum(union, 1), copies[a], copies[b]))))
 
     return product
 
 
-def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    _, size = text_bytes(docs)
+def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links a, b, overlap, jaccard, copies_a, copies_b between different sets, named by signatures; sets sig, size, least (doc_id), copies; and members doc_id, sig. Only sets that may have a partner are here."""
+    count, size = text_bytes(docs)
     buckets = buckets_for(size / 6, COLUMNS)
-    blocks = incidence(docs, n, buckets)
-    back = blocks.groupBy("bucket").applyInArrow(shared_columns, SHARED)
-    sets = materialise(back.groupBy("block").applyInArrow(bounded_rows(threshold, _split(buckets)[1]), SETS), "sets")
-    alike = sets.groupBy("sig", "size").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
-    copies = materialise(alike.filter(F.size("ids") > 1).select(F.col("ids")[0].alias("c_doc"), "ids", F.col("size").alias("c_size")), "copies")
-    few = min(SPLIT, max(6, buckets // 8))
-    pairs = prefixes(sets, threshold, few).groupBy("bucket").applyInArrow(candidates(threshold), "doc_a long, doc_b long").distinct()
-    pairs = materialise(pairs, "candidates")
+    back = incidence(docs, n, buckets, hot_grams(docs, n, count)).groupBy("bucket").applyInArrow(shared_columns, SHARED)
+    every = materialise(back.groupBy("block").applyInArrow(bounded_rows(threshold, _split(buckets)[1]), SETS), "rows")
+    members = every.select("doc_id", "sig").distinct()
+    held = members.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # Equal sets have equal blobs, so which one stays doesn't matter; tasks keep one of each before they shuffle.
+    once = every.groupBy("sig").agg(F.first("size").alias("size"), F.first("grams").alias("grams"))
+    sets = materialise(once.join(held, "sig"), "sets")
+    pairs = materialise(prefixes(sets, threshold, max(6, buckets // 8)).groupBy("bucket").applyInArrow(candidates(threshold), "a long, b long").distinct(), "candidates")
     # Near copies mostly share their least neighbour, so a block around it has most of their pairs, and their sets once.
-    centre = pairs.groupBy("doc_b").agg(F.min("doc_a").alias("least")).select(F.col("doc_b").alias("doc_a"), "least")
-    blocked = pairs.join(centre, "doc_a", "left").withColumn("centre", F.coalesce("least", "doc_a")).drop("least")
-    members = blocked.select("centre", F.explode(F.array("doc_a", "doc_b")).alias("doc")).distinct()
-    tiles = members.groupBy("centre").agg(F.ceil(F.count("doc") / TILE).cast("int").alias("tiles"))
+    centre = pairs.groupBy("b").agg(F.min("a").alias("least")).select(F.col("b").alias("a"), "least")
+    blocked = pairs.join(centre, "a", "left").withColumn("centre", F.coalesce("least", "a")).drop("least")
+    in_block = blocked.select("centre", F.explode(F.array("a", "b")).alias("sig")).distinct()
+    tiles = in_block.groupBy("centre").agg(F.ceil(F.count("sig") / TILE).cast("int").alias("tiles"))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("tiles"))
-    tiled = blocked.join(tiles, "centre").select("centre", F.col("doc_a").alias("p_a"), F.col("doc_b").alias("p_b"), F.least(part("doc_a"), part("doc_b")).alias("i"), F.greatest(part("doc_a"), part("doc_b")).alias("j"))
+    tiled = blocked.join(tiles, "centre").select("centre", F.col("a").alias("p_a"), F.col("b").alias("p_b"), F.least(part("a"), part("b")).alias("i"), F.greatest(part("a"), part("b")).alias("j"))
     tiled = materialise(tiled, "tiles")
-    wanted = tiled.select("centre", "i", "j", F.explode(F.array("p_a", "p_b")).alias("s_doc")).distinct()
+    wanted = tiled.select("centre", "i", "j", F.explode(F.array("p_a", "p_b")).alias("s_sig")).distinct()
     # Merged at every size: broadcast while the candidates are few, this join would only begin to shuffle as they grow.
-    rows = sets.select(F.col("doc_id").alias("s_doc"), F.col("size").alias("s_size"), F.col("grams").alias("s_grams")).hint("merge")
-    placed = wanted.join(rows, "s_doc").select(F.col("centre").alias("s_centre"), F.col("i").alias("s_i"), F.col("j").alias("s_j"), "s_doc", "s_size", "s_grams")
-    exact = tiled.groupBy("centre", "i", "j").cogroup(placed.groupBy("s_centre", "s_i", "s_j")).applyInArrow(overlaps(threshold), "doc_a long, doc_b long, overlap long, jaccard double")
-    exact = exact.groupBy("doc_a", "doc_b").agg(F.max_by(F.struct("overlap", "jaccard"), "jaccard").alias("best")).select("doc_a", "doc_b", "best.overlap", "best.jaccard")
-    ids_a, ids_b = (copies.select(F.col("c_doc").alias(c), F.col("ids").alias(i)) for c, i in (("doc_a", "ids_a"), ("doc_b", "ids_b")))
-    listed = exact.join(ids_a, "doc_a", "left").join(ids_b, "doc_b", "left").select("doc_a", "doc_b", "overlap", "jaccard", F.coalesce("ids_a", F.array("doc_a")).alias("copies_a"), F.coalesce("ids_b", F.array("doc_b")).alias("copies_b"))
-    groups = copies.select(F.col("ids")[0].alias("doc_a"), F.col("ids")[1].alias("doc_b"), F.col("c_size").alias("overlap"), F.lit(1.0).alias("jaccard"), F.col("ids").alias("copies_a"), F.col("ids").alias("copies_b"))
-    return listed.unionByName(groups)
+    rows = sets.select(F.col("sig").alias("s_sig"), F.col("size").alias("s_size"), F.col("copies").alias("s_copies"), F.col("grams").alias("s_grams")).hint("merge")
+    placed = wanted.join(rows, "s_sig").select(F.col("centre").alias("s_centre"), F.col("i").alias("s_i"), F.col("j").alias("s_j"), "s_sig", "s_size", "s_copies", "s_grams")
+    links = tiled.groupBy("centre", "i", "j").cogroup(placed.groupBy("s_centre", "s_i", "s_j")).applyInArrow(overlaps(threshold), LINKS)
+    return materialise(links, "links"), sets.select("sig", "size", "least", "copies"), members
+
+
+def classes(links: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, sig, class_id of every member; a set without links is a class with its copies, and one document's sets are in one class."""
+    several = members.groupBy("doc_id").agg(F.min("sig").alias("b"), F.max("sig").alias("a")).filter("a <> b")
+    edges = links.select("a", "b").unionByName(members.join(several.select("doc_id", "b"), "doc_id").select(F.col("sig").alias("a"), "b"))
+    grouped = sets.join(components(edges).select(F.col("doc").alias("sig"), "grp"), "sig", "left").select("sig", "least", F.coalesce("grp", "sig").alias("grp"))
+    named = grouped.groupBy("grp").agg(F.min("least").alias("class_id"))
+    return members.join(grouped.join(named, "grp").select("sig", "class_id"), "sig")
+
+
+def similarity_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    links, sets, members = similar_sets(docs, n, threshold)
+    ends = links.select(F.col("a").alias("sig"), F.col("copies_b").alias("n")).unionByName(links.select(F.col("b").alias("sig"), F.col("copies_a").alias("n")))
+    degree = ends.groupBy("sig").agg(F.sum("n").alias("n"))
+    counted = sets.join(degree, "sig", "left").select("sig", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links")).filter("links > 0")
+    placed = classes(links, sets, members).join(counted, "sig")
+    return placed.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("copies").alias("copies"), F.sum("links").alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -378,9 +420,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, of each group that similar pairs connect only the one with the least doc_id. Rows that agree in doc_id are one document. Rows without doc_id stay."""
-    pairs = materialise(similar_pairs(docs, n, threshold), "pairs")
-    copies = pairs.select(F.explode(F.array("copies_a", "copies_b")).alias("ids")).select(F.explode("ids").alias("a"), F.col("ids")[0].alias("b"))
-    groups = components(pairs.select(F.col("doc_b").alias("a"), F.col("doc_a").alias("b")).unionByName(copies))
-    gone = groups.filter("doc <> grp").select(F.col("doc").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The documents, of each class only the one with the least doc_id. Rows that agree in doc_id are one document. Rows without doc_id stay. Columns are carried whatever their names."""
+    gone = classes(*similar_sets(docs, n, threshold)).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+
+
+#: The same by joins of n-grams as strings.
+ORACLE = f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_\\x{{80}}-\\x{{10ffff}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {NGRAM} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {NGRAM} + 2), i -> array_to_string(w[i : i + {NGRAM - 1}], ' ')) END) AS g FROM words WHERE len(w) > 0),
+numbered AS (SELECT g, row_number() OVER () AS gram FROM grams GROUP BY g HAVING count(*) > 1),
+held AS (SELECT doc_id, gram FROM grams JOIN numbered USING (g)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM held a JOIN held b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b, s.n = x.n AND s.n = y.n AS equal FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE s.n >= {THRESHOLD} * (x.n + y.n - s.n) - {EPS}),
+reach AS (SELECT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, class_id, CAST(1 + count(*) FILTER (equal) AS BIGINT) AS copies, CAST(count(*) AS BIGINT) AS links FROM class JOIN links ON links.a = doc_id GROUP BY doc_id, class_id"""

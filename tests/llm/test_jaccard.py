@@ -2,7 +2,7 @@ import itertools
 import random
 
 import pytest
-from gleaner.llm import jaccard
+from gleaner.llm import jaccard, registry
 from gleaner.llm.common import WORD
 
 SCHEMA = "doc_id long, text string"
@@ -24,14 +24,22 @@ def brute(rows, n, threshold):
     return out
 
 
-def expanded(rows):
-    out = {}
-    for r in rows:
-        for a in r["copies_a"]:
-            for b in r["copies_b"]:
-                if a != b:
-                    out[min(a, b), max(a, b)] = r["overlap"]
-    return out
+def brute_classes(rows, n, threshold):
+    """doc_id: class_id, copies, links of all documents with a link; all doc_ids differ."""
+    pairs = brute(rows, n, threshold)
+    words = {i: WORD.findall((t or "").lower()) for i, t in rows}
+    sets = {i: {tuple(w[j : j + min(n, len(w))]) for j in range(len(w) - min(n, len(w)) + 1)} for i, w in words.items()}
+    group = {i: i for pair in pairs for i in pair}
+    for a, b in pairs:
+        x, y = group[a], group[b]
+        group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
+    return {i: (g, 1 + sum(i in p and sets[p[0]] == sets[p[1]] for p in pairs), sum(i in p for p in pairs)) for i, g in group.items()}
+
+
+def found(docs, *options):
+    rows = jaccard.similarity_classes(docs, *options).collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    return {r["doc_id"]: (r["class_id"], r["copies"], r["links"]) for r in rows}
 
 
 def corpus(seed, count=120):
@@ -52,19 +60,36 @@ def corpus(seed, count=120):
     return rows
 
 
-@pytest.mark.parametrize(("n", "threshold", "tile"), [(5, 0.5, 3000), (3, 0.7, 3000), (5, 0.5, 7)])
-def test_pairs_equal_brute_force(spark, monkeypatch, n, threshold, tile):
+@pytest.mark.parametrize(("n", "threshold", "tile", "hot"), [(5, 0.5, 3000, 500_000), (3, 0.7, 3000, 8), (5, 0.5, 7, 4)])
+def test_classes_and_links_equal_brute_force(spark, monkeypatch, n, threshold, tile, hot):
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "PAIRS", tile)
     rows = corpus(n)
-    got = expanded(jaccard.similar_pairs(spark.createDataFrame(rows, SCHEMA).repartition(3), n, threshold).collect())
-    assert got == brute(rows, n, threshold) and len(got) > 30
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert found(docs, n, threshold) == brute_classes(rows, n, threshold)
+    links, sets, members = jaccard.similar_sets(docs, n, threshold)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["sig"], []).append(r["doc_id"])
+    want = brute(rows, n, threshold)
+    got = {(min(a, b), max(a, b)): r["overlap"] for r in links.collect() for a in of[r["a"]] for b in of[r["b"]]}
+    got |= {(a, b): want[a, b] for ids in of.values() for a, b in itertools.combinations(sorted(ids), 2)}
+    assert got == want and len(got) > 30
+
+
+def test_hot_ngrams_skip_the_columns(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    docs = spark.createDataFrame([(i, f"the same five words everywhere x{i}") for i in range(20)], SCHEMA)
+    assert len(jaccard.hot_grams(docs, 5, 20)) == 1
 
 
 def test_nulls_empty_ties_long_and_repeated_rows(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " ?! "), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (5, "A, b c d e F"), (6, long), (7, long + " end"), (8, "a"), (9, "a")]
-    found = jaccard.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert set(expanded(found)) == {(4, 5), (6, 7), (8, 9)}
+    assert found(spark.createDataFrame(rows, SCHEMA)) == {4: (4, 2, 1), 5: (4, 2, 1), 6: (6, 1, 1), 7: (6, 1, 1), 8: (8, 2, 1), 9: (8, 2, 1)}
+    twice = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "g h i j k l"), (3, "g h i j k l")]
+    assert found(spark.createDataFrame(twice, SCHEMA)) == {1: (1, 2, 1), 2: (1, 4, 2), 3: (1, 2, 1)}
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], SCHEMA + ", doc_a string, grp int, size int")
     kept = jaccard.without_near_copies(docs)
     assert kept.columns == docs.columns
@@ -73,7 +98,7 @@ def test_nulls_empty_ties_long_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
-    assert jaccard.similar_pairs(docs).collect() == []
+    assert jaccard.similarity_classes(docs).collect() == []
     assert jaccard.without_near_copies(docs).collect() == []
 
 
@@ -87,5 +112,11 @@ def test_more_blocks_of_columns_than_upper_bits_tell_apart(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SPLIT", 4)
     monkeypatch.setattr(jaccard, "buckets_for", lambda *_: 11)
     rows = corpus(8)
-    got = expanded(jaccard.similar_pairs(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
-    assert got == brute(rows, 5, 0.5)
+    assert found(spark.createDataFrame(rows, SCHEMA).repartition(3)) == brute_classes(rows, 5, 0.5)
+
+
+def test_the_registered_query(spark, tmp_path):
+    rows = corpus(3)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["class_id"], r["copies"], r["links"]) for r in registry.op4_ngram_jaccard_join(spark, str(tmp_path)).collect()}
+    assert got == brute_classes(rows, 5, 0.5)
