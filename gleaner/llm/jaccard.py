@@ -428,7 +428,7 @@ def without_near_copies(docs: DataFrame, n: int = NGRAM, threshold: float = THRE
 #: The same by joins of n-grams as strings.
 ORACLE = f"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_\\x{{80}}-\\x{{10ffff}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
-grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {NGRAM} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {NGRAM} + 2), i -> array_to_string(w[i : i + {NGRAM - 1}], ' ')) END) AS g FROM words WHERE len(w) > 0),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {NGRAM} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {NGRAM} + 2), lambda i: array_to_string(w[i : i + {NGRAM - 1}], ' ')) END) AS g FROM words WHERE len(w) > 0),
 numbered AS (SELECT g, row_number() OVER () AS gram FROM grams GROUP BY g HAVING count(*) > 1),
 held AS (SELECT doc_id, gram FROM grams JOIN numbered USING (g)),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
