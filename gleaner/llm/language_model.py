@@ -31,6 +31,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Words, buckets_for, local_path, mix, save_array, shared_folder, text_bytes, words_of
 
 #: Words of text for each block; bytes of text that are counted, and scored, together.
-BLOCK, COUNTED, SCORED = 2_500_000, 12_000_000, 6_000_000
+BLOCK, COUNTED, SCORED = 1_500_000, 12_000_000, 6_000_000
 #: Numbers of what isn't a word of the corpus; words follow.
 BEGIN, END, UNKNOWN, FIRST = 0, 1, 2, 3
 #: What is known of an n-gram below the highest order; the last one is its count.
@@ -104,10 +105,17 @@ def _packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _parts(bucket: np.ndarray, blocks: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(blocks + 1))
-    for b in np.flatnonzero(np.diff(bounds)).tolist():
-        yield b, order[bounds[b] : bounds[b + 1]]
+    """The places of each block, in order; numbers of 16 bits are sorted by radix."""
+    order = np.argsort(bucket.astype(np.uint16 if blocks <= 1 << 16 else np.int64), kind="stable")
+    sizes = np.bincount(bucket, minlength=blocks)
+    ends = np.cumsum(sizes)
+    for b in np.flatnonzero(sizes).tolist():
+        yield b, order[ends[b] - sizes[b] : ends[b]]
+
+
+def _columns(level: int) -> list[int]:
+    """The places of an n-gram's words in the order in which n-grams are sorted: those in the middle, the first, the last."""
+    return [*range(1, level - 1), 0, level - 1] if level > 1 else [0]
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -117,18 +125,16 @@ def _planes(values: np.ndarray) -> bytes:
 
 
 def _encode(grams: np.ndarray, values: np.ndarray) -> bytes:
-    """N-grams in the order of their words, the middle first, as differences within what equals the one before; and rows of values."""
-    columns = [*range(1, len(grams) - 1), 0, len(grams) - 1] if len(grams) > 1 else [0]
-    order = np.lexsort(tuple(grams[c] for c in reversed(columns)))
-    new, out = np.zeros(len(order), bool), []
+    """Sorted n-grams as differences within what equals the one before, and rows of values."""
+    new, out = np.zeros(grams.shape[1], bool), []
     new[0] = True
-    for c in columns:
-        x = grams[c][order].astype(np.int64)
+    for c in _columns(len(grams)):
+        x = grams[c]
         step = np.concatenate((x[:1], np.diff(x)))
         out.append(_planes(np.where(new, x, step)))
         new = new | (step != 0)
-    out += [_planes(v[order]) for v in values]
-    return np.int64(len(order)).tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    out += [_planes(v) for v in values]
+    return np.int64(grams.shape[1]).tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def _decode(data: bytes, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +146,9 @@ def _decode(data: bytes, level: int) -> tuple[np.ndarray, np.ndarray]:
         out[:, :width] = np.frombuffer(raw, np.uint8, width * n, at + 1).reshape(width, n).T
         found.append(out.view("<i8").ravel())
         at += 1 + width * n
-    columns = [*range(1, level - 1), 0, level - 1] if level > 1 else [0]
     grams, new = np.empty((level, n), np.int64), np.zeros(n, bool)
     new[0] = True
-    for c, step in zip(columns, found):
+    for c, step in zip(_columns(level), found):
         sums, starts = np.cumsum(step), np.flatnonzero(new)
         grams[c] = sums - np.repeat(sums[starts] - step[starts], np.diff(np.append(starts, n)))
         new = new | (step != 0)
@@ -156,8 +161,9 @@ def save_table(folder: str, name: str, keys: np.ndarray, values: np.ndarray) ->
     keys, values = keys[order], values[:, order]
     n = len(keys)
     bits = max(0, (n // 16).bit_length() - 1) if n else 0
-    of_row = _key(values) if n else np.zeros(0, np.uint64)
-    _, first, code = np.unique(of_row, return_index=True, return_inverse=True)
+    code, distinct = pd.factorize(_key(values) if n else np.zeros(0, np.uint64))
+    first = np.zeros(len(distinct), np.int64)
+    first[code[::-1]] = np.arange(n)[::-1]
     width = 1 if len(first) <= 1 << 8 else 2 if len(first) <= 1 << 16 else 4
     upper = (keys >> np.uint64(63 - bits)) >> np.uint64(1)
     index = np.searchsorted(upper, np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -168,7 +174,7 @@ def save_table(folder: str, name: str, keys: np.ndarray, values: np.ndarray) ->
 
 @lru_cache(maxsize=4096)
 def _mapped(path: str) -> tuple:
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))
     n, bits, width, rows, facts = raw[:40].view(np.int64).tolist()
     ends = np.cumsum([40, 8 * rows * facts, 4 * ((1 << bits) + 1), width * n, 3 * n]).tolist()
     values, index, code, low = (raw[a:b] for a, b in zip(ends, ends[1:]))
@@ -223,9 +229,9 @@ def _count_words(parts: int):
 
 
 def number_words(texts: DataFrame, size: int) -> Vocabulary:
-    """Words by falling count in each part, the numbers of the parts interleaved. Words with more than BLOCK occurrences are collected: fewer than there are blocks."""
+    """Words by falling count in each part, the numbers of the parts interleaved. Words with more than BLOCK occurrences, and more than a millionth of all, are collected: a million at most."""
     spark = texts.sparkSession
-    folder, parts, block = local_path(shared_folder(spark, "words")), buckets_for(size / 6.5, 12 * BLOCK), BLOCK
+    folder, parts, block = local_path(shared_folder(spark, "words")), buckets_for(size / 6.5, 20 * BLOCK), max(BLOCK, size // 6_500_000)
 
     def store(rows: pa.Table) -> pa.Table:
         part, words, counts = rows.column("bucket")[0].as_py(), [], []
@@ -284,11 +290,25 @@ def grams_of(words: Words, number: np.ndarray, order: int) -> tuple[np.ndarray,
 
 
 def _summed(grams: np.ndarray, values: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams in the order of their hashes, and the sums of their rows of values (by default, how often they occur)."""
-    key, at, of = np.unique(_key(grams), return_index=True, return_inverse=True)
+    """Distinct n-grams, sorted, and the sums of their rows of values (by default, how often they occur)."""
+    columns = [grams[c] for c in _columns(len(grams))]
+    if grams.size and grams.max() < 1 << 31:  # two to a key
+        columns = [columns[i] << 32 | columns[i + 1] if i + 1 < len(columns) else columns[i] for i in range(0, len(columns), 2)]
+    order = np.argsort(columns[0])
+    x = columns[0][order]
+    new = np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))
+    for c in columns[1:]:  # by the number of what is equal so far, and the next
+        group, x = np.cumsum(new), c[order]
+        if len(x) < 1 << 31 and x.max(initial=0) < 1 << 32:
+            again = np.argsort(group << 32 | x)
+        else:
+            again = np.lexsort((x, group))
+        order, x = order[again], x[again]
+        new[1:] |= x[1:] != x[:-1]
+    starts = np.flatnonzero(new)
     if values is None:
-        return grams[:, at], np.bincount(of, minlength=len(key))[None]
-    return grams[:, at], np.stack([np.bincount(of, v, len(key)) for v in values]).astype(np.int64)
+        return grams[:, order[starts]], np.diff(np.append(starts, len(order)))[None]
+    return grams[:, order[starts]], np.stack([np.add.reduceat(v[order], starts, dtype=np.int64) if len(starts) else v.astype(np.int64) for v in values])
 
 
 def _rows(grams: np.ndarray, values: np.ndarray, blocks: int, words: Vocabulary) -> list[tuple[int, bytes]]:
@@ -335,11 +355,14 @@ def _store(folder: str, level: int, blocks: int, words: Vocabulary, top: bool):
         rows = [(-level, np.array([*_counts_of_counts(own), own.sum(), (own > 0).sum()], np.int64).tobytes())]
         if level > 1:
             # As a beginning: total and numbers of words once, twice, more often after it. As an end: words before it, or its own count after a mark.
-            begins = np.stack([own, own == 1, own == 2, own > 2, np.zeros_like(own)])
-            ends = np.zeros((len(_FACTS), len(count)), np.int64)
-            ends[-1] = np.where(whole, 1, count)
-            shorter = _summed(np.concatenate((grams[:-1, whole], grams[1:]), axis=1), np.concatenate((begins, ends), axis=1))
-            rows += _rows(*shorter, blocks, words)
+            ends = np.where(whole, 1, count)
+            del values
+            begins = _summed(grams[:-1, whole], np.stack([own, own == 1, own == 2, own > 2]).astype(np.uint32))
+            none = np.zeros((1, begins[0].shape[1]), np.int64)
+            rows += _rows(begins[0], np.concatenate((begins[1], none)), blocks, words)
+            del begins
+            ends = _summed(grams[1:], ends[None])
+            rows += _rows(ends[0], np.concatenate((np.zeros((4, len(ends[1][0])), np.int64), ends[1])), blocks, words)
         return pa.Table.from_batches([_packed(rows)])
 
     return store
@@ -377,37 +400,37 @@ def train(docs: DataFrame, order: int = 2) -> Model:
 
 def _find(model: Model, grams: np.ndarray) -> np.ndarray:
     """The facts that are stored for n-grams, a row for each; 0 where there is nothing."""
-    level = len(grams)
+    level, keys = len(grams), _key(grams)
     width = 1 if level == model.order else len(_FACTS)
-    keys, first, of = np.unique(_key(grams), return_index=True, return_inverse=True)
-    out = np.zeros((len(keys), width))
-    for b, at in _parts(_block(grams[:, first], model.blocks, model.words), model.blocks):
+    out = np.zeros((len(keys), width), np.int64)
+    for b, at in _parts(_block(grams, model.blocks, model.words), model.blocks):
         out[at] = look_up(f"{model.folder}/grams{level}-{b}", keys[at], width)
-    return out[of]
+    return out
 
 
 def _discounted(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-    return count - np.where(count > 2, d[2], np.where(count > 1, d[1], np.where(count > 0, d[0], 0)))
+    return count - np.array([0, *d])[np.minimum(count, 3)]
 
 
 def log_probs(model: Model, grams: np.ndarray) -> np.ndarray:
-    """Natural logarithm of p(last word | those before) for every event; each distinct n-gram is looked up once, in the order of the stored arrays."""
-    _, at, of = np.unique(_key(grams), return_index=True, return_inverse=True)
-    grams = grams[:, at]
-    n = grams.shape[1]
-    facts = _find(model, np.concatenate((grams[-1:], grams[-2:-1]), axis=1))
-    p = _discounted(facts[:n, -1], model.discounts[0]) / max(1, model.kinds) + model.lower_gamma / model.vocabulary
+    """Natural logarithm of p(last word | those before) for every event of some documents in order. What an event's history is, the event before has ended with, so each n-gram is looked up once."""
+    word, of = np.unique(np.append(grams[-1], BEGIN), return_inverse=True)
+    facts = _find(model, word[None])[of]
+    begin, facts = facts[-1], facts[:-1]
+    p = _discounted(facts[:, -1], model.discounts[0]) / max(1, model.kinds) + model.lower_gamma / model.vocabulary
+    first = grams[-2] == BEGIN
     for level in range(2, model.order + 1):
-        total, n1, n2, n3 = facts[n:, :4].T
-        own = grams[-level:]
-        if level < model.order:
-            facts = _find(model, np.concatenate((own, grams[-level - 1 : -1]), axis=1))
-        else:
-            facts = _find(model, own)
+        own, before = grams[-level:], np.concatenate((facts[-1:], facts[:-1]))[:, :4]
+        if level == 2:
+            before[first] = begin[:4]
+        total, n1, n2, n3 = before.T
+        whole = _whole(own)
+        facts = np.zeros((len(whole), 1 if level == model.order else len(_FACTS)), np.int64)
+        facts[whole] = _find(model, own[:, whole])
         d = model.discounts[level - 1]
-        longer = (_discounted(facts[:n, -1], d) + (d[0] * n1 + d[1] * n2 + d[2] * n3) * p) / np.maximum(total, 1)
-        p = np.where((total > 0) & _whole(own), longer, p)
-    return np.log(p)[of]
+        longer = (_discounted(facts[:, -1], d) + (d[0] * n1 + d[1] * n2 + d[2] * n3) * p) / np.maximum(total, 1)
+        p = np.where((total > 0) & whole, longer, p)
+    return np.log(p)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
