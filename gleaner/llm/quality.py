@@ -1,9 +1,14 @@
 """Quality classifier: compressed-size differences under zstandard dictionaries of good and of bad labelled text.
 
-Two codings of a document are compressed, each with a good and a bad dictionary. Its raw UTF-8 shows the look of junk; a
-dictionary there is a raw-content dictionary of labelled text. Its distinct words, each coded as its 8-byte hash, show rare
+Two codings of a document are compressed, each with a good and a bad dictionary. Its raw UTF-8 shows the look of junk; the
+dictionaries there are trained by zstandard on windows of all training texts. Its distinct words, each coded as its 8-byte hash, show rare
 telling words: a word costs 8 bytes unless the dictionary holds it. These two dictionaries have the words of labelled text
-that one class has and the other has hardly, so that the sizes differ by the telling words alone. The normalised differences, calibrated by a logistic regression on labelled documents that no dictionary has seen, give `p_bad`.
+that one class has and the other has hardly, so that the sizes differ by the telling words alone.
+
+Features are normalised differences, (good - bad) / max(good, bad), of the sizes of windows: the raw one over all of the text, that of all words, the largest one and the sum of the
+word windows (single words tell, so length doesn't dilute them), and besides the logarithm of the size under the good dictionary over the size of the text. Two logistic regressions on labelled documents that no
+dictionary has seen, of poor and of toxic against good ones, each kind weighing as much as it has documents among the labels, make the odds of either kind
+and so `p_bad`: of the documents with p_bad near p about a share of p is bad.
 
 A document is bad where its label has quality 0 or toxic 1. Labels that are null in quality or doc_id aren't used; repeated
 labels of a document are used once, the worst counting. At most TRAIN labelled documents of each kind are learned from, in
@@ -31,11 +36,11 @@ from .common import seeded, words_of
 
 #: Labelled documents of each of the three kinds (good, poor, toxic) that are learned from, at most.
 TRAIN = 1500
-#: Bytes of a raw dictionary; words that tell good from bad, of each side.
-RAW_BYTES, TELLING = 110 << 10, 2000
-EVIDENCE = 8.0
-RAW_LEVEL, WORD_LEVEL, PIECE, WINDOW = 3, 9, 600, 2048
-REJECT = 0.7
+#: Bytes of a raw dictionary; log likelihood ratio from which a word tells good from bad.
+RAW_BYTES, EVIDENCE = 110 << 10, 8.0
+#: Bytes of a raw window; distinct words of a word window; sum of word windows beyond which there is no doubt.
+RAW_LEVEL, WORD_LEVEL, WINDOW, WORDS, MOST = 3, 9, 2048, 128, 0.05
+REJECT = 0.35
 
 
 class Model(NamedTuple):
@@ -44,13 +49,13 @@ class Model(NamedTuple):
     dictionaries: tuple[bytes, bytes, bytes, bytes]
     centre: np.ndarray
     spread: np.ndarray
-    weights: np.ndarray
+    weights: list[np.ndarray]
 
 
 def compressors(dictionaries: tuple[bytes, ...]) -> list[zstandard.ZstdCompressor]:
     out = []
     for data, level in zip(dictionaries, (RAW_LEVEL, RAW_LEVEL, WORD_LEVEL, WORD_LEVEL)):
-        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d = zstandard.ZstdCompressionDict(data)
         d.precompute_compress(level=level)
         out.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
     return out
@@ -63,10 +68,10 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array, dictionaries: tuple[bytes, ...]) -> np.ndarray:
-    """A row for each text: normalised difference raw, telling words, normalised difference of words, log of the compression ratio."""
+    """A row for each text: normalised difference raw, that of all words, largest one and sum of the word windows, log of the compression ratio."""
     raw_good, raw_bad, word_good, word_bad = compressors(dictionaries)
     texts = texts.cast(pa.large_string()).fill_null("")
-    out = np.zeros((len(texts), 4))
+    out = np.zeros((len(texts), 5))
     raw = texts.cast(pa.large_binary())
     for first, end, words in words_of(texts):
         for i in range(first, end):
@@ -76,9 +81,12 @@ def features(texts: pa.Array, dictionaries: tuple[bytes, ...]) -> np.ndarray:
             windows = [data[at : at + WINDOW] for at in range(0, len(data), WINDOW)]
             good, bad = (sum(len(c.compress(w)) for w in windows) for c in (raw_good, raw_bad))
             coded = distinct(words.hashes[words.bounds[i - first] : words.bounds[i - first + 1]]).tobytes()
-            coded += bytes(len(coded) // 16 + 64)  # zstd stores a block as it is where it can't save 1/64; these zeros cost the same in both
-            w_good, w_bad = len(word_good.compress(coded)), len(word_bad.compress(coded))
-            out[i] = (good - bad) / max(good, bad), np.clip((w_good - w_bad) / 5, -4, 4), (w_good - w_bad) / max(w_good, w_bad), np.log(good / len(data))
+            # zstd stores a block as it is where it can't save 1/64; these zeros cost the same in both.
+            windows = [coded[at : at + 8 * WORDS] + bytes(64) for at in range(0, len(coded), 8 * WORDS)] or [bytes(64)]
+            sizes = [(len(word_good.compress(w)), len(word_bad.compress(w))) for w in windows]
+            told = [(g - b) / max(g, b) for g, b in sizes]
+            whole = sum(g - b for g, b in sizes) / sum(map(max, sizes))
+            out[i] = (good - bad) / max(good, bad), whole, max(told), np.clip(sum(told), -MOST, MOST), np.log(good / len(data))
     return out
 
 
@@ -89,25 +97,20 @@ def _telling(of: Counter, other: Counter, n: int, m: int) -> list[int]:
         expected = n * (other[word] + 0.5) / m
         if count > 20 * expected and (evidence := count * np.log(count / expected) - count + expected) > EVIDENCE:
             scores.append((evidence, word))
-    return [w for _, w in sorted(scores)[-TELLING:]]
-
-
-def _raw(texts: list[str], rng: np.random.Generator) -> bytes:
-    """Pieces of texts drawn in turn, until the dictionary is full."""
-    pieces, size = [], 0
-    for at in rng.permutation(len(texts)):
-        data = texts[at].encode()
-        start = int(rng.integers(0, max(1, len(data) - PIECE)))
-        pieces.append(data[start : start + PIECE])
-        size += len(pieces[-1])
-        if size >= RAW_BYTES:
-            break
-    return b"\n".join(pieces)[:RAW_BYTES]
+    return [w for _, w in sorted(scores)]
+
+
+def _raw(texts: list[str]) -> bytes:
+    """A dictionary that zstandard trains on all windows of the texts; where they are too few for that, their beginnings as they are."""
+    windows = [data[at : at + WINDOW] for data in (t.encode() for t in texts) for at in range(0, len(data), WINDOW)]
+    try:
+        return zstandard.train_dictionary(RAW_BYTES, windows, level=RAW_LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return (bytes(8) + b"\n".join(windows))[:RAW_BYTES]
 
 
-def learn(good: list[str], poor: list[str], toxic: list[str], seed: int = 7) -> Model | None:
-    """Dictionaries from two thirds of the examples, the calibration from the others."""
-    rng = np.random.default_rng(seed)
+def learn(good: list[str], poor: list[str], toxic: list[str], counts: tuple[int, int, int] | None = None) -> Model | None:
+    """Dictionaries from two thirds of the examples, the calibration from the others; `counts` of each kind among all labels."""
     kinds = [[t for t in k if t] for k in (good, poor, toxic)]
     if not kinds[0] or not kinds[1] + kinds[2]:
         return None
@@ -122,20 +125,27 @@ def learn(good: list[str], poor: list[str], toxic: list[str], seed: int = 7) ->
 
     g, p, t = (document_counts(a) for a, _ in parts)
     n = [max(1, len(a)) for a, _ in parts]
-    bad_words = _telling(t, g, n[2], n[0]) or _telling(p, g, n[1], n[0])
+    bad_words = dict.fromkeys(_telling(p, g, n[1], n[0]) + _telling(t, g, n[2], n[0]))
     good_words = _telling(g, p + t, n[0], n[1] + n[2])
-    words = [rng.bytes(16) + np.array(w, np.uint64).tobytes() for w in (good_words, bad_words)]
-    dictionaries = (_raw(parts[0][0], rng), _raw(parts[1][0] or parts[2][0], rng), *words)
+    words = [bytes(16) + np.array(list(w), np.uint64).tobytes() for w in (good_words, bad_words)]
+    dictionaries = (_raw(parts[0][0]), _raw(parts[1][0] + parts[2][0]), *words)
     x = features(pa.array([t for _, b in parts for t in b], pa.large_string()), dictionaries)
-    y = np.repeat([0.0, 1.0, 1.0], [len(b) if kinds[i] else 0 for i, (_, b) in enumerate(parts)])
+    sizes = [len(b) if k else 0 for k, (_, b) in zip(kinds, parts)]
+    kind = np.repeat(range(3), sizes)
+    share = np.repeat([c / max(1, m) for c, m in zip(counts or sizes, sizes)], sizes)
     centre, spread = x.mean(0), x.std(0) + 1e-9
-    return Model(dictionaries, centre, spread, _logistic(np.column_stack((np.ones(len(x)), (x - centre) / spread)), y))
+    x = np.column_stack((np.ones(len(x)), (x - centre) / spread))
+    weights = []
+    for bad in (1, 2):
+        own = (kind == 0) | (kind == bad)
+        if sizes[bad]:
+            weights.append(_logistic(x[own], (kind[own] == bad).astype(float), share[own] * own.sum() / share[own].sum()))
+    return Model(dictionaries, centre, spread, weights)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Newton steps on the penalised likelihood, both classes weighing as much."""
+def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Newton steps on the penalised weighted likelihood."""
     w = np.zeros(x.shape[1])
-    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     penalty = np.diag([1e-6] + [0.05] * (x.shape[1] - 1))
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -155,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model | None
         .groupBy("id")
         .agg(F.when(F.max("t") > 0, 2).when(F.min("q") < 1, 1).otherwise(0).alias("kind"))
     )
+    counted = {r["kind"]: r["count"] for r in kinds.groupBy("kind").count().collect()}
     wanted = [(r["id"], k) for k in range(3) for r in kinds.filter(F.col("kind") == k).orderBy(seeded(F.col("id")), "id").limit(most).select("id").collect()]
     ids = F.broadcast(spark.createDataFrame(wanted, "id long, kind int"))  # 3 * most rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id")).filter("text is not null")
@@ -162,16 +173,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model | None
     rows = texts.groupBy("id", "kind").agg(F.min("text").alias("text")).collect()
     for r in sorted(rows, key=lambda r: (r["id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["id"])):
         examples[r["kind"]].append(r["text"])
-    return learn(*examples)
+    return learn(*examples, tuple(counted.get(k, 0) for k in range(3)))
 
 
-def p_bad(texts: pa.Array, model: Model | None) -> np.ndarray:
-    p = np.full(len(texts), 0.5)
+def p_bad(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """p_bad, and whether it is rejected, of each text."""
+    p, told = np.full(len(texts), 0.5), np.zeros(len(texts), bool)
     if model is not None and len(texts):
         x = (features(texts, model.dictionaries) - model.centre) / model.spread
         told = np.array([bool(n) for n in pc.binary_length(texts).to_pylist()], bool)
-        p[told] = 1 / (1 + np.exp(-np.clip(model.weights[0] + x[told] @ model.weights[1:], -30, 30)))
-    return p
+        odds = sum(np.exp(np.clip(w[0] + x[told] @ w[1:], -30, 30)) for w in model.weights)
+        p[told] = odds / (1 + odds)
+    return p, told & (p > REJECT)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -179,8 +192,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def apply(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            p = p_bad(batch.column(1), model)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p > REJECT)], ["doc_id", "p_bad", "rejected"])
+            p, rejected = p_bad(batch.column(1), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(rejected)], ["doc_id", "p_bad", "rejected"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(apply, "doc_id long, p_bad double, rejected boolean")
@@ -196,6 +209,6 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, most: int = TRAIN) ->
 
     @F.arrow_udf("boolean")
     def rejected(texts: pa.Array) -> pa.Array:
-        return pa.array(p_bad(texts, model) > REJECT)
+        return pa.array(p_bad(texts, model)[1])
 
     return docs.filter(~rejected(F.col("text").cast("string")))

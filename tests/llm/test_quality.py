@@ -1,6 +1,9 @@
 import random
 
-from gleaner.llm.quality import accepted_documents, classify
+import numpy as np
+import pyarrow as pa
+import zstandard
+from gleaner.llm.quality import accepted_documents, classify, features
 
 DOCS, LABELS = "doc_id long, text string", "doc_id long, quality int, toxic int"
 
@@ -56,3 +59,28 @@ def test_nothing_to_learn_and_empty_tables(spark):
         assert accepted_documents(docs, told).count() == 2
     empty = spark.createDataFrame([], DOCS)
     assert classify(empty, none).collect() == accepted_documents(empty, none).collect() == []
+
+
+def test_p_bad_is_calibrated(spark):
+    """On documents that weren't learned from, the mean of p_bad is the share of bad ones, over all and above and below one half."""
+    docs, labels = corpus(3)
+    found = {r["doc_id"]: r["p_bad"] for r in classify(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels[:450], LABELS)).collect()}
+    told = [(found[i], not q or t) for i, q, t in labels[450:]]
+    for part in (told, [x for x in told if x[0] < 0.5], [x for x in told if x[0] >= 0.5]):
+        assert abs(sum(p - bad for p, bad in part) / len(part)) < 0.06
+
+
+def test_windowed_sizes_equal_compressing_by_hand():
+    rng = np.random.default_rng(1)
+    words = rng.integers(1, 1 << 60, 400).astype(np.uint64)
+    dictionaries = b"good text " * 20, b"b!d t!xt " * 20, bytes(16) + words[:50].tobytes(), bytes(16) + words[50:100].tobytes()
+    texts = ["good text b!d t!xt " * 300, "", "one", "é " * 5000]
+    got = features(pa.array(texts), dictionaries)
+    size = lambda d, level, data: len(zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+    for text, row in zip(texts, got):
+        data = text.encode()
+        if not data:
+            assert (row == 0).all()
+            continue
+        good, bad = (sum(size(d, 3, data[at : at + 2048]) for at in range(0, len(data), 2048)) for d in dictionaries[:2])
+        assert abs(row[0] - (good - bad) / max(good, bad)) < 0.02
