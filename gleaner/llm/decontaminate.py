@@ -9,8 +9,8 @@ against itself: doc_id, item_id, score (that share), first_word, end_word (the a
 3. Where a document has a seed, the words around it, as many as the item has and a quarter more, are aligned with the item: MATCH
    for equal words, minus MISMATCH for replaced ones, minus GAP for each word left out or put in. So edited copies are found.
 
-The index goes to the workers in parts of at most PART n-grams, a pass over the documents for each: its size follows the benchmark, not
-the corpus, and a part is bounded. Null texts and texts without words have no row. Items of fewer than n words can't be told from
+The index goes to the workers in parts of at most PART n-grams (or of one item), a pass over the documents for each: its size follows the benchmark, not
+the corpus, and a part is bounded. A benchmark of more than MOST bytes of text is refused. Null texts and texts without words have no row. Items of fewer than n words can't be told from
 chance and have no row; items that agree in id are each tried, the best score counting. A document without doc_id has rows with null;
 repeated rows of a document have a row each. Ties go to the alignment that starts later. Empty tables give no rows. Only doc_id, text and
 item_id, text are read.
@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, ngrams, words_of
+from .common import Words, ngrams, text_bytes, words_of
 
 NGRAM, SEEDS, SCORE = 3, 0.6, 0.5
 MATCH, MISMATCH, GAP = 2, 1, 1
-PART = 2_000_000
+PART, MOST = 2_000_000, 1 << 28
 _ONE = np.int64(1) << np.int64(32)
 
 
@@ -104,7 +104,9 @@ def align(windows: list[np.ndarray], item: np.ndarray) -> list[tuple[int, int, i
 
 
 def read_items(items: DataFrame, n: int) -> list[Item]:
-    """The benchmark's items; the benchmark is read by the driver, as its size is that of a test set and not of a corpus."""
+    """The benchmark's items; the benchmark is read by the driver, as its size is that of a test set and not of a corpus; this is checked first."""
+    if (size := text_bytes(items)[1]) > MOST:
+        raise ValueError(f"the benchmark has {size} bytes of text; {MOST} are the most that goes to the workers")
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct().orderBy("item_id", "text").collect()
     out = []
     for first, end, words in words_of(pa.array([r["text"] for r in rows], pa.large_string())):
