@@ -4,7 +4,7 @@
 doc_id, class_id (the least doc_id of all that such links connect, through others too), copies (documents with exactly its set, itself included) and
 links (other documents at the threshold or above, copies included). `similar_sets(docs)` has the links themselves, between different sets.
 
-1. N-grams that HOT documents or more have are found in a first pass. They aren't shuffled by columns: that many documents share them is known.
+1. N-grams that HOT documents or more have (a millionth of all n-grams, where that is more) are found in a first pass. They aren't shuffled by columns: that many documents share them is known.
 2. The incidence matrix is shuffled once in blocks of columns. Columns with a single document can't contribute and end there.
 3. The others go back to their documents. A pair at the threshold has at least THRESHOLD * size n-grams in common, so a document
    with fewer n-grams in shared columns is dropped with all its pairs. Equal sets become one, however many documents have it.
@@ -75,9 +75,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
 
 
-def hot_grams(docs: DataFrame, n: int, rows: int) -> np.ndarray:
-    """Sorted n-grams that HOT documents or more have. Tasks pass on what is frequent enough among their own documents, with its count; what they don't is less than half of HOT. So there are fewer than 2 / HOT of all n-grams."""
-    share = HOT / 2 / max(1, rows)
+def hot_grams(docs: DataFrame, n: int, rows: int, size: int) -> np.ndarray:
+    """Sorted n-grams that `hot` documents or more have, two million at most. Tasks pass on what is frequent enough among their own documents, with its count; what they don't is less than half of that."""
+    hot = max(HOT, size // 6_000_000)
+    share = hot / 2 / max(1, rows)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, 0
@@ -99,7 +100,7 @@ def hot_grams(docs: DataFrame, n: int, rows: int) -> np.ndarray:
         if held:
             yield frequent()
 
-    found = _texts(docs).select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT // 2)
+    found = _texts(docs).select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot // 2)
     return np.sort(np.array([r["gram"] for r in found.collect()], np.int64).view(np.uint64))
 
 
@@ -359,7 +360,7 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     """Links a, b, overlap, jaccard, copies_a, copies_b between different sets, named by signatures; sets sig, size, least (doc_id), copies; and members doc_id, sig. Only sets that may have a partner are here."""
     count, size = text_bytes(docs)
     buckets = buckets_for(size / 6, COLUMNS)
-    back = incidence(docs, n, buckets, hot_grams(docs, n, count)).groupBy("bucket").applyInArrow(shared_columns, SHARED)
+    back = incidence(docs, n, buckets, hot_grams(docs, n, count, size)).groupBy("bucket").applyInArrow(shared_columns, SHARED)
     every = materialise(back.groupBy("block").applyInArrow(bounded_rows(threshold, _split(buckets)[1]), SETS), "rows")
     members = every.select("doc_id", "sig").distinct()
     held = members.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))

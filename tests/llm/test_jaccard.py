@@ -81,7 +81,7 @@ def test_classes_and_links_equal_brute_force(spark, monkeypatch, n, threshold, t
 def test_hot_ngrams_skip_the_columns(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", 8)
     docs = spark.createDataFrame([(i, f"the same five words everywhere x{i}") for i in range(20)], SCHEMA)
-    assert len(jaccard.hot_grams(docs, 5, 20)) == 1
+    assert len(jaccard.hot_grams(docs, 5, 20, 700)) == 1
 
 
 def test_nulls_empty_ties_long_and_repeated_rows(spark):
