@@ -6,10 +6,11 @@ in a document of lesser doc_id, the reference being the least such document, at
 Factors of a greedy parse end where the reference ends; there the parse is checked: a factor that begins before that boundary and
 reaches beyond it prolongs the span, although what lies beyond it may be shorter than MIN_WORDS.
 
-1. Every MIN_WORDS words have an anchor, the least hash of their ANCHOR-word runs. Equal runs of words have equal anchors. The blocks of the
-   reference are indexed by anchors, shuffled once; an anchor that only one document has ends there.
+1. Every MIN_WORDS words have an anchor, the least hash of their ANCHOR-word runs. Equal runs of words have equal anchors. Anchors are
+   counted; one that only one document has ends there.
 2. Documents with shared anchors, and only their runs of MIN_WORDS words around these, are looked up in the index: runs go to the block
-   of their anchor as hashes, neighbours together, and come back as stretches of words with a reference.
+   of their anchor as hashes, neighbours together, and come back as stretches of words with a reference. Runs whose anchor HOT documents or more have
+   don't go to a block: their first occurrences are found by each task and then in all, and joined to them.
 3. Stretches are joined to factors and spans.
 
 So nothing is missed at block boundaries, and no document is compared with all others. Repeats within one document aren't spans. Null texts and texts
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, buckets_for, rolling, row_key, sliding_min, text_bytes, words_of
+from .common import Words, buckets_for, materialise, rolling, row_key, sliding_min, text_bytes, words_of
 
 MIN_WORDS, ANCHOR = 50, 20
 #: Runs of words in a block of the index; bytes of text worked on at once.
 BLOCK, TEXT = 4_000_000, 2_000_000
+#: Documents of an anchor whose runs don't go to a block.
+HOT = 200_000
 _HEAD = np.dtype([("doc", "<i8"), ("row", "<i8")])
 _RUN = np.dtype([("head", "<u4"), ("at", "<u4"), ("length", "<u4")])
 _PACKED = "bucket int, count int, data binary"
@@ -65,7 +68,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", "text", row_key("doc_id", "text").alias("row"))
 
 
-def _index(length: int, anchor: int, buckets: int) -> Callable:
+def _index(length: int, anchor: int) -> Callable:
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
@@ -75,72 +78,60 @@ def _index(length: int, anchor: int, buckets: int) -> Callable:
                 doc, least = doc[order], least[order]
                 new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])))[: len(doc)]
                 doc, least = doc[new], least[new]
-                rows = []
-                for b, at in _slices(_bucket(least, buckets), buckets):
-                    used, local = np.unique(doc[at], return_inverse=True)
-                    heads = np.empty(len(used), _HEAD)
-                    heads["doc"], heads["row"] = ids[first + used], keys[first + used]
-                    rows.append((b, len(used), heads.tobytes() + local.astype("<u4").tobytes() + least[at].tobytes()))
-                yield _packed(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + doc]), pa.array(keys[first + doc]), pa.array(least.view(np.int64))], ["doc_id", "row", "anchor"])
 
     return index
 
 
-def _shared(part: pa.Table) -> pa.Table:
-    """Anchors of the block that two documents have, by row."""
-    doc, row, anchor = [], [], []
-    for count, data in zip(part.column("count").to_pylist(), part.column("data").to_pylist()):
-        heads = np.frombuffer(data, _HEAD, count)
-        n = (len(data) - heads.nbytes) // 12
-        local = np.frombuffer(data, "<u4", n, heads.nbytes)
-        doc.append(heads["doc"][local])
-        row.append(heads["row"][local])
-        anchor.append(np.frombuffer(data, np.uint64, n, heads.nbytes + 4 * n))
-    doc, row, anchor = np.concatenate(doc), np.concatenate(row), np.concatenate(anchor)
-    order = np.argsort(anchor, kind="stable")
-    starts = np.flatnonzero(np.concatenate(([True], anchor[order][1:] != anchor[order][:-1])))
-    several = np.maximum.reduceat(doc[order], starts) != np.minimum.reduceat(doc[order], starts)
-    keep = np.empty(len(anchor), bool)
-    keep[order] = np.repeat(several, np.diff(np.append(starts, len(anchor))))
-    row, anchor = row[keep], anchor[keep]
-    order = np.argsort(row, kind="stable")
-    row, anchor = row[order], anchor[order]
-    starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(row)) if len(row) else starts
-    return pa.table({"s_row": pa.array(row[starts], pa.int64()), "own": pa.array([np.unique(anchor[a:b]).tobytes() for a, b in zip(starts, ends)], pa.binary())})
-
-
-def _lookups(length: int, anchor: int, buckets: int) -> Callable:
+def _asked(batches: Iterable[pa.RecordBatch], length: int, anchor: int, hot: np.ndarray, is_hot: bool) -> Iterator[tuple]:
+    """Ids and keys of the documents of some text, and document, word, anchor and hash of its runs with a shared anchor, hot ones or others."""
+    for batch in batches:
+        ids, keys, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
+        for first, end, words in words_of(batch.column(1), TEXT):
+            doc, at, least = anchors(words, length, anchor)
+            bounds = np.searchsorted(doc, np.arange(end - first + 1))
+            shared = np.zeros(len(doc), bool)
+            for i in range(end - first):
+                mine = own[first + i].values.to_numpy().view(np.uint64)
+                shared[bounds[i] : bounds[i + 1]] = np.isin(least[bounds[i] : bounds[i + 1]], mine)
+            shared &= np.isin(least, hot) == is_hot
+            doc, at, least = doc[shared], at[shared], least[shared]
+            if len(doc):
+                yield ids[first:end], keys[first:end], doc, at - words.bounds[doc], least, rolling(words.hashes, length)[at]
+
+
+def _lookups(length: int, anchor: int, buckets: int, hot: np.ndarray) -> Callable:
     def lookups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
-            for first, end, words in words_of(batch.column(1), TEXT):
-                doc, at, least = anchors(words, length, anchor)
-                bounds = np.searchsorted(doc, np.arange(end - first + 1))
-                shared = np.zeros(len(doc), bool)
-                for i in range(end - first):
-                    mine = np.frombuffer(b"".join(own[first + i].as_py()), np.uint64)
-                    shared[bounds[i] : bounds[i + 1]] = np.isin(least[bounds[i] : bounds[i + 1]], mine)
-                doc, at, least = doc[shared], at[shared], least[shared]
-                if not len(doc):
-                    continue
-                value = rolling(words.hashes, length)[at]
-                start = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1))))
-                size = np.diff(np.append(start, len(doc)))
-                rows = []
-                for b, pick in _slices(_bucket(least[start], buckets), buckets):
-                    used, local = np.unique(doc[start[pick]], return_inverse=True)
-                    heads = np.empty(len(used), _HEAD)
-                    heads["doc"], heads["row"] = ids[first + used], keys[first + used]
-                    runs = np.empty(len(pick), _RUN)
-                    runs["head"], runs["at"], runs["length"] = local, at[start[pick]] - words.bounds[doc[start[pick]]], size[pick]
-                    where = np.repeat(start[pick] - np.cumsum(size[pick]) + size[pick], size[pick]) + np.arange(size[pick].sum())
-                    rows.append((b, len(used), np.int64(len(pick)).tobytes() + heads.tobytes() + runs.tobytes() + value[where].tobytes()))
-                yield _packed(rows)
+        for ids, keys, doc, at, least, value in _asked(batches, length, anchor, hot, False):
+            start = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1))))
+            size = np.diff(np.append(start, len(doc)))
+            rows = []
+            for b, pick in _slices(_bucket(least[start], buckets), buckets):
+                used, local = np.unique(doc[start[pick]], return_inverse=True)
+                heads = np.empty(len(used), _HEAD)
+                heads["doc"], heads["row"] = ids[used], keys[used]
+                runs = np.empty(len(pick), _RUN)
+                runs["head"], runs["at"], runs["length"] = local, at[start[pick]], size[pick]
+                where = np.repeat(start[pick] - np.cumsum(size[pick]) + size[pick], size[pick]) + np.arange(size[pick].sum())
+                rows.append((b, len(used), np.int64(len(pick)).tobytes() + heads.tobytes() + runs.tobytes() + value[where].tobytes()))
+            yield _packed(rows)
 
     return lookups
 
 
+def _hot_stretches(asked: DataFrame, length: int, anchor: int, hot: np.ndarray) -> DataFrame:
+    """A stretch for each run of a hot anchor that a document of lesser id has."""
+
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, keys, doc, at, _, value in _asked(batches, length, anchor, hot, True):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(keys[doc]), pa.array(at), pa.array(value.view(np.int64))], ["doc_id", "row", "at", "value"])
+
+    every = materialise(asked.mapInArrow(runs, "doc_id long, row long, at long, value long").dropDuplicates(["row", "at"]), "hot-runs")
+    first = every.groupBy(F.col("value").alias("v")).agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    later = every.join(first, F.col("value") == F.col("v")).filter("doc_id > first.doc_id")
+    return later.select("doc_id", "row", "at", F.lit(1).cast("long").alias("length"), F.col("first.doc_id").alias("ref_doc_id"), F.col("first.at").alias("ref_word"))
+
+
 _STRETCH = "doc_id long, row long, at long, length long, ref_doc_id long, ref_word long"
 
 
@@ -176,12 +167,20 @@ def _references(part: pa.Table) -> pa.Table:
 
 def duplicate_spans(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
     _, size = text_bytes(docs)
-    buckets = min(1 << 15, buckets_for(size / 6, BLOCK))
+    buckets = buckets_for(size / 6, BLOCK)
     texts = _keyed(docs)
-    shared = texts.mapInArrow(_index(min_words, anchor, buckets), _PACKED).groupBy("bucket").applyInArrow(_shared, "s_row long, own binary")
-    wanted = shared.groupBy("s_row").agg(F.collect_list("own").alias("own"))
+    found = materialise(texts.mapInArrow(_index(min_words, anchor), "doc_id long, row long, anchor long").distinct(), "anchors")
+    shared = found.groupBy(F.col("anchor").alias("a")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most")
+    shared = materialise(shared.select("a", "n"), "shared")
+    most = max(HOT, size // 6_000_000)  # so a million hot anchors at most
+    hot = np.array([r["a"] for r in shared.filter(F.col("n") >= most).select("a").collect()], np.int64).view(np.uint64)
+    wanted = found.join(shared, F.col("anchor") == F.col("a")).groupBy(F.col("row").alias("s_row")).agg(F.collect_list("anchor").alias("own"))
     asked = texts.join(wanted, F.col("row") == F.col("s_row")).select("doc_id", "text", "row", "own")
-    stretches = asked.mapInArrow(_lookups(min_words, anchor, buckets), _PACKED).groupBy("bucket").applyInArrow(_references, _STRETCH)
+    if len(hot):
+        asked = materialise(asked, "asked")
+    stretches = asked.mapInArrow(_lookups(min_words, anchor, buckets, hot), _PACKED).groupBy("bucket").applyInArrow(_references, _STRETCH)
+    if len(hot):
+        stretches = stretches.unionByName(_hot_stretches(asked, min_words, anchor, hot))
     order = Window.partitionBy("doc_id", "row").orderBy("at")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     continues = (F.lag("at").over(order) + F.lag("length").over(order) == F.col("at")) & (F.lag("ref_doc_id").over(order) == F.col("ref_doc_id")) & (F.lag("ref_word").over(order) + F.lag("length").over(order) == F.col("ref_word"))

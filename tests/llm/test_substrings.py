@@ -1,5 +1,7 @@
 import random
 
+import pytest
+from gleaner.llm import registry, substrings
 from gleaner.llm.common import WORD
 from gleaner.llm.substrings import duplicate_spans
 
@@ -35,7 +37,9 @@ def found(df):
     return sorted((r["doc_id"], r["first_word"], r["end_word"], r["ref_doc_id"], r["ref_word"]) for r in df.collect())
 
 
-def test_spans_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [200_000, 8])
+def test_spans_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
     rng = random.Random(9)
     new = lambda k: [f"w{rng.randrange(50)}" for _ in range(k)]
     passages = [new(rng.choice((9, 10, 15, 40))) for _ in range(8)]
@@ -66,3 +70,17 @@ def test_a_short_rest_beyond_a_factor_boundary_prolongs_the_span(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = [r for r in duplicate_spans(docs, 8, 3).collect() if r["doc_id"] == 3]
     assert [(r["first_word"], r["end_word"], r["factors"]) for r in got] == [(0, 16, 2)]
+
+
+def test_the_registered_query(spark, tmp_path):
+    rng = random.Random(10)
+    passages = [[f"p{g}_{k}" for k in range(70)] for g in range(5)]
+    rows = []
+    for i in range(60):
+        own = [f"d{i}_{k}" for k in range(rng.randint(0, 200))]
+        part = rng.choice(passages)
+        at = rng.randrange(len(own) + 1)
+        rows.append((i, " ".join(own[:at] + part[rng.randint(0, 30) :] + own[at:])))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = found(registry.op5_substring_dedup(spark, str(tmp_path)))
+    assert got == brute(rows, 50) and len(got) > 20
