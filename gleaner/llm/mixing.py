@@ -23,20 +23,22 @@ from .token_lengths import VOCABULARY, lengths
 
 #: Share of all tokens that is selected when no total is given.
 SHARE = 0.5
-#: Tokens of each budget that are left to the knapsack; what rounding adds to them is first taken off, longest documents first.
+#: Tokens of each budget that are left to the knapsack: at most these, of a small budget a tenth or four of its longest documents; what rounding adds to them is first taken off, longest documents first.
 RESERVE = 2048
+#: Units of a source and length that are ranked together.
+RANKED = 100_000
 
 
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take, for the largest sum that doesn't exceed the budget."""
-    total = sum(n * c for n, c in counts.items())
+    total, reserve = sum(n * c for n, c in counts.items()), min(RESERVE, max(budget // 10, 4 * max(counts, default=0)), budget)
     if total <= budget:
         return dict(counts)
     # The same share of every part of the lengths, shortest first: rounding goes over from length to length, as most have few documents.
     take, seen, used = {0: counts[0]} if 0 in counts else {}, 0, 0
     for n in sorted(n for n in counts if n):
         seen += counts[n]
-        take[n] = seen * max(0, budget - RESERVE) // total - used
+        take[n] = seen * (budget - reserve) // total - used
         used += take[n]
     lack = budget - sum(n * c for n, c in take.items())
     while lack < 0:  # too much by the rounding: the shortest document that mends it goes, or else the longest
@@ -44,7 +46,7 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         take[n] -= 1
         lack += n
     for n in sorted((n for n in counts if n), reverse=True):  # a large lack is first brought down to what the bitset spans
-        more = max(0, min(counts[n] - take[n], (lack - RESERVE) // n))
+        more = max(0, min(counts[n] - take[n], (lack - reserve) // n))
         take[n] += more
         lack -= more * n
     # Of each length, at most lack // n more can fit. Counts are split into powers of two, and a bit of `reach` says that a sum can be made.
@@ -92,15 +94,19 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     all_tokens = sum(n * c for s in counts.values() for n, c in s.items())
     total = int(all_tokens * share) if total is None else total
     scale = sum(weights.get(s, 0) for s in counts) or 1
-    quotas = [(s, n, k) for s, c in counts.items() if weights.get(s, 0) > 0 for n, k in fit(c, int(total * weights[s] / scale)).items() if k]
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame(quotas, "q_source string, q_tokens long, q_take long")
+    quotas = [(s, n, k, max(1, c[n] // RANKED)) for s, c in counts.items() if weights.get(s, 0) > 0 for n, k in fit(c, int(total * weights[s] / scale)).items() if k]
+    wanted = docs.sparkSession.createDataFrame(quotas, "q_source string, q_tokens long, q_take long, q_parts long")
+    # Ranks in two steps, by the part of the hash's range and within it: no length, however common, is one task.
     chance = seeded(F.col("_row"), seed)
-    ranked = units.withColumn("_rank", F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy(chance, "_row")))
-    return ranked.join(wanted, ranked.source.eqNullSafe(wanted.q_source) & (ranked.n_tokens == wanted.q_tokens) & (ranked._rank <= wanted.q_take)).select("doc_id", "source", "n_tokens", "_row")
+    asked = units.join(wanted, units.source.eqNullSafe(wanted.q_source) & (units.n_tokens == wanted.q_tokens)).withColumn("_part", F.floor(chance / F.lit(2.0**63) * F.col("q_parts")))
+    before = F.sum("n").over(Window.partitionBy("p_source", "p_tokens").orderBy("p_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = asked.groupBy(F.col("source").alias("p_source"), F.col("n_tokens").alias("p_tokens"), F.col("_part").alias("p_part")).agg(F.count(F.lit(1)).alias("n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    placed = asked.join(parts, asked.source.eqNullSafe(parts.p_source) & (asked.n_tokens == parts.p_tokens) & (asked._part == parts.p_part)).filter(F.col("_before") < F.col("q_take"))
+    rank = F.row_number().over(Window.partitionBy("source", "n_tokens", "_part").orderBy(chance, "_row"))
+    return placed.withColumn("_rank", F.col("_before") + rank).filter(F.col("_rank") <= F.col("q_take")).select("doc_id", "source", "n_tokens", "_row")
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The selected documents with all their columns. The join is by a key that is null-safe; Spark broadcasts the keys only where they are measured to be small."""
-    chosen = mix_sources(docs, **options).select(F.col("_row").alias("_chosen"))
-    return docs.join(chosen, row_key("doc_id", "source", "text") == chosen._chosen, "left_semi")
+    chosen = mix_sources(docs, **options).select(F.col("_row").alias("chosen"))
+    return docs.join(chosen, row_key("doc_id", "source", "text") == chosen["chosen"], "left_semi")

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pytest
+from gleaner.llm import mixing
 from gleaner.llm.mixing import fit, mix_sources, mixed_documents
 from gleaner.llm.token_lengths import lengths
 
@@ -38,7 +40,9 @@ def test_all_lengths_keep_their_share():
     assert 950 < sum(take.values()) < 1050 and 450 < sum(c for n, c in take.items() if n <= 1000) < 550
 
 
-def test_query_meets_weights_and_equals_counting_by_hand(spark):
+@pytest.mark.parametrize("ranked", [100_000, 4])
+def test_query_meets_weights_and_equals_counting_by_hand(spark, monkeypatch, ranked):
+    monkeypatch.setattr(mixing, "RANKED", ranked)
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "x", "1234", "é"], k=rng.randint(0, 30))), rng.choice("aabc")) for i in range(400)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
