@@ -3,13 +3,15 @@
 `assign_shards(docs)` has a row for each distinct doc_id: doc_id, shard (0 to SHARDS - 1). No shard has more than (1 + SLACK) / SHARDS of them,
 rounded up, plus one for every RANKED documents. Sizes are numbers of documents.
 
-1. Links: a document's sketch is the SKETCH least hashes of its word n-grams. All documents that have a hash are linked with each other, once for
+1. Links: a document's anchors are the least hash of its word n-grams in every run of PASSAGE words, so all documents that share such a passage
+   share an anchor, and the longer the text, the more it has. Shorter documents, and near copies with many edits, are held by the SKETCH least hashes
+   of the whole text besides. All documents that have a hash are linked with each other, once for
    each hash. Links aren't written out: a hash with m documents has m rows, however many share it.
 2. Documents are dealt to shards evenly, in a seeded order.
 3. In each round, documents are counted by hash and shard, at most SHARDS rows for each hash, and a document's links to a shard are the sum over
    its hashes, without itself. In each of ROUNDS rounds a half of the documents, another one each time, wishes to be where most of its links' weight is, if that is more than
    in its own shard. From shard i to j, as many go as wish to go from j to i, and besides an equal share of j's free room; those that gain
-   most go first. So sizes keep their bounds while fewer links are cut.
+   most go first, gains of 16 and more in steps of a fifth. They are ranked in two steps, so no wish, however common, is one task. So sizes keep their bounds while fewer links are cut.
 
 Each round is written to the shared folder. Ties go to the lesser shard, and among documents to a seeded order. Documents without
 text or words have no links and stay where they were dealt. Rows that agree in doc_id are one document with all their hashes. Rows without
@@ -25,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ngrams, seeded, words_of
+from .common import materialise, ngrams, seeded, sliding_min, words_of
 
-SHARDS, SLACK, ROUNDS, SKETCH, NGRAM = 16, 0.05, 8, 8, 5
+SHARDS, SLACK, ROUNDS, SKETCH, NGRAM, PASSAGE = 16, 0.05, 8, 8, 5, 50
 #: Documents that are ranked together when they are dealt.
 RANKED = 100_000
 
 
-def _sketch(n: int, size: int):
+def _sketch(n: int, size: int, passage: int):
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -41,13 +43,13 @@ def _sketch(n: int, size: int):
                 for i in range(end - first):
                     own = words.hashes[words.bounds[i] : words.bounds[i + 1]]
                     grams = ngrams(own, min(n, len(own))) if len(own) else own
+                    least = grams
                     # A few times the size nearly always has enough distinct ones, which spares sorting all.
                     if len(grams) > 8 * size:
                         some = np.unique(np.partition(grams, 4 * size)[: 4 * size])
-                        grams = some if len(some) >= size else np.unique(grams)
-                    else:
-                        grams = np.unique(grams)
-                    value.append(grams[:size])
+                        least = some if len(some) >= size else grams
+                    anchors = sliding_min(grams, passage - n + 1) if len(grams) > passage - n else grams[:0]
+                    value.append(np.unique(np.concatenate((np.unique(least)[:size], anchors))))
                     doc.append(np.full(len(value[-1]), ids[first + i], np.int64))
             if doc:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(value).view(np.int64))], ["doc", "hash"])
@@ -55,11 +57,12 @@ def _sketch(n: int, size: int):
     return sketch
 
 
-def holders(docs: DataFrame, n: int = NGRAM, size: int = SKETCH) -> DataFrame:
-    """doc, hash for each hash that several documents have."""
+def holders(docs: DataFrame, n: int = NGRAM, size: int = SKETCH, passage: int = PASSAGE) -> DataFrame:
+    """doc, hash for each hash that several documents have. Holders are counted by task before they are shuffled; the join that follows is left to Spark to split where a hash is hot."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    sketches = named.mapInArrow(_sketch(n, size), "doc long, hash long").distinct()
-    return sketches.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("hash"))).filter("m > 1").select("doc", "hash")
+    sketches = materialise(named.mapInArrow(_sketch(n, size, passage), "doc long, hash long").distinct(), "anchors")
+    several = sketches.groupBy(F.col("hash").alias("h")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h")
+    return sketches.join(several, F.col("hash") == F.col("h")).select("doc", "hash")
 
 
 def links(docs: DataFrame, n: int = NGRAM, size: int = SKETCH) -> DataFrame:
@@ -82,6 +85,18 @@ def _awake(round_: int) -> Column:
     return F.pmod(F.xxhash64("doc", F.lit(round_ // 2)) + round_, F.lit(2)) == 0
 
 
+def _first(wishes: DataFrame) -> DataFrame:
+    """Of the wishes to go from i to j the first `quota`, by falling gain and then a seeded order. Counted by step of gain and 256th of that order first; ranks are only made within these."""
+    chance = seeded(F.col("doc"))
+    step = F.when(F.col("gain") < 16, F.col("gain")).otherwise(16 + F.floor(4 * F.log2(F.col("gain"))))
+    placed = wishes.withColumn("bin", (F.shiftright(chance, 55) - 256 * step).cast("long"))
+    before = F.sum("n").over(Window.partitionBy("b_i", "b_j").orderBy("b_bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = placed.groupBy(F.col("i").alias("b_i"), F.col("j").alias("b_j"), F.col("bin").alias("b_bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    within = placed.join(bins, (F.col("i") == F.col("b_i")) & (F.col("j") == F.col("b_j")) & (F.col("bin") == F.col("b_bin"))).filter("before < quota")
+    rank = F.row_number().over(Window.partitionBy("i", "j", "bin").orderBy(chance, "doc"))
+    return within.withColumn("rank", F.col("before") + rank).filter("rank <= quota").select("doc", "j")
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
     held = materialise(holders(docs), "holders")
     ids = docs.select(F.col("doc_id").cast("long").alias("d")).filter("d is not null").distinct().count()
@@ -103,15 +118,16 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, r
             break
         quotas = [(i, j, min(n, wished.get((j, i), 0)) + max(0, most - sizes.get(j, 0)) // shards) for (i, j), n in wished.items()]
         quota = spark.createDataFrame(quotas, "qi int, qj int, quota long")  # shards * shards rows at most
-        rank = F.row_number().over(Window.partitionBy("i", "j").orderBy(F.desc("gain"), seeded(F.col("doc")), "doc"))
-        moves = wishes.withColumn("rank", rank).join(F.broadcast(quota), (F.col("i") == F.col("qi")) & (F.col("j") == F.col("qj"))).filter("rank <= quota").select(F.col("doc").alias("m_doc"), "j")
+        moves = _first(wishes.join(F.broadcast(quota), (F.col("i") == F.col("qi")) & (F.col("j") == F.col("qj")))).select(F.col("doc").alias("m_doc"), "j")
         labels = materialise(labels.join(moves, F.col("doc") == F.col("m_doc"), "left").select("doc", F.coalesce("j", "shard").alias("shard")), "shards")
     return labels.select(F.col("doc").alias("doc_id"), "shard")
 
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS, **options: object) -> DataFrame:
-    """The documents with all their columns and `shard`; a column of that name is replaced."""
-    labels = assign_shards(docs, shards, **options).select(F.col("doc_id").alias("_shard_doc"), F.col("shard").alias("_shard"))
+    """The documents with all their columns and `shard`; a column of that name, in any case, is replaced, any other is kept."""
+    taken = {c.lower() for c in docs.columns}
+    key, label = (next(f"{name}{'_' * k}" for k in range(len(taken) + 1) if f"{name}{'_' * k}" not in taken) for name in ("shard_key", "shard_label"))
+    labels = assign_shards(docs, shards, **options).select(F.col("doc_id").alias(key), F.col("shard").alias(label))
     dealt = F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")
-    joined = docs.join(labels, docs["doc_id"].cast("long") == labels["_shard_doc"], "left")
-    return joined.withColumn("shard", F.coalesce("_shard", dealt)).drop("_shard_doc", "_shard")
+    joined = docs.join(labels, docs["doc_id"].cast("long") == labels[key], "left")
+    return joined.withColumn("shard", F.coalesce(label, dealt)).drop(key, label)

@@ -1,7 +1,9 @@
 import math
+import random
 from collections import Counter
 
-from gleaner.llm.sharding import assign_shards, deal, links, sharded_documents
+from gleaner.llm.common import seeded
+from gleaner.llm.sharding import _first, assign_shards, deal, holders, links, sharded_documents
 
 SCHEMA = "doc_id long, text string"
 
@@ -32,6 +34,43 @@ def test_defined_results(spark):
     assert assign_shards(empty).collect() == sharded_documents(empty).collect() == []
 
 
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", "z", 2)], SCHEMA + ", shard_key string, shard_label string, _shard string, SHARD int")
+    full = sharded_documents(docs, 2)
+    assert [c.lower() for c in full.columns] == [c.lower() for c in docs.columns]
+    assert tuple(full.first())[2:5] == ("x", "y", "z")
+
+
+def test_documents_that_share_a_passage_are_linked(spark):
+    """Against brute force over all pairs: every pair with 50 words in a row in common has a hash in common, in texts of any length."""
+    rng = random.Random(5)
+    passages = [[f"p{g}_{i}" for i in range(60)] for g in range(6)]
+    texts = []
+    for i in range(40):
+        words = [f"d{i}_{k}" for k in range(rng.choice((10, 400, 3000)))]
+        at = rng.randrange(len(words))
+        texts.append(words[:at] + passages[i % 6] + words[at:])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], SCHEMA).repartition(3)
+    held = {}
+    for r in holders(docs).collect():
+        held.setdefault(r["hash"], set()).add(r["doc"])
+    linked = {(a, b) for ids in held.values() for a in ids for b in ids if a < b}
+    assert linked == {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 6 == b % 6}
+
+
+def test_first_wishes_equal_a_sort(spark):
+    rng = random.Random(6)
+    rows = [(d, rng.randrange(2), rng.randrange(2), rng.choice((1, 2, 15, 16, 40, 1000))) for d in range(2000)]
+    quota = {(0, 0): 0, (0, 1): 100, (1, 0): 300, (1, 1): 10_000}
+    wishes = spark.createDataFrame([(*r, quota[r[1:3]]) for r in rows], "doc long, i int, j int, gain long, quota long")
+    chance = {r["doc"]: r["c"] for r in wishes.select("doc", seeded(wishes["doc"]).alias("c")).collect()}
+    step = lambda g: g if g < 16 else 16 + math.floor(4 * math.log2(g))
+    want = set()
+    for (i, j), n in quota.items():
+        want |= {r[0] for r in sorted((r for r in rows if r[1:3] == (i, j)), key=lambda r: (-step(r[3]), chance[r[0]]))[:n]}
+    assert {r["doc"] for r in _first(wishes).collect()} == want
+
+
 def test_a_large_group_meets(spark):
     rows = [(i, " ".join(f"copied {k}" for k in range(40)) if i % 4 == 0 else " ".join(f"own {i} {k}" for k in range(10))) for i in range(400)]
     got = {r["doc_id"]: r["shard"] for r in assign_shards(spark.createDataFrame(rows, SCHEMA).repartition(3), 4, 1.0).collect()}
