@@ -135,6 +135,7 @@ def without_common_blocks(docs: DataFrame, rare: float = RARE, least: int = LEAS
     gone = gone.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.flatten(F.collect_list("runs")).alias("runs"))
     untouched = F.flatten(F.filter("runs", lambda x: ~F.arrays_overlap(x, "gone")))
     gone = gone.select(F.col("row").alias("g_row"), F.array_distinct(F.concat("gone", untouched)).alias("gone"))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    every = F.split("text", "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "gone"), lambda i: F.get(every, i))
     joined = own.join(gone, own["row"] == gone["g_row"], "left")
     return joined.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
