@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Words, buckets_for, local_path, mix, save_array, shared_folder, text_bytes, words_of
 
 #: Words of text for each block; bytes of text that are counted, and scored, together.
-BLOCK, COUNTED, SCORED = 1_500_000, 12_000_000, 6_000_000
+BLOCK, COUNTED, SCORED = 1_200_000, 9_000_000, 3_000_000
 #: Numbers of what isn't a word of the corpus; words follow.
 BEGIN, END, UNKNOWN, FIRST = 0, 1, 2, 3
 #: What is known of an n-gram below the highest order; the last one is its count.
