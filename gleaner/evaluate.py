@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -85,8 +85,8 @@ def indexability(refs: Column, indexed: list[str]) -> Column:
 
 def mcq_summary(hits: DataFrame, k: int = 5) -> DataFrame:
     """difficulty, category, questions, rate: by each, and over all (both null)."""
-    hits.createOrReplaceTempView("_mcq_hits")
-    return hits.sparkSession.sql(f"SELECT difficulty, category, count(*) AS questions, avg(CAST(hit_at_{k} AS DOUBLE)) AS rate FROM _mcq_hits GROUP BY GROUPING SETS ((difficulty), (category), ())")
+    sets = [[F.col("difficulty")], [F.col("category")], []]
+    return hits.groupingSets(sets, "difficulty", "category").agg(F.count(F.lit(1)).alias("questions"), F.avg(F.col(f"hit_at_{k}").cast("double")).alias("rate"))
 
 
 def pass_rate(results: DataFrame) -> DataFrame:
@@ -114,21 +114,56 @@ def vector_parity(old: DataFrame, new: DataFrame, most: float = 1e-5) -> DataFra
     return both.agg(F.count_if(F.col("_in").isNull()).alias("missing"), F.count_if(F.col("_in") & ~F.col("text").eqNullSafe(F.col("_t"))).alias("changed_text"), F.count_if(F.col("_in") & (max_abs_diff(F.col("embedding"), F.col("_v")) > most)).alias("off"))
 
 
-def report(title: str, rows: DataFrame) -> str:
-    """A Markdown table of a small summary."""
+def report(title: str, rows: DataFrame, most: int = 100_000) -> str:
+    """A Markdown table of a summary, all of it; one of more rows than `most` is refused."""
     head = rows.columns
     lines = [f"## {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
-    for r in rows.orderBy(*head[:1]).limit(10_000).collect():
+    found = rows.orderBy(*head).take(most + 1)
+    if len(found) > most:
+        raise ValueError(f"{title} has more than {most} rows: write it as a table")
+    for r in found:
         lines.append("| " + " | ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |")
     return "\n".join(lines) + "\n"
 
 
+def set_comparison(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: both, left_only, right_only (distinct keys), equal."""
+    left, right = a.select(key).distinct().withColumn("_a", F.lit(1)), b.select(key).distinct().withColumn("_b", F.lit(1))
+    sides = left.join(right, key, "full").agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"), F.count_if(F.col("_b").isNull()).alias("left_only"), F.count_if(F.col("_a").isNull()).alias("right_only"))
+    return sides.withColumn("equal", F.col("left_only") + F.col("right_only") == 0)
+
+
+def collisions(rows: DataFrame, key: str) -> DataFrame:
+    """One row, n: rows whose key an earlier one has."""
+    return rows.agg((F.count(key) - F.count_distinct(key)).alias("n"))
+
+
+def validation_counts(results: DataFrame) -> DataFrame:
+    """difficulty, passed, total of results (difficulty, passed)."""
+    return results.groupBy("difficulty").agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total"))
+
+
+def rank_rows(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """query_id, fused_rank, left_id, right_id, same: two retrievers rank by rank up to k."""
+    left, right = (x.filter(F.col("fused_rank") < k).select("query_id", "fused_rank", F.col("doc_id").alias(c)) for x, c in ((a, "left_id"), (b, "right_id")))
+    return left.join(right, ["query_id", "fused_rank"], "full").withColumn("same", F.col("left_id").eqNullSafe(F.col("right_id")))
+
+
+def parities(a: DataFrame, b: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """k, queries, equal: of how many queries both retrievers have the same ids in the same order up to each k; one join for all k."""
+    first = F.min(F.when(~F.col("same"), F.col("fused_rank")))
+    found = rank_rows(a, b, max(ks)).groupBy("query_id").agg(first.alias("at"))
+    return found.select(F.explode(F.array(*map(F.lit, ks))).alias("k"), "at").groupBy("k").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("at").isNull() | (F.col("at") >= F.col("k"))).alias("equal"))
+
+
+def top_each(candidates: DataFrame, n: int = 5) -> DataFrame:
+    """query_id, top: the first n ids of each query in order, for a report."""
+    listed = F.array_sort(F.collect_list(F.struct("fused_rank", "doc_id")))
+    return candidates.filter(F.col("fused_rank") < n).groupBy("query_id").agg(F.transform(listed, lambda x: x["doc_id"]).alias("top"))
+
+
 def wide_ranks(candidates: DataFrame, targets: DataFrame, points: DataFrame, top: int = 10) -> DataFrame:
     """query_id, first_rank, mentioned: the target's rank in a wide pool, and whether one of the first texts names its symbol (targets has symbol)."""
     texts = candidates.filter(F.col("fused_rank") < top).join(points.select("doc_id", "text"), "doc_id").join(targets.select("query_id", "symbol").distinct(), "query_id")
     named = texts.groupBy("query_id").agg(F.max(F.contains("text", "symbol")).alias("mentioned"))
     return target_ranks(candidates, targets).join(named, "query_id", "left").withColumn("mentioned", F.coalesce("mentioned", F.lit(False)))
-
-
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -200,5 +198,6 @@ def mentions_name(text: Column, names: Column) -> Column:
     return F.exists(names, lambda n: F.regexp_like(text, F.concat(F.lit("(?<![A-Za-z0-9_])"), n, F.lit("(?![A-Za-z0-9_])"))))
 
 
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+def rounded_scores(scores: Column, digits: int = 4) -> Column:
+    """A map's values to four decimals, as logs show them."""
+    return F.transform_values(scores, lambda _, v: F.round(v, digits))

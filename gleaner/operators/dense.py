@@ -30,10 +30,11 @@ def _pack(df: DataFrame, id_col: str, vec_col: str, ids: str, unit: str) -> Data
                 for at in range(0, len(rows), BLOCK):
                     part = rows[at : at + BLOCK]
                     m = np.array([v for _, v in part], np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([[i for i, _ in part]], pa.list_(pa.int64())), pa.array([m.tobytes()])], [f"{unit}_dim", ids, unit])
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([[i for i, _ in part]], pa.list_(batch.schema.field(0).type)), pa.array([m.tobytes()])], [f"{unit}_dim", ids, unit])
 
-    usable = df.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).filter(F.col(id_col).isNotNull() & (F.size(vec_col) > 0) & ~F.exists(vec_col, lambda x: x.isNull()))
-    return usable.mapInArrow(pack, f"{unit}_dim int, {ids} array<long>, {unit} binary")
+    kind = dict(df.dtypes)[id_col]
+    usable = df.select(F.col(id_col), F.col(vec_col).cast("array<double>")).filter(F.col(id_col).isNotNull() & (F.size(vec_col) > 0) & ~F.exists(vec_col, lambda x: x.isNull()))
+    return usable.mapInArrow(pack, f"{unit}_dim int, {ids} array<{kind}>, {unit} binary")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", id_col: str = "vec_id", vec_col: str = "embedding", same_dims: int | None = None) -> DataFrame:
@@ -48,6 +49,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            q_kind, v_kind = (batch.schema.field(c).type.value_type for c in ("q_ids", "v_ids"))
             for row in batch.to_pylist():
                 a, b = (np.frombuffer(row[c], np.float64).reshape(-1, row["q_dim"]) for c in ("q", "v"))
                 s = a @ b.T
@@ -59,14 +61,18 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
                     s = np.where(length > 0, s / np.where(length > 0, length, 1), -np.inf)
                 s = np.round(s, DIGITS)
                 ids = np.array(row["v_ids"])
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                at = np.repeat(np.arange(len(a)), order.shape[1])
-                best = s[at, order.ravel()]
-                keep = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(row["q_ids"])[at][keep]), pa.array(ids[order.ravel()][keep]), pa.array(np.abs(best[keep]) if metric == "l2" else best[keep] + 0.0)], ["query_id", id_col, "score"])
+                # Only what isn't below each query's own kth score is sorted.
+                least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k, None] if k < len(ids) else np.full((len(s), 1), -np.inf)
+                at, place = np.nonzero((s >= least) & np.isfinite(s))
+                order = np.lexsort((ids[place], -s[at, place], at))
+                at, place = at[order], place[order]
+                keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+                at, place = at[keep], place[keep]
+                best = s[at, place]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(row["q_ids"])[at], q_kind), pa.array(ids[place], v_kind), pa.array(np.abs(best) if metric == "l2" else best + 0.0)], ["query_id", id_col, "score"])
 
     pairs = q.join(v, F.col("q_dim") == F.col("v_dim"))
-    return ranked(pairs.mapInArrow(score, f"query_id long, {id_col} long, score double"), k, id_col, metric != "l2")
+    return ranked(pairs.mapInArrow(score, f"query_id {dict(queries.dtypes)[query_id]}, {id_col} {dict(vectors.dtypes)[id_col]}, score double"), k, id_col, metric != "l2")
 
 
 def hashed_embeddings(posts: DataFrame, id_col: str = "doc_id", dims: int = DIMS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators.sparse import plain_unions
+from gleaner.operators.sparse import plain_unions, postings
 
 NUMBA = frozenset("cfunc guvectorize jit njit prange stencil vectorize".split())
 Imports = list[tuple[str, list[str]]]
@@ -66,17 +66,20 @@ def context_headers(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return with_imports.withColumn("context_header", F.array_join(lines, "\n")).drop("imports", "above", "below")
 
 
-def lexicon_terms(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, terms: the lexicon's (term) entries in the text, longest first. Terms with a space or hyphen are searched as substrings; others must be tokens, which is an equi-join."""
+def term_table(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", posts: DataFrame | None = None) -> DataFrame:
+    """id, term: the lexicon's (term) entries in each text, once each. Terms with a space or hyphen are searched as substrings; others must be tokens, which is an equi-join with the postings (`posts` where they are there already)."""
     plain_unions(docs.sparkSession)
     words = lexicon.select(F.lower("term").alias("term")).distinct()
     phrases, single = words.filter("term rlike '[ -]'"), words.filter("not term rlike '[ -]'")
-    lower = docs.select(id_col, F.lower("text").alias("lower"))
-    by_phrase = lower.join(phrases, F.contains("lower", "term")).select(id_col, "term")
-    terms = docs.select(id_col, F.explode(F.array_distinct(T.lexical_tokens(F.col("text")))).alias("token")).select(id_col, F.explode(T.token_terms(F.col("token"))).alias("term"))
-    found = terms.join(single, "term").select(id_col, "term").unionByName(by_phrase).distinct()
+    by_phrase = docs.select(id_col, F.lower("text").alias("lower")).join(phrases, F.contains("lower", "term")).select(id_col, "term")
+    posts = postings(docs, id_col) if posts is None else posts
+    return posts.select(id_col, "term").join(single, "term").select(id_col, "term").unionByName(by_phrase)
+
+
+def lexicon_terms(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", posts: DataFrame | None = None) -> DataFrame:
+    """id, terms: the same as one array for each id, longest first."""
     in_order = F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), "term")))
-    return found.groupBy(id_col).agg(F.transform(in_order, lambda x: x["term"]).alias("terms"))
+    return term_table(docs, lexicon, id_col, posts).groupBy(id_col).agg(F.transform(in_order, lambda x: x["term"]).alias("terms"))
 
 
 def symbol_table(chunks: DataFrame) -> DataFrame:

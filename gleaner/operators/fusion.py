@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import context_text, lexical_overlap
 from gleaner.operators.sparse import DIGITS, plain_unions, ranked
 
 CONSTANT, WIDTH = 60, 20
@@ -43,9 +45,35 @@ def rerank(candidates: DataFrame, score: Column | None, k: int | None = None) ->
     return out if k is None else out.filter(F.col("fused_rank") < k)
 
 
-def rerank_with(candidates: DataFrame, scorer: Callable, k: int | None = None) -> DataFrame:
-    """The same with a model: `scorer` is a vectorised UDF of (query text, candidate text)."""
-    return rerank(candidates, scorer(F.col("query_text"), F.col("candidate_text")), k)
+@dataclass(frozen=True)
+class Reranker:
+    """`score` is a function of the query's and the candidate's text; a model is a vectorised UDF. None changes nothing."""
+
+    name: str
+    score: Callable[[Column, Column], Column] | None
+
+
+NO_OP = Reranker("none", None)
+LEXICAL = Reranker("lexical-overlap", lexical_overlap)
+
+
+def reranker_id(reranker: Reranker | None) -> str:
+    return (reranker or NO_OP).name
+
+
+def candidate_text(columns: list[str]) -> Column:
+    """What a reranker reads of a point: its summary and header, where it has them, before its text."""
+    return context_text(*[F.coalesce(c, F.lit("")) for c in ("llm_summary", "context_header", "text") if c in columns])
+
+
+def rerank_with(candidates: DataFrame, queries: DataFrame, points: DataFrame, reranker: Reranker, k: int | None = None) -> DataFrame:
+    """The same with a Reranker: texts are joined to the candidates alone."""
+    if reranker.score is None:
+        return rerank(candidates, None, k)
+    asked = queries.select("query_id", F.col("text").alias("_query"))
+    theirs = points.select("doc_id", candidate_text(points.columns).alias("_candidate"))
+    joined = candidates.join(asked, "query_id").join(theirs, "doc_id", "left")
+    return rerank(joined, reranker.score(F.col("_query"), F.coalesce("_candidate", F.lit(""))), k).select(*candidates.columns)
 
 
 def pack_prompt(candidates: DataFrame, most: int = 8000) -> DataFrame:

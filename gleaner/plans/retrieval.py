@@ -14,7 +14,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.vectors import cosine
 from gleaner.operators import dense, fusion, sparse
+from gleaner.sources.store import Store
+from gleaner.streaming.events import append_events, retrieval_events
 
 CANDIDATES = "query_id long, doc_id long, fused_rank int, fused_score double, leg_scores map<string,double>"
 
@@ -24,15 +27,19 @@ class Index:
     points: DataFrame
     postings: DataFrame
     vectors: DataFrame | None = None
+    #: Whether postings are made anew from the points' text whenever they are read.
+    lazy: bool = False
 
     @cached_property
     def total(self) -> int:
-        """Points that have any posting: the N of idf."""
+        """All points: the N of idf."""
         return self.points.count()
 
     def where(self, condition: Column) -> Index:
-        """Only points of which the condition is true, before anything is ranked; idf counts these alone."""
+        """Only points of which the condition is true, before anything is ranked; idf counts these alone. Where nothing is kept yet, only their texts are worked on."""
         kept = self.points.filter(condition)
+        if self.lazy:
+            return build_index(kept, False)
         ids = kept.select("doc_id")
         return replace(self, points=kept, postings=self.postings.join(ids, "doc_id", "left_semi"), vectors=None if self.vectors is None else self.vectors.join(ids, "doc_id", "left_semi"))
 
@@ -52,7 +59,21 @@ def build_index(docs: DataFrame, keep: bool = True) -> Index:
     if keep:
         posts = posts.persist(StorageLevel.MEMORY_AND_DISK)
     vectors = dense.hashed_embeddings(posts).withColumn("space", F.lit("ctx__hashed"))
-    return Index(docs, posts, vectors)
+    return Index(docs, posts, vectors, not keep)
+
+
+def unique_index(chunks: DataFrame, order: str, **options: bool) -> Index:
+    """An index of chunks of which several may have one doc_id: the first by `order` counts."""
+    others = [c for c in chunks.columns if c != "doc_id"]
+    first = chunks.groupBy("doc_id").agg(F.min_by(F.struct(*others), order).alias("f")).select("doc_id", *[F.col(f"f.{c}").alias(c) for c in others])
+    return build_index(first, **options)
+
+
+def open_index(store: Store, condition: Column | None = None) -> Index:
+    """The stored points, postings and vectors as an Index: nothing is tokenised or embedded again. Stored ids (point_id) are the doc_ids."""
+    tables = [store.read(t).withColumnRenamed("point_id", "doc_id") for t in ("points", "postings", "vectors")]
+    index = Index(*tables)
+    return index if condition is None else index.where(condition)
 
 
 def query_postings(queries: DataFrame) -> DataFrame:
@@ -72,38 +93,65 @@ def dense_leg(index: Index, queries: DataFrame, k: int, space: str = "ctx__hashe
     return dense.nearest(embed(queries), own, k, id_col="doc_id", same_dims=dims)
 
 
-def hybrid(index: Index, queries: DataFrame, k: int = 10, space: str = "ctx__hashed", embed: Embed = hashed_embedder, condition: Column | None = None, injected_ids: list | None = None, leg_names: tuple[str, str] = ("dense", "sparse")) -> DataFrame:
-    """Dense and sparse legs of max(k, 20), fused. Injected ids stand for an oracle: nothing is searched and there are no candidates."""
+def finish(found: DataFrame, index: Index, queries: DataFrame, plan: str, k: int, reranker: fusion.Reranker | None = None, log: str | None = None, injected_ids: list | None = None) -> DataFrame:
+    """What every plan does last: candidates are reranked and cut to k; with `log`, an event is appended for each query that has an id."""
+    if reranker is not None and injected_ids is None:
+        found = fusion.rerank_with(found, queries, index.points, reranker, k)
+    if log is not None:
+        append_events(retrieval_events(found, queries, plan, injected_ids, fusion.reranker_id(reranker)), log)
+    return found
+
+
+def hybrid(index: Index, queries: DataFrame, k: int = 10, space: str = "ctx__hashed", embed: Embed = hashed_embedder, condition: Column | None = None, injected_ids: list | None = None, leg_names: tuple[str, str] = ("dense", "sparse"), reranker: fusion.Reranker | None = None, fetch_k: int | None = None, log: str | None = None, plan: str = "hybrid") -> DataFrame:
+    """Dense and sparse legs of max(k, 20), fused. Injected ids stand for an oracle: nothing is searched and there are no candidates, but they are logged. A reranker orders `fetch_k`
+    (k by default) candidates, of which k stay."""
     if injected_ids is not None:
-        return empty(queries)
+        return finish(empty(queries, index), index, queries, plan, k, log=log, injected_ids=injected_ids)
     own = index if condition is None else index.where(condition)
-    wide = fusion.prefetch(k)
-    return fusion.fuse({leg_names[0]: dense_leg(own, queries, wide, space, embed), leg_names[1]: sparse_leg(own, queries, wide)}, k)
+    depth = max(k, fetch_k or k)
+    wide = fusion.prefetch(depth)
+    found = fusion.fuse({leg_names[0]: dense_leg(own, queries, wide, space, embed), leg_names[1]: sparse_leg(own, queries, wide)}, depth)
+    return finish(found, own, queries, plan, k, reranker, log)
+
+
+def single_leg(leg: DataFrame, name: str, k: int = 10) -> DataFrame:
+    """One leg's candidates with the fusion's score of their rank alone, 1 / 61 for the first."""
+    return fusion.fuse({name: leg}, k)
+
+
+def pooled_hybrid(index: Index, queries: DataFrame, k: int = 10, pool: int = 10, embed: Embed = hashed_embedder, reranker: fusion.Reranker | None = None, fetch_k: int | None = None) -> DataFrame:
+    """The `pool` best by cosine and by Okapi, fused by 1 / (60 + rank): at most twice the pool, whatever is asked for. A pool of 50 is the wide one; with a reranker fetch_k candidates are reranked."""
+    legs = {"dense": dense_leg(index, queries, pool, embed=embed), "sparse": okapi_leg(index, queries, pool)}
+    found = fusion.fuse(legs, max(k, fetch_k or k), offset=0)
+    return finish(found, index, queries, "pooled", k, reranker)
 
 
 def hybrid_filtered(index: Index, queries: DataFrame, field: str, values: list, k: int = 10, **options: object) -> DataFrame:
     """Points whose field, a scalar or an array, has any of the values; none for no values."""
     if not values:
-        return empty(queries)
+        return finish(empty(queries, index), index, queries, "hybrid_filtered", k, log=options.get("log"))
     array = dict(index.points.dtypes)[field].startswith("array")
     condition = F.arrays_overlap(field, F.array(*map(F.lit, values))) if array else F.col(field).isin(*values)
-    return hybrid(index, queries, k, condition=condition, **options)
+    return hybrid(index, queries, k, condition=condition, plan="hybrid_filtered", **options)
 
 
-def trimodal(index: Index, queries: DataFrame, weights: dict[str, float] | None = None, k: int = 10, embed: Embed = hashed_embedder, embed_math: Embed | None = None, math_space: str = "ctx__hashed") -> DataFrame:
-    """Weighted fusion of two dense spaces and the sparse leg; a weight that isn't given is 1."""
+def trimodal(index: Index, queries: DataFrame, weights: dict[str, float] | None = None, k: int = 10, embed: Embed = hashed_embedder, embed_math: Embed | None = None, math_space: str = "ctx__hashed", injected_ids: list | None = None, reranker: fusion.Reranker | None = None, log: str | None = None) -> DataFrame:
+    """Weighted fusion of two dense spaces and the sparse leg; a weight that isn't given is 1. Without an embedder for the second space Okapi stands for it."""
+    if injected_ids is not None:
+        return finish(empty(queries, index), index, queries, "trimodal", k, log=log, injected_ids=injected_ids)
     wide = fusion.prefetch(k)
     legs = {"ctx": dense_leg(index, queries, wide, embed=embed), "math": okapi_leg(index, queries, wide) if embed_math is None else dense_leg(index, queries, wide, math_space, embed_math), "sparse": sparse_leg(index, queries, wide)}
-    return fusion.fuse(legs, k, weights)
+    return finish(fusion.fuse(legs, k, weights), index, queries, "trimodal", k, reranker, log)
 
 
-def two_leg(papers: Index, code: Index, queries: DataFrame, terms: str = "terms", k: int = 10, embed: Embed = hashed_embedder, embed_code: Embed | None = None) -> DataFrame:
+def two_leg(papers: Index, code: Index, queries: DataFrame, terms: DataFrame | str = "terms", k: int = 10, embed: Embed = hashed_embedder, embed_code: Embed | None = None) -> DataFrame:
     """The best five papers' distinct terms restrict code to points that share one, by an equi-join over terms; those are ranked for the query. paper_bridge has the papers. Each
-    leg has its own embedder. Queries whose papers have no terms have no candidates."""
+    leg has its own embedder. `terms` is a table (doc_id, term) of both, or the name of an array column of the points. Queries whose papers have no terms have no candidates."""
     best = hybrid(papers, queries, max(5, k), embed=embed).filter("fused_rank < 5").select("query_id", F.col("doc_id").alias("paper_id"))
-    bridge = best.join(papers.points.select(F.col("doc_id").alias("paper_id"), F.explode(terms).alias("term")), "paper_id").filter("term <> ''")
+    theirs, own = ((i.points.select("doc_id", F.explode(terms).alias("term")) if isinstance(terms, str) else terms.join(i.points.select("doc_id"), "doc_id", "left_semi")) for i in (papers, code))
+    bridge = best.join(theirs.withColumnRenamed("doc_id", "paper_id"), "paper_id").filter("term <> ''")
     ids = best.groupBy("query_id").agg(F.array_sort(F.collect_set("paper_id")).alias("paper_bridge"))
-    allowed = code.points.select("doc_id", F.explode(terms).alias("term")).join(bridge.select("query_id", "term").distinct(), "term").select("query_id", "doc_id").distinct()
+    allowed = own.join(bridge.select("query_id", "term").distinct(), "term").select("query_id", "doc_id").distinct()
     return restricted(code, queries, allowed, k, embed_code or embed).join(ids, "query_id")
 
 
@@ -113,24 +161,20 @@ def restricted(index: Index, queries: DataFrame, allowed: DataFrame, k: int, emb
     scores = sparse.tfidf_scores(index.postings, query_postings(queries), index.total).join(allowed, ["query_id", "doc_id"], "left_semi")
     vectors = index.vectors.select("doc_id", F.col("embedding").alias("v"))
     near = allowed.join(embed(queries), "query_id").join(vectors, "doc_id")
-    from gleaner.functions.vectors import cosine
-
     by_dense = near.select("query_id", "doc_id", F.round(cosine(F.col("embedding"), F.col("v")), sparse.DIGITS).alias("score")).filter("score is not null")
     return fusion.fuse({"dense": sparse.ranked(by_dense, wide), "sparse": sparse.ranked(scores, wide)}, k)
 
 
 def fine_to_coarse(fine: DataFrame, coarse: DataFrame, queries: DataFrame, k: int = 10, legs: Callable[[Index, DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Fine points (doc_id, parent_id, text) are ranked max(k, 20) deep; each parent gets its best child's score, the better ranked child on ties; parents that
-    don't exist are dropped; child_id tells the child."""
+    """Fine points (doc_id, parent_id, text) are ranked max(k, 20) deep; each parent gets its best child's score, the better ranked child on ties, and the k best parents are taken. Then
+    parents that don't exist are dropped, so there may be fewer; child_id tells the child."""
     index = build_index(fine.select("doc_id", "text"))
     found = (legs or (lambda i, q, n: hybrid(i, q, n)))(index, queries, fusion.prefetch(k))
     with_parent = found.join(fine.select("doc_id", "parent_id"), "doc_id")
     best = with_parent.groupBy("query_id", "parent_id").agg(F.min_by(F.struct("doc_id", "fused_score", "fused_rank"), "fused_rank").alias("b"))
-    known = best.select("query_id", F.col("parent_id").alias("doc_id"), F.col("b.doc_id").alias("child_id"), F.col("b.fused_score").alias("score"), F.col("b.fused_rank").alias("child_rank")).join(coarse.select("doc_id"), "doc_id", "left_semi")
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("child_rank"))
-    return known.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "doc_id", (F.col("rank") - 1).alias("fused_rank"), F.col("score").alias("fused_score"), "child_id")
+    parents = best.select("query_id", F.col("parent_id").alias("doc_id"), F.col("b.doc_id").alias("child_id"), F.col("b.fused_score").alias("fused_score"), F.col("b.fused_rank").alias("fused_rank"))
+    taken = fusion.renumber(parents, F.col("fused_rank")).filter(F.col("fused_rank") < k)
+    return fusion.renumber(taken.join(coarse.select("doc_id"), "doc_id", "left_semi"), F.col("fused_rank")).select("query_id", "doc_id", "fused_rank", "fused_score", "child_id")
 
 
 def expand_refs(candidates: DataFrame, edges: DataFrame, points: DataFrame, hops: int = 1, on_round: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -150,6 +194,19 @@ def expand_refs(candidates: DataFrame, edges: DataFrame, points: DataFrame, hops
     return seen
 
 
+def expand_candidates(candidates: DataFrame, edges: DataFrame, points: DataFrame, hops: int = 1) -> DataFrame:
+    """The candidates, and after them what edges lead to, hop by hop and by id, with score 0 and `expansion` true."""
+    if hops <= 0:
+        return candidates.withColumn("expansion", F.lit(False))
+    added = expand_refs(candidates, edges, points, hops).filter("hop > 0")
+    last = candidates.groupBy("query_id").agg((F.max("fused_rank") + 1).alias("from"))
+    placed = fusion.renumber(added, F.col("hop"), F.col("doc_id")).join(last, "query_id")
+    own = [c for c in ("leg_scores", "child_id") if c in candidates.columns]
+    kinds = dict(candidates.dtypes)
+    zero = placed.select("query_id", "doc_id", (F.col("fused_rank") + F.col("from")).cast("int").alias("fused_rank"), F.lit(0.0).alias("fused_score"), *[F.lit(None).cast(kinds[c]).alias(c) for c in own], F.lit(True).alias("expansion"))
+    return candidates.select("query_id", "doc_id", "fused_rank", "fused_score", *own).withColumn("expansion", F.lit(False)).unionByName(zero)
+
+
 def with_payload(candidates: DataFrame, points: DataFrame, *columns: str) -> DataFrame:
     """Payload of the candidates, "" for null strings: joined last, to k rows a query. Candidates that don't resolve are kept and flagged missing."""
     kinds = dict(points.dtypes)
@@ -157,11 +214,13 @@ def with_payload(candidates: DataFrame, points: DataFrame, *columns: str) -> Dat
     return candidates.join(own, "doc_id", "left").withColumn("missing", F.col("_found").isNull()).drop("_found")
 
 
-def empty(queries: DataFrame) -> DataFrame:
-    return queries.sparkSession.createDataFrame([], CANDIDATES)
+def empty(queries: DataFrame, index: Index) -> DataFrame:
+    """No candidates, with the ids' types."""
+    schema = CANDIDATES.replace("query_id long", f"query_id {dict(queries.dtypes)['query_id']}").replace("doc_id long", f"doc_id {dict(index.points.dtypes)['doc_id']}")
+    return queries.sparkSession.createDataFrame([], schema)
 
 
-PLANS: dict[str, Callable[..., DataFrame]] = {"hybrid": hybrid, "hybrid_filtered": hybrid_filtered, "trimodal": trimodal, "two_leg": two_leg, "fine_to_coarse": fine_to_coarse}
+PLANS: dict[str, Callable[..., DataFrame]] = {"hybrid": hybrid, "hybrid_filtered": hybrid_filtered, "trimodal": trimodal, "two_leg": two_leg, "fine_to_coarse": fine_to_coarse, "pooled": pooled_hybrid}
 
 
 def run_plan(name: str, *args: object, **options: object) -> DataFrame:

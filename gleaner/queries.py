@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,7 +214,8 @@ _FR = "(SELECT * FROM documents WHERE lang IN ('fr', 'es'))"
 
 @query(f"WITH {_terms('doc', _FR, 'doc_id')}, {ASK}, {_tfidf(total=f'(SELECT count(*) FROM {_FR} x)')}, {_hashed('dv', 'doc', 'doc_id')}, {_hashed('qv', 'ask', 'query_id')}, {_dense()}, {_leg('l1', 'near_all')}, {_leg('l2', 'tfidf')}, {_fused(['l1', 'l2'])} SELECT * FROM fused")
 def hybrid_filtered(spark, sf_dir):
-    return R.hybrid_filtered(_index(spark, sf_dir), items(spark, sf_dir), "lang", ["fr", "es"], K).select(*LONG)
+    docs = R.build_index(sparse.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), keep=False)
+    return R.hybrid_filtered(docs, items(spark, sf_dir), "lang", ["fr", "es"], K).select(*LONG)
 
 
 @query("SELECT CAST(NULL AS BIGINT) AS query_id, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS INTEGER) AS fused_rank, CAST(NULL AS DOUBLE) AS fused_score WHERE false")
@@ -271,12 +273,11 @@ allowed AS (SELECT DISTINCT b.query_id, c.doc_id FROM best b JOIN found p ON p.d
 a1 AS (SELECT n.* FROM cn_all n SEMI JOIN allowed USING (query_id, doc_id)), a2 AS (SELECT n.* FROM cs n SEMI JOIN allowed USING (query_id, doc_id)),
 {_leg('c1', 'a1')}, {_leg('c2', 'a2')}, {_fused(['c1', 'c2'])} SELECT * FROM fused""")
 def two_leg_bridge(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    terms = enrich.lexicon_terms(texts(spark, sf_dir), _lexicon(spark, sf_dir))
-    both = docs.join(terms, "doc_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     whole = R.build_index(docs)
-    papers, code = (R.Index(both.filter(c), whole.where(c).postings, whole.where(c).vectors) for c in (F.col("lang") == "en", F.col("lang") != "en"))
-    return R.two_leg(papers, code, items(spark, sf_dir), "terms", K).select(*LONG)
+    terms = enrich.term_table(docs, _lexicon(spark, sf_dir), posts=whole.postings).persist(StorageLevel.MEMORY_AND_DISK)
+    papers, code = (whole.where(c) for c in (F.col("lang") == "en", F.col("lang") != "en"))
+    return R.two_leg(papers, code, items(spark, sf_dir), terms, K).select(*LONG)
 
 
 _WINDOWS = """
@@ -521,8 +522,17 @@ _RANKS = "(SELECT q.query_id, min(f.fused_rank) AS first_rank FROM (SELECT DISTI
 
 
 def _targets(spark, sf_dir) -> DataFrame:
-    heads = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("head"))
-    return heads.join(table(spark, sf_dir, "documents").select("doc_id", "text"), F.contains("text", "head")).select("query_id", "doc_id")
+    """A text that contains an item has all the words inside it between the same blanks, so its longest one is looked up before texts are compared. Items of fewer than three words are compared with every text."""
+    space = F.lit(r"\s+")
+    docs = texts(spark, sf_dir)
+    heads = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("head"), F.split("text", space).alias("w"))
+    inner = F.filter(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda x: x != "")
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
+    seeded = heads.withColumn("seed", longest)
+    long, short = seeded.filter("seed is not null"), seeded.filter("seed is null")
+    having = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", space))).alias("seed")).join(long.select("seed").distinct(), "seed", "left_semi")
+    found = having.join(long, "seed").filter(F.contains("text", "head")).select("query_id", "doc_id")
+    return found.unionByName(docs.join(short, F.contains("text", "head")).select("query_id", "doc_id"))
 
 
 def _sparse_found(spark, sf_dir, leg: Callable) -> DataFrame:

@@ -5,12 +5,15 @@ A write makes a new version from the old one; it counts once Spark has marked it
 
 from __future__ import annotations
 
+import atexit
 import json
 import re
+import shutil
+import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -60,6 +63,32 @@ def check_vectors(vectors: DataFrame, spaces: list[str]) -> None:
             raise ValueError(f"space {r['space']!r} has vectors of {sorted(r['sizes'])} dimensions")
 
 
+def check_config(found: dict, wanted: dict) -> None:
+    """Raises with its name if a space of the collection is missing or extra, or has another size, distance, model or quantisation; `sparse` must be of terms and have no idf applied."""
+    for name in sorted(wanted.keys() | found.keys()):
+        if name not in found or name not in wanted:
+            raise ValueError(f"space {name!r} is {'missing' if name not in found else 'not wanted'}")
+        for field in sorted(wanted[name].keys() | found[name].keys()):
+            if found[name].get(field) != wanted[name].get(field):
+                raise ValueError(f"space {name!r} has {field} {found[name].get(field)!r}, not {wanted[name].get(field)!r}")
+
+
+def collection(spaces: tuple[str, ...]) -> dict:
+    """What check_config compares: dense spaces, and the sparse one that all points have."""
+    return {s: json.loads(config(s)) for s in spaces} | {"bm25_code": {"kind": "sparse", "modifier": "none"}}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in spark.checkpoint.dir, which executors share; a local one, which goes at exit, only where that is unset and there is but one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="store-")
+        atexit.register(shutil.rmtree, base, True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Store:
     """Tables under a folder that Hadoop's file systems can reach."""
 
@@ -85,22 +114,57 @@ class Store:
     def exists(self, table: str) -> bool:
         return self._pointer(table) is not None
 
+    def _meta(self, table: str, version: str) -> dict:
+        """Schema and partition columns, which are written before the version is."""
+        fs, path = self._fs(f"{self.root}/{table}/_{version}.json")
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
     def read(self, table: str) -> DataFrame:
         version = self._pointer(table)
         if version is None:
             raise FileNotFoundError(f"no table {table} in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{table}/{version}")
+        schema = StructType.fromJson(self._meta(table, version)["schema"])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{version}")
 
-    def write(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
+    def layout(self, table: str) -> tuple[str, ...]:
+        """Columns by which the current version is partitioned."""
+        version = self._pointer(table)
+        return tuple(self._meta(table, version)["partition_by"]) if version else ()
+
+    def write(self, table: str, df: DataFrame, partition_by: tuple[str, ...] | None = None, sort_by: tuple[str, ...] = ()) -> None:
+        """Partitioned as it was, unless `partition_by` says otherwise. `sort_by` orders rows within files, so that their statistics prune."""
         last = self._pointer(table)
+        partition_by = self.layout(table) if partition_by is None and last else partition_by or ()
+        df = df.select(*[c for c in df.columns if c not in partition_by], *partition_by)
+        df = df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df
         version = f"v{int(last[1:13]) + 1 if last else 0:012d}-{uuid.uuid4().hex}"
+        fs, path = self._fs(f"{self.root}/{table}/_{version}.json")
+        stream = fs.create(path)
+        stream.write(json.dumps({"schema": df.schema.jsonValue(), "partition_by": partition_by}).encode())
+        stream.close()
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{table}/{version}")
 
     def expire(self, table: str, keep: int = 2) -> None:
         """Deletes all but the last versions."""
         for name in self._versions(table)[:-keep]:
-            fs, path = self._fs(f"{self.root}/{table}/{name}")
-            fs.delete(path, True)
+            for old in (name, f"_{name}.json"):
+                fs, path = self._fs(f"{self.root}/{table}/{old}")
+                fs.delete(path, True)
+
+    def ensure_index(self, table: str, columns: tuple[str, ...] = INDEXED) -> bool:
+        """Once for a table and set of columns: rows are ordered by the payload columns that filters name, so that row groups are skipped by their statistics."""
+        present = [c for c in columns if c in self.read(table).columns and not dict(self.read(table).dtypes)[c].startswith("array")]
+        fs, mark = self._fs(f"{self.root}/{table}/_index-{'-'.join(present)}")
+        if fs.exists(mark):
+            return False
+        df = self.read(table)
+        self.write(table, df.repartitionByRange(*present) if present else df, sort_by=tuple(present))
+        fs.create(mark).close()
+        return True
 
     def create(self, table: str, schema: StructType, partition_by: tuple[str, ...] = ()) -> bool:
         """Makes an empty table if there is none; otherwise its schema must be the wanted one."""
@@ -110,8 +174,9 @@ class Store:
         self.write(table, self.spark.createDataFrame([], schema), partition_by)
         return True
 
-    def upsert(self, table: str, rows: DataFrame, key: tuple[str, ...] = ("point_id",), partition_by: tuple[str, ...] = ()) -> None:
-        self.write(table, merged(self.read(table), rows, key) if self.exists(table) else rows.dropDuplicates([*key]), partition_by)
+    def upsert(self, table: str, rows: DataFrame, key: tuple[str, ...] = ("point_id",), partition_by: tuple[str, ...] | None = None, order: tuple[str, ...] = ()) -> None:
+        """Rows replace those of equal key. Of rows with one key the last wins: by the columns of `order`, or as they come where none are given."""
+        self.write(table, merged(self.read(table), rows, key, order) if self.exists(table) else last_of(rows, key, order), partition_by)
 
     def update(self, table: str, changes: DataFrame, key: tuple[str, ...] = ("point_id",)) -> None:
         """Sets the columns of `changes` where they aren't null."""
@@ -121,11 +186,12 @@ class Store:
         self.write(table, self.read(table).join(ids.select(*key), [*key], "left_anti"))
 
     def load(self, table: str, rows: DataFrame, recreate: bool = False) -> int:
-        """A bulk load whose count is checked."""
+        """A bulk load whose count is checked; rows are evaluated once and counted on their way."""
         if self.exists(table) and not recreate:
             raise ValueError(f"table {table} exists")
-        self.write(table, rows)
-        found, wanted = self.read(table).count(), rows.count()
+        seen = Observation()
+        self.write(table, rows.observe(seen, F.count(F.lit(1)).alias("n")))
+        found, wanted = self.read(table).count(), seen.get["n"]
         if found != wanted:
             raise ValueError(f"{found} rows of {wanted} in {table}")
         return found
@@ -140,8 +206,33 @@ class Store:
         return self.exists(table) and not self.read(table).isEmpty()
 
 
-def merged(old: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    return old.join(new.select(*key), [*key], "left_anti").unionByName(new.dropDuplicates([*key]), allowMissingColumns=True)
+def last_of(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key: the last by the columns of `order`, or as they come."""
+    place = F.struct(*order) if order else F.monotonically_increasing_id()
+    others = [c for c in rows.columns if c not in key]
+    if not others:
+        return rows.distinct()
+    last = rows.withColumn("_place", place).groupBy(*key).agg(F.max_by(F.struct(*others), "_place").alias("_last"))
+    return last.select(*[F.col(c) if c in key else F.col(f"_last.{c}").alias(c) for c in rows.columns])
+
+
+def merged(old: DataFrame, new: DataFrame, key: tuple[str, ...], order: tuple[str, ...] = ()) -> DataFrame:
+    return old.join(new.select(*key), [*key], "left_anti").unionByName(last_of(new, key, order), allowMissingColumns=True)
+
+
+def look_up(points: DataFrame, ids: DataFrame, key: str = "point_id") -> DataFrame:
+    """Points of ids (key, place) in the order of `place`; ids that aren't there are left out."""
+    return points.join(ids.select(key, "place"), key).orderBy("place")
+
+
+def existing(points: DataFrame, ids: DataFrame, key: str = "point_id") -> DataFrame:
+    """The distinct ids, null ones aside, that are there."""
+    return ids.select(key).filter(F.col(key).isNotNull()).distinct().join(points.select(key), key, "left_semi")
+
+
+def existing_hashes(points: DataFrame) -> DataFrame:
+    """point_id, content_hash of coarse points that have one."""
+    return points.filter("granularity = 'coarse' and content_hash is not null").select("point_id", "content_hash")
 
 
 def updated(old: DataFrame, changes: DataFrame, key: tuple[str, ...]) -> DataFrame:

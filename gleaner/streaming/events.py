@@ -22,11 +22,12 @@ def append_events(events: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value")).write.mode("append").text(path)
 
 
-def retrieval_events(candidates: DataFrame, queries: DataFrame, plan: str, injected_ids: list[str] | None = None) -> DataFrame:
-    """An event for each query with its candidates in order, and the injected ids."""
+def retrieval_events(candidates: DataFrame, queries: DataFrame, plan: str, injected_ids: list[str] | None = None, reranker_id: str | None = None, spaces: tuple[str, ...] = ()) -> DataFrame:
+    """An event for each query that has an id, with its candidates in order, and the injected ids."""
     listed = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("fused_rank", "doc_id", "fused_score"))).alias("candidates"))
-    payload = F.struct(F.col("text").alias("query_text"), F.lit(plan).alias("plan"), "candidates", F.array(*map(F.lit, injected_ids or [])).cast("array<string>").alias("injected_ids"))
-    return queries.join(listed, "query_id", "left").select("query_id", F.lit("retrieval").alias("event"), payload.alias("payload"))
+    strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    payload = F.struct(F.col("text").alias("query_text"), F.lit(plan).alias("plan"), F.lit("rrf").alias("fusion"), F.lit(reranker_id).alias("reranker_id"), strings(spaces).alias("spaces"), "candidates", strings(map(str, injected_ids or [])).alias("injected_ids"))
+    return queries.filter("query_id is not null").join(listed, "query_id", "left").select("query_id", F.lit("retrieval").alias("event"), payload.alias("payload"))
 
 
 def fold(events: DataFrame, key: str = "query_id", kind: str = "event", value: str = "payload", order: tuple[str, ...] = ("ts",)) -> DataFrame:
@@ -99,16 +100,39 @@ def most_appearing(counts: DataFrame, item: str) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def ingest_stream(stream: DataFrame, store, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Upserts each micro-batch's new or changed points."""
-    from gleaner.sources.store import changed
+def prune_after(store, table: str, current: DataFrame, key: tuple[str, ...] = ("point_id",)) -> int:
+    """Deletes the points that the sources don't give any more; how many there were."""
+    from gleaner.sources.store import stale
+
+    gone = stale(store.read(table), current, key)
+    n = gone.count()
+    if n:
+        store.delete(table, gone, key)
+    return n
+
+
+def ingest_stream(stream: DataFrame, store, table: str, checkpoint: str, once: bool = True, order: tuple[str, ...] = (), current: DataFrame | None = None) -> StreamingQuery:
+    """Upserts each micro-batch's new or changed points, the last of a key winning; with `current`, the ids that sources have now, others are pruned after each batch."""
+    from gleaner.sources.store import changed, last_of
 
     def upsert(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates(["point_id"])
+        rows = last_of(batch, ("point_id",), order)
         if store.exists(table):
             rows = changed(rows, store.read(table))
         if not rows.isEmpty():
             store.upsert(table, rows)
+        if current is not None and store.exists(table):
+            prune_after(store, table, current)
 
     writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def register(labelled: DataFrame, store, table: str = "labels") -> int:
+    """Appends the new ones of labels() to the stored registry: a label is kept from its first sight on. How many were new."""
+    new = labelled.filter("is_new").select("session_key", "label").dropDuplicates(["session_key"])
+    new = new.join(store.read(table).select("session_key"), "session_key", "left_anti") if store.exists(table) else new
+    n = new.count()
+    if n:
+        store.upsert(table, new, ("session_key",))
+    return n
