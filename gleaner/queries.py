@@ -11,12 +11,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner import drivers
 from gleaner import evaluate as V
 from gleaner.functions import text as T
 from gleaner.functions.vectors import as_double, max_abs_diff, stable_u32
-from gleaner.operators import chunking, dense, enrich, fusion, represent, sparse
+from gleaner.operators import chunking, dense, embed, enrich, fusion, represent, sparse
+from gleaner.plans import ingest
 from gleaner.plans import retrieval as R
-from gleaner.sources import store
+from gleaner.sources import files, store
 from gleaner.streaming import events as E
 
 K = 10
@@ -636,8 +638,8 @@ def function_chunks(spark, sf_dir):
 
 @query()
 def context_headers(spark, sf_dir):
-    files = _files(spark, sf_dir)
-    return enrich.context_headers(chunking.code_chunks(files, "shop"), files).select("source_file", "qualname", "context_header")
+    sources = _files(spark, sf_dir)
+    return enrich.context_headers(chunking.code_chunks(sources, "shop"), sources).select("source_file", "qualname", "context_header")
 
 
 @query()
@@ -656,3 +658,293 @@ def symbol_refs(spark, sf_dir):
     known = symbols.select("last_segment").distinct().withColumn("known", F.lit(True))
     return names.join(known, "last_segment", "left").groupBy("source_file", "qualname", "has_numba").agg(F.count_if("known").alias("known_calls"))
 
+
+
+# Ingest, drivers and the rest of the surface.
+
+
+def _tree(spark, sf_dir, changed: bool = False) -> DataFrame:
+    """A source tree of four kinds of files by the part's key; in its changed state every fifth file has another function and every seventh is gone."""
+    key = F.col("p_partkey").cast("string")
+    place = lambda name: F.concat(F.lit("/home/src/shop/p"), key, F.lit("/"), F.lit(name))
+    both = F.concat(F.lit('"""Parts named '), "p_name", F.lit('."""\n\ndef price_'), key, F.lit("(x):\n    return size_of(x)\n\nclass Part:\n    kind = 1\n\n    def size(self):\n        return 2\n"))
+    two = F.concat(F.lit("class A"), key, F.lit(":\n    def a(self):\n        return 1\n\n    def b(self):\n        return 2\n"))
+    kind = F.col("p_partkey") % 4
+    path = F.when(kind == 3, place("__init__.py")).otherwise(place("mod.py"))
+    source = F.when(kind == 0, both).when(kind == 1, two).when(kind == 2, F.lit("def broken(:\n")).otherwise(F.concat(F.lit("from .mod import x"), key, F.lit("\n")))
+    tree = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), source.alias("source"))
+    if changed:
+        tree = tree.filter("p_partkey % 7 <> 0").withColumn("source", F.when((F.col("p_partkey") % 5 == 0) & kind.isin(0, 1), F.concat("source", F.lit("\ndef added():\n    return 3\n"))).otherwise(F.col("source")))
+    return tree.select("path", "source")
+
+
+_KINDS = "(SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 1 END AS coarse, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE 0 END AS fine, CASE WHEN p_partkey % 5 = 0 AND p_partkey % 4 IN (0, 1) THEN 1 ELSE 0 END AS added FROM part)"
+
+
+@query(f"""SELECT 1 AS run, CAST(sum(coarse) AS BIGINT) AS seen, CAST(0 AS BIGINT) AS skipped, CAST(sum(coarse) AS BIGINT) AS embedded, CAST(0 AS BIGINT) AS pruned, CAST(sum(coarse + fine) AS BIGINT) AS points, CAST(sum(coarse + fine) AS BIGINT) AS vectors FROM {_KINDS}
+UNION ALL SELECT 2, CAST(sum(coarse + added) FILTER (k % 7 <> 0) AS BIGINT), CAST(sum(coarse) FILTER (k % 7 <> 0) AS BIGINT), CAST(sum(added) FILTER (k % 7 <> 0) AS BIGINT), CAST(coalesce(sum(coarse + fine) FILTER (k % 7 = 0), 0) AS BIGINT),
+CAST(sum(coarse + fine + 2 * added) FILTER (k % 7 <> 0) AS BIGINT), CAST(sum(coarse + fine + 2 * added) FILTER (k % 7 <> 0) AS BIGINT) FROM {_KINDS}""")
+def ingest_tree(spark, sf_dir):
+    """Two runs over a tree into a new store: the second, after changes, works on what is new and prunes what is gone."""
+    own = store.Store(spark, store.scratch(spark, "tree"))
+    lexicon = spark.createDataFrame([("kind",)], "term string")
+    out = []
+    for run in (1, 2):
+        r = ingest.ingest(own, _tree(spark, sf_dir, run == 2), "shop", lexicon).first()
+        out.append((run, r["seen"], r["skipped"], r["embedded"], r["pruned"], own.read("points").count(), own.read("vectors").count()))
+    return spark.createDataFrame(out, "run int, seen long, skipped long, embedded long, pruned long, points long, vectors long")
+
+
+_CHUNK_ROWS = """
+kind0 AS (SELECT * FROM part WHERE p_partkey % 4 = 0), kind1 AS (SELECT * FROM part WHERE p_partkey % 4 = 1),
+chunk AS (
+  SELECT p_partkey, 'mod.py' AS file, concat('shop.p', p_partkey, '.mod') AS qualname, 'module_docstring' AS chunk_type, 1 AS line_start, 1 AS line_end, concat(repeat('"', 3), 'Parts named ', p_name, '.', repeat('"', 3)) AS text FROM kind0
+  UNION ALL SELECT p_partkey, 'mod.py', concat('price_', p_partkey), 'function', 3, 4, concat('def price_', p_partkey, '(x):', chr(10), '    return size_of(x)') FROM kind0
+  UNION ALL SELECT p_partkey, 'mod.py', 'Part', 'class_header', 6, 10, concat('class Part:', chr(10), '    kind = 1') FROM kind0
+  UNION ALL SELECT p_partkey, 'mod.py', 'Part.size', 'method', 9, 10, concat('    def size(self):', chr(10), '        return 2') FROM kind0
+  UNION ALL SELECT p_partkey, 'mod.py', concat('A', p_partkey), 'class_header', 1, 6, concat('class A', p_partkey, ':') FROM kind1
+  UNION ALL SELECT p_partkey, 'mod.py', concat('A', p_partkey, '.a'), 'method', 2, 3, concat('    def a(self):', chr(10), '        return 1') FROM kind1
+  UNION ALL SELECT p_partkey, 'mod.py', concat('A', p_partkey, '.b'), 'method', 5, 6, concat('    def b(self):', chr(10), '        return 2') FROM kind1
+  UNION ALL SELECT p_partkey, '__init__.py', concat('shop.p', p_partkey, '.__init__'), 'module_exports', 1, 1, concat('from .mod import x', p_partkey) FROM part WHERE p_partkey % 4 = 3)"""
+
+
+@query(f"WITH {_CHUNK_ROWS} SELECT concat('/home/src/shop/p', p_partkey, '/', file) AS source_file, qualname, chunk_type, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, trim(text, chr(10)) AS text FROM chunk")
+def tree_chunks(spark, sf_dir):
+    return chunking.code_chunks(_tree(spark, sf_dir), "shop").select("source_file", "qualname", "chunk_type", "line_start", "line_end", F.regexp_replace("text", "^\n+|\n+$", "").alias("text"))
+
+
+@query(f"WITH {_CHUNK_ROWS} SELECT concat('/home/src/shop/p', p_partkey, '/', file) AS source_file, qualname, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end FROM chunk WHERE chunk_type IN ('function', 'method')")
+def tree_functions(spark, sf_dir):
+    return chunking.code_chunks(_tree(spark, sf_dir), "shop", functions_only=True).select("source_file", "qualname", "line_start", "line_end")
+
+
+@query(f"WITH {_CHUNK_ROWS} SELECT concat('/home/src/shop/p', p_partkey, '/', file) AS source_file, qualname, CAST(0 AS INTEGER) AS window_idx, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end FROM chunk WHERE chunk_type IN ('function', 'method')")
+def tree_windows(spark, sf_dir):
+    return chunking.fine_chunks(chunking.code_chunks(_tree(spark, sf_dir), "shop")).select("source_file", "qualname", "window_idx", "line_start", "line_end")
+
+
+@query(f"""WITH {_CHUNK_ROWS}, f AS (SELECT *, concat('/home/src/shop/p', p_partkey, '/', file) AS source_file, trim(regexp_extract(text, '(?m)^\\s*(def\\b.*)$', 1)) AS sig FROM chunk)
+SELECT source_file, qualname, array_to_string(list_filter([CASE WHEN chunk_type = 'method' THEN concat('# class: ', split_part(qualname, '.', 1)) WHEN chunk_type = 'module_exports' THEN concat('# ', text) END,
+  concat('# above: ', last_value(CASE WHEN chunk_type IN ('function', 'method') THEN sig END IGNORE NULLS) OVER (PARTITION BY source_file ORDER BY line_start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  concat('# below: ', first_value(CASE WHEN chunk_type IN ('function', 'method') THEN sig END IGNORE NULLS) OVER (PARTITION BY source_file ORDER BY line_start RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))], lambda x: x IS NOT NULL AND x NOT IN ('# above: ', '# below: ')), chr(10)) AS context_header FROM f""")
+def tree_headers(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    return enrich.context_headers(chunking.code_chunks(tree, "shop"), tree).select("source_file", "qualname", "context_header")
+
+
+@query(f"WITH {_CHUNK_ROWS} SELECT concat('shop.p', p_partkey, '.mod.', qualname) AS qualname, split_part(qualname, '.', -1) AS last_segment FROM chunk WHERE chunk_type IN ('function', 'method', 'class_header')")
+def tree_symbols(spark, sf_dir):
+    return enrich.symbol_table(chunking.code_chunks(_tree(spark, sf_dir), "shop")).select("qualname", "last_segment")
+
+
+@query(f"WITH {_CHUNK_ROWS} SELECT concat('/home/src/shop/p', p_partkey, '/', file) AS source_file, qualname, CASE WHEN chunk_type = 'function' THEN ['size_of'] ELSE [] END AS calls, false AS has_numba FROM chunk")
+def tree_calls(spark, sf_dir):
+    return enrich.code_facts(chunking.code_chunks(_tree(spark, sf_dir), "shop")).select("source_file", "qualname", "calls", "has_numba")
+
+
+@query(f"WITH {_CHUNK_ROWS} SELECT concat('/home/src/shop/p', p_partkey, '/', file) AS source_file, qualname, CASE WHEN chunk_type = 'module_docstring' THEN trim(text) ELSE trim(text) END AS code, CASE WHEN chunk_type = 'module_docstring' THEN concat('Parts named ', p_name, '.') END AS com FROM chunk JOIN part USING (p_partkey)")
+def tree_representations(spark, sf_dir):
+    """A chunk that is all docstring keeps its text as code."""
+    chunks = chunking.code_chunks(_tree(spark, sf_dir), "shop")
+    return chunks.select("source_file", "qualname", F.trim(F.regexp_replace(represent.representation("code", F.col("text")), r"^\s+|\s+$", "")).alias("code"), represent.representation("com", F.col("text")).alias("com"))
+
+
+@query("""SELECT o_orderkey AS id, o_orderstatus AS difficulty, CASE WHEN o_orderkey % 3 = 0 THEN 'none' WHEN o_orderkey % 3 = 1 THEN 'full' ELSE 'partial' END AS indexed FROM orders""")
+def indexability(spark, sf_dir):
+    refs = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("b.py:3"))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("a.py:1-2"), F.lit("README.md"))).otherwise(F.array(F.lit("a.py"), F.lit("b.py")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("difficulty"), V.indexability(refs, ["a.py"]).alias("indexed"))
+
+
+@query(f"""WITH {DOC}, {ASK}, {_tfidf()}, {OKAPI}, a AS (SELECT * FROM {_TF} WHERE fused_rank < 10), b AS (SELECT * FROM {_BM} WHERE fused_rank < 10)
+SELECT k, count(*) AS queries, count(*) FILTER (lowest IS NULL OR lowest >= k) AS equal FROM (SELECT query_id, min(CASE WHEN a.doc_id IS DISTINCT FROM b.doc_id THEN fused_rank END) AS lowest FROM a FULL JOIN b USING (query_id, fused_rank) GROUP BY query_id) CROSS JOIN (VALUES (3), (5), (10)) v(k) GROUP BY k""")
+def rank_parities(spark, sf_dir):
+    a, b = (_sparse_found(spark, sf_dir, leg) for leg in (R.sparse_leg, R.okapi_leg))
+    return V.parities(a, b)
+
+
+@query(f"""WITH {DOC}, {ASK}, {_tfidf()}, {OKAPI}, a AS (SELECT * FROM {_TF} WHERE fused_rank < 10), b AS (SELECT * FROM {_BM} WHERE fused_rank < 10)
+SELECT query_id, CAST(fused_rank AS INTEGER) AS fused_rank, a.doc_id AS left_id, b.doc_id AS right_id, a.doc_id IS NOT DISTINCT FROM b.doc_id AS same FROM a FULL JOIN b USING (query_id, fused_rank)""")
+def rank_diff(spark, sf_dir):
+    a, b = (_sparse_found(spark, sf_dir, leg) for leg in (R.sparse_leg, R.okapi_leg))
+    return V.rank_rows(a, b, 10)
+
+
+@query(f"""WITH {DOC}, {ASK}, {_tfidf()}, {OKAPI}, a AS (SELECT * FROM {_TF} WHERE fused_rank < 10), b AS (SELECT * FROM {_BM} WHERE fused_rank < 10), x AS (SELECT DISTINCT doc_id FROM a), y AS (SELECT DISTINCT doc_id FROM b)
+SELECT count(*) FILTER (x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL) AS both, count(*) FILTER (y.doc_id IS NULL) AS left_only, count(*) FILTER (x.doc_id IS NULL) AS right_only, count(*) FILTER (y.doc_id IS NULL OR x.doc_id IS NULL) = 0 AS equal FROM x FULL JOIN y USING (doc_id)""")
+def found_sets(spark, sf_dir):
+    a, b = (_sparse_found(spark, sf_dir, leg).filter("fused_rank < 10") for leg in (R.sparse_leg, R.okapi_leg))
+    return V.set_comparison(a, b, "doc_id")
+
+
+@query("SELECT count(text) - count(DISTINCT text) AS n FROM documents")
+def collisions(spark, sf_dir):
+    return V.collisions(table(spark, sf_dir, "documents"), "text")
+
+
+@query("SELECT o_orderpriority AS difficulty, count(*) FILTER (o_totalprice > 100000) AS passed, count(*) AS total FROM orders GROUP BY o_orderpriority")
+def validation_counts(spark, sf_dir):
+    return V.validation_counts(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("difficulty"), (F.col("o_totalprice") > 100000).alias("passed")))
+
+
+@query("SELECT flag, count(*) AS n FROM (SELECT unnest(CASE WHEN quality = 0 AND toxic = 1 THEN ['poor', 'toxic'] WHEN quality = 0 THEN ['poor'] WHEN toxic = 1 THEN ['toxic'] ELSE [] END) AS flag FROM labels) GROUP BY flag")
+def flag_counts(spark, sf_dir):
+    flags = F.filter(F.array(F.when(F.col("quality") == 0, "poor"), F.when(F.col("toxic") == 1, "toxic")), lambda x: x.isNotNull())
+    return V.flag_counts(table(spark, sf_dir, "labels").select(flags.alias("flags")))
+
+
+@query(f"""WITH {DOC}, {ASK}, {_tfidf()}, ranked AS ({TOPK.format(scores='tfidf', k=K)}) SELECT query_id, doc_id, rank AS fused_rank, round(1.0 / (61 + rank), 6) AS fused_score FROM ranked""")
+def single_leg(spark, sf_dir):
+    return R.single_leg(R.sparse_leg(_index(spark, sf_dir), items(spark, sf_dir), K), "sparse", K).select(*LONG)
+
+
+def _pooled_sql(pool: int, k: int) -> str:
+    part = lambda name, scores: f"{name} AS (SELECT query_id, doc_id, CAST(1 AS DOUBLE) / (59 + r) AS part FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM {scores}) WHERE r <= {pool})"
+    return f"WITH {HYBRID}, {OKAPI}, {part('b1', 'near_all')}, {part('b2', 'okapi')}, {_fused(['b1', 'b2'], k)} SELECT * FROM fused"
+
+
+@query(_pooled_sql(10, 10))
+def pooled_hybrid(spark, sf_dir):
+    return R.pooled_hybrid(_index(spark, sf_dir), items(spark, sf_dir), K).select(*LONG)
+
+
+@query(_pooled_sql(50, 50))
+def wide_hybrid(spark, sf_dir):
+    return R.pooled_hybrid(_index(spark, sf_dir), items(spark, sf_dir), 50, pool=50).select(*LONG)
+
+
+@query(f"WITH {HYBRID}, {_fused(['l1', 'l2'])} SELECT query_id, list(doc_id ORDER BY fused_rank) AS top FROM fused WHERE fused_rank < 5 GROUP BY query_id")
+def top_five(spark, sf_dir):
+    return V.top_each(R.hybrid(_index(spark, sf_dir), items(spark, sf_dir), K))
+
+
+@query(f"WITH {HYBRID}, {_fused(['l1', 'l2'])} SELECT * FROM fused")
+def stored_hybrid(spark, sf_dir):
+    """The same from a store: points, postings and vectors are written once and read back."""
+    index = R.build_index(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    own = store.Store(spark, store.scratch(spark, "index"))
+    for name, df in (("points", index.points), ("postings", index.postings), ("vectors", index.vectors)):
+        own.load(name, df.withColumnRenamed("doc_id", "point_id"))
+    return R.hybrid(R.open_index(own), items(spark, sf_dir), K).select(*LONG)
+
+
+@query(f"""WITH {HYBRID}, {_fused(['l1', 'l2'], 3)}, e AS (SELECT f.query_id, min(d2.doc_id) AS x FROM fused f JOIN documents d ON d.doc_id = f.doc_id JOIN documents d2 ON d2.doc_id = f.doc_id + 1 GROUP BY f.query_id, f.doc_id),
+added AS (SELECT DISTINCT query_id, x AS doc_id FROM e WHERE NOT EXISTS (SELECT 1 FROM fused f WHERE f.query_id = e.query_id AND f.doc_id = e.x)), n AS (SELECT query_id, max(fused_rank) + 1 AS n FROM fused GROUP BY query_id)
+SELECT query_id, doc_id, fused_rank, fused_score, false AS expansion FROM fused UNION ALL SELECT query_id, doc_id, CAST(n + row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1 AS INTEGER), 0.0, true FROM added JOIN n USING (query_id)""")
+def expanded_candidates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    edges = docs.select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"))
+    return R.expand_candidates(R.hybrid(_index(spark, sf_dir), items(spark, sf_dir), 3).select(*LONG), edges, docs, 1)
+
+
+@query("SELECT event_id FROM events WHERE event_id % 7 <> 3")
+def existing_ids(spark, sf_dir):
+    """Ids asked for in any number, some unknown and some null, against those that are there."""
+    events = table(spark, sf_dir, "events")
+    asked = events.select((F.when(F.col("event_id") % 7 != 3, F.col("event_id"))).alias("event_id")).unionByName(events.select((-F.col("event_id") - 1).alias("event_id"))).unionByName(events.filter("event_id % 7 <> 3").select("event_id"))
+    return store.existing(events, asked, "event_id")
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE lang = 'en' AND n_chars > 100")
+def existing_hashes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    points = docs.select(F.col("doc_id").alias("point_id"), F.when(F.col("lang") == "en", "coarse").otherwise("fine").alias("granularity"), F.when(F.col("n_chars") > 100, T.content_hash(F.col("text"))).alias("content_hash"))
+    return store.existing_hashes(points).withColumnRenamed("point_id", "doc_id")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def last_write_wins(spark, sf_dir):
+    own = store.Store(spark, store.scratch(spark, "last"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    own.upsert("state", rows, ("user_id",), order=("ts", "event_id"))
+    return own.read("state").select("user_id", "event_type", "value")
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL THEN '' WHEN quality = 1 THEN 'good' ELSE 'poor' END AS summary FROM documents LEFT JOIN labels USING (doc_id)")
+def keyed_summaries(spark, sf_dir):
+    """A left join on function and class; null classes match."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("function_name"), F.lit(None).cast("string").alias("class_name"))
+    summaries = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("function_name"), F.lit("").alias("class_name"), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("summary"))
+    return files.with_summaries(docs, summaries).select("doc_id", "summary")
+
+
+@query("SELECT p_partkey, round(p_retailprice, 4) AS ctx FROM part")
+def rounded_scores(spark, sf_dir):
+    scores = table(spark, sf_dir, "part").select("p_partkey", T.rounded_scores(F.create_map(F.lit("ctx"), F.col("p_retailprice").cast("double") + 0.00001)).alias("m"))
+    return scores.select("p_partkey", F.round(F.element_at("m", "ctx"), 2).alias("ctx"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'A' WHEN turn % 4 = 1 THEN 'D' WHEN turn % 4 = 2 THEN 'X' ELSE 'X' END AS letter FROM conversations""")
+def answer_letters(spark, sf_dir):
+    answer = F.when(F.col("turn") % 4 == 0, '{"answer": "a"}').when(F.col("turn") % 4 == 1, '```json\n{"answer": " D "}\n```').when(F.col("turn") % 4 == 2, '{"answer": "E"}').otherwise("no")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.answer_letter(answer).alias("letter"))
+
+
+@query("SELECT p_partkey, concat(p_name, chr(10), 'A. ', p_type, chr(10), 'B. ', p_brand) AS question FROM part")
+def question_texts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.question_text(F.col("p_name"), F.array("p_type", "p_brand")).alias("question"))
+
+
+@query("SELECT c_custkey, c_mktsegment = 'BUILDING' AND c_nationkey % 2 = 0 AS strict, c_mktsegment = 'BUILDING' AS loose FROM customer")
+def symbol_matches(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("cls"), F.when(F.col("c_nationkey") % 2 == 0, "run").otherwise("walk").alias("f"))
+    return own.select("c_custkey", T.symbol_matches(F.lit("BUILDING.run"), F.col("cls"), F.col("f")).alias("strict"), T.symbol_matches(F.concat(F.lit("BUILDING."), "f"), F.col("cls"), F.col("f"), strict=False).alias("loose"))
+
+
+@query("SELECT o_orderstatus, concat(count(*) FILTER (o_totalprice > 100000), '/', count(*), ' (', CAST(round(100.0 * count(*) FILTER (o_totalprice > 100000) / count(*)) AS INTEGER), '%)') AS shown FROM orders GROUP BY o_orderstatus")
+def fractions(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(T.fraction(F.count_if(F.col("o_totalprice") > 100000), F.count(F.lit(1))).alias("shown"))
+
+
+@query("SELECT event_id, strftime(ts - INTERVAL 5 HOUR, '%m-%d_%H%M') AS stamp FROM events")
+def local_stamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.local_stamp(F.col("ts"), "-05:00").alias("stamp"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat('p', p_partkey, '.py:', p_brand) ELSE concat('p', p_partkey, '.py') END AS label, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN p_name ELSE '?' END AS shown FROM part")
+def source_labels(spark, sf_dir):
+    part, third = table(spark, sf_dir, "part"), F.col("p_partkey") % 3
+    function = F.when(third == 0, F.col("p_brand")).otherwise(F.lit(""))
+    path = F.concat(F.lit("/src/p"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    return part.select("p_partkey", T.source_label(path, function, "/src/").alias("label"), T.display_name(function, F.when(third == 1, F.col("p_name")).otherwise(F.lit(""))).alias("shown"))
+
+
+_SESSION = f"WITH g AS (SELECT event_id, ts, CAST(sum(s) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS session_id FROM (SELECT event_id, ts, CASE WHEN lag(ts) OVER (ORDER BY ts, event_id) IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts, event_id)) > 60000000 THEN 1 ELSE 0 END AS s FROM events))"
+
+
+@query(_SESSION + " SELECT session_id, arg_min(event_id, (ts, event_id)) AS session_key, concat('q-', arg_min(event_id, (ts, event_id)), '_', strftime(min(ts), '%m-%d_%H%M')) AS label, arg_min(event_id, (ts, event_id)) % 2 = 1 AS is_new FROM g GROUP BY session_id HAVING arg_min(event_id, (ts, event_id)) % 2 = 1 UNION ALL SELECT session_id, arg_min(event_id, (ts, event_id)), 'kept', false FROM g GROUP BY session_id HAVING arg_min(event_id, (ts, event_id)) % 2 = 0")
+def session_labels(spark, sf_dir):
+    """Labels of sessions; those whose first event has an even id are in the registry already."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), F.concat(F.lit("Q "), F.col("event_id").cast("string")).alias("query_text"), "ts")
+    firsts = E.first_events(E.sessions(events, 60, tie="query_id"))
+    registry = table(spark, sf_dir, "events").filter("event_id % 2 = 0").select(F.col("event_id").alias("session_key"), F.lit("kept").alias("label"))
+    return E.labels(firsts, registry).join(firsts.select("session_id", "session_key"), "session_key").select("session_id", "session_key", "label", "is_new")
+
+
+@query("SELECT count(*) FILTER (doc_id % 10 = 0) AS missing, count(*) FILTER (doc_id % 10 = 1) AS changed_text, count(*) FILTER (doc_id % 10 = 2) AS off FROM documents")
+def vector_parity(spark, sf_dir):
+    docs, tenth = table(spark, sf_dir, "documents"), F.col("doc_id") % 10
+    old = docs.select(F.col("doc_id").alias("point_id"), "text", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    new = docs.filter(tenth != 0).select(F.col("doc_id").alias("point_id"), F.when(tenth == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), F.array(F.lit(1.0), F.when(tenth == 2, 0.001).otherwise(0.0)).alias("embedding"))
+    return V.vector_parity(old, new)
+
+
+@query(f"WITH {DOC}, n AS (SELECT doc_id, count(*) AS n FROM doc GROUP BY doc_id) SELECT doc_id, n FROM n")
+def with_tokens(spark, sf_dir):
+    """Rows without tokens are left out."""
+    docs = texts(spark, sf_dir)
+    return embed.point_postings(docs.withColumnRenamed("doc_id", "point_id")).groupBy(F.col("point_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, space FROM documents JOIN (VALUES ('ctx__hashed'), ('code__hashed')) s(space) ON space = 'ctx__hashed' OR lang = 'en' WHERE regexp_matches(text, '[A-Za-z0-9_]')")
+def multi_space(spark, sf_dir):
+    """Which spaces a point has vectors in: fine points only in those meant for them."""
+    docs = table(spark, sf_dir, "documents")
+    points = docs.select(F.col("doc_id").alias("point_id"), F.concat(F.lit("!("), "text").alias("text"), F.when(F.col("lang") == "en", "coarse").otherwise("fine").alias("granularity"))
+    return embed.embed_spaces(points, ["ctx__hashed", "code__hashed"], embed.Registry(embed.HASHED)).select(F.col("point_id").alias("doc_id"), "space")
+
+
+@query("SELECT lang AS retriever, count(*) AS queries, avg(CASE WHEN n_chars % 20 < 3 THEN 1.0 ELSE 0.0 END) AS recall_at_3, avg(CASE WHEN n_chars % 20 < 5 THEN 1.0 ELSE 0.0 END) AS recall_at_5, avg(CASE WHEN n_chars % 20 < 10 THEN 1.0 ELSE 0.0 END) AS recall_at_10 FROM (SELECT 'en' AS lang, n_chars FROM documents UNION ALL SELECT 'other', n_chars + 7 FROM documents) GROUP BY lang")
+def retriever_table(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "doc_id", "n_chars")
+    found = lambda shift: docs.select("query_id", "doc_id", ((F.col("n_chars") + shift) % 20).cast("int").alias("fused_rank"))
+    return drivers.compare_retrievers({"en": found(0), "other": found(7)}, docs.select("query_id", "doc_id"))
