@@ -100,7 +100,9 @@ def session_records(events: DataFrame, registry: DataFrame, zone: str = "UTC", t
     labelled = E.labels(E.first_events(placed), registry, zone).join(E.first_events(placed).select("session_id", "session_key"), "session_key")
     shown = F.transform(F.slice(F.array_sort("candidates", lambda a, b: a["fused_rank"] - b["fused_rank"]), 1, top), lambda c: F.struct(c["point_id"].alias("point_id"), F.round(c["fused_score"], 4).alias("fused_score"), T.rounded_scores(c["leg_scores"]).alias("leg_scores")))
     queries = placed.select("session_id", F.struct("ts", "query_id", "query_text", "plan", shown.alias("candidates")).alias("q"))
-    records = queries.groupBy("session_id").agg(F.array_sort(F.collect_list("q")).alias("queries"))
+    before = lambda a, b, f: F.when(a[f] < b[f], -1).when(a[f] > b[f], 1)
+    in_time = lambda a, b: F.coalesce(before(a, b, "ts"), before(a, b, "query_id"), F.lit(0))
+    records = queries.groupBy("session_id").agg(F.array_sort(F.collect_list("q"), in_time).alias("queries"))
     return records.join(labelled.select("session_id", "session_key", "label"), "session_id"), labelled
 
 

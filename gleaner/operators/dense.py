@@ -71,7 +71,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
                 best = s[at, place]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(row["q_ids"])[at], q_kind), pa.array(ids[place], v_kind), pa.array(np.abs(best) if metric == "l2" else best + 0.0)], ["query_id", id_col, "score"])
 
-    pairs = q.join(v, F.col("q_dim") == F.col("v_dim"))
+    # Every block of queries meets all blocks of vectors of its length: in as many places as there are partitions, each with its own blocks of vectors.
+    places = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = q.withColumn("q_place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    v = v.withColumn("v_place", F.pmod(F.xxhash64("v_ids"), F.lit(places)).cast("int"))
+    pairs = q.join(v, (F.col("q_dim") == F.col("v_dim")) & (F.col("q_place") == F.col("v_place")))
     return ranked(pairs.mapInArrow(score, f"query_id {dict(queries.dtypes)[query_id]}, {id_col} {dict(vectors.dtypes)[id_col]}, score double"), k, id_col, metric != "l2")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.functions.text import local_stamp, slugify
 
-GAP = 60
+GAP, RANGE = 60, 1_000_000
 
 
 def stamped(events: DataFrame) -> DataFrame:
@@ -43,23 +43,26 @@ def folded(events: DataFrame, kinds: list[str], **options: str) -> DataFrame:
 
 def sessions(events: DataFrame, gap: int = GAP, key: str | None = None, ts: str = "ts", tie: str | None = None) -> DataFrame:
     """Adds session_id, from 0 in order of time: a new session begins where the time since the event before is more than `gap` seconds. Without a key
-    sessions are global. A global order needs no single partition: days are ordered by themselves and joined by what the days before end with."""
+    sessions are global. A global order needs no single partition: ranges of time with about RANGE events each are ordered by themselves and joined by what the ranges before end with."""
     order = [ts, *([tie] if tie else [])]
     if key is not None:
         w = Window.partitionBy(key).orderBy(*order)
         new = _starts(ts, F.lag(ts).over(w), gap)
         return events.withColumn("_n", new).withColumn("session_id", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_n")
-    day = F.to_date(ts)
-    dated = events.withColumn("_day", day)
-    w = Window.partitionBy("_day").orderBy(*order)
+    at = _seconds(ts).cast("double")
+    parts = events.count() // RANGE
+    bounds = sorted(set(events.select(at.alias("at")).approxQuantile("at", [i / (parts + 1) for i in range(1, parts + 1)], 0.25 / (parts + 1)))) if parts else []
+    placed = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= at))
+    dated = events.withColumn("_part", F.when(at.isNull(), F.lit(-1)).otherwise(placed))
+    w = Window.partitionBy("_part").orderBy(*order)
     within = dated.withColumn("_n", F.when(F.lag(ts).over(w).isNull(), F.lit(0)).otherwise(_starts(ts, F.lag(ts).over(w), gap)))
-    per_day = within.groupBy("_day").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_n").alias("_inside"))
-    days = Window.orderBy("_day")  # a row for each day
-    head = _starts("_first", F.lag("_last").over(days), gap)
-    offsets = per_day.withColumn("_head", head).withColumn("_through", F.sum(F.col("_head") + F.col("_inside")).over(days.rowsBetween(Window.unboundedPreceding, 0)))
-    base = offsets.select((F.col("_through") - F.col("_inside") - 1).alias("_base"), F.col("_day").alias("_base_day"))
-    counted = within.join(base, F.col("_day").eqNullSafe(F.col("_base_day"))).drop("_base_day")
-    return counted.withColumn("session_id", F.col("_base") + F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_day", "_n", "_base")
+    per_part = within.groupBy("_part").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_n").alias("_inside"))
+    parts = Window.orderBy("_part")  # a row for each range
+    head = _starts("_first", F.lag("_last").over(parts), gap)
+    offsets = per_part.withColumn("_head", head).withColumn("_through", F.sum(F.col("_head") + F.col("_inside")).over(parts.rowsBetween(Window.unboundedPreceding, 0)))
+    base = offsets.select((F.col("_through") - F.col("_inside") - 1).alias("_base"), F.col("_part").alias("_base_part"))
+    counted = within.join(base, F.col("_part") == F.col("_base_part")).drop("_base_part")
+    return counted.withColumn("session_id", F.col("_base") + F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_part", "_n", "_base")
 
 
 def _seconds(ts: str | Column) -> Column:

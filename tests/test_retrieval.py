@@ -115,3 +115,35 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_every_query_with_sql_is_registered():
     assert set(Q.SQL) <= set(Q.QUERIES) and len(Q.QUERIES) >= 60
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_both_tokenizers_agree_on_the_whole_corpus(spark):
+    from gleaner.functions import text as T
+    from gleaner.operators import sparse
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    a, b = sparse.postings(docs), sparse.postings_by(docs, T.tokens)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.count() > 10_000
+
+
+def test_reports_have_every_row_or_refuse(spark):
+    rows = spark.range(30).withColumn("x", F.lit(0.5))
+    assert V.report("R", rows).count("| 0.5000 |") == 30
+    with pytest.raises(ValueError, match="more than 29 rows"):
+        V.report("R", rows, 29)
+
+
+def test_duplicate_chunks_count_once_in_an_index(spark):
+    chunks = spark.createDataFrame([(1, "first words", 0), (1, "second words", 1), (2, "other words", 2)], "doc_id long, text string, place int")
+    index = R.unique_index(chunks, "place")
+    assert sorted((r["doc_id"], r["text"]) for r in index.points.collect()) == [(1, "first words"), (2, "other words")]
+
+
+def test_parents_that_are_missing_take_a_place(spark):
+    fine = spark.createDataFrame([(10, 1, "rbf rbf rbf weights"), (11, 9, "rbf rbf"), (12, 2, "rbf")], "doc_id long, parent_id long, text string")
+    coarse = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    asked = spark.createDataFrame([(5, "rbf")], "query_id long, text string")
+    leg = lambda i, q, n: R.sparse_leg(i, q, n).select("query_id", "doc_id", F.col("rank").alias("fused_rank"), F.col("score").alias("fused_score"))
+    assert [(r["doc_id"], r["fused_rank"]) for r in R.fine_to_coarse(fine, coarse, asked, 2, leg).orderBy("fused_rank").collect()] == [(1, 0)]
+    assert [(r["doc_id"], r["fused_rank"]) for r in R.fine_to_coarse(fine, coarse, asked, 3, leg).orderBy("fused_rank").collect()] == [(1, 0), (2, 1)]

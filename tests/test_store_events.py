@@ -96,7 +96,9 @@ def test_event_log_round_trip_and_fold(spark, tmp_path):
     assert loose.count() == 4 and loose.filter("plan = 'unknown' and query_text = ''").count() == 1
 
 
-def test_sessions_labels_and_modes(spark):
+@pytest.mark.parametrize("size", [1_000_000, 2])
+def test_sessions_labels_and_modes(spark, monkeypatch, size):
+    monkeypatch.setattr(E, "RANGE", size)
     day = dt.datetime(2024, 1, 1, 23, 59, 0)
     offsets = [0, 60, 121, 121, 300, 86_500, 86_560]
     rows = [(f"q{i}", f"Query {i}", day + dt.timedelta(seconds=s), "xxyzxyy"[i]) for i, s in enumerate(offsets)]
@@ -128,3 +130,57 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("query_id string, ts timestamp").parquet(str(tmp_path / "ev"))
     E.session_stream(stream, 60).writeStream.format("memory").queryName("sess").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start().awaitTermination()
     assert sorted(r["events"] for r in spark.table("sess").collect()) == [1, 2]
+
+
+def test_the_last_of_a_key_wins_and_the_layout_stays(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 1, "z")], "point_id string, n int, kind string").coalesce(1)
+    store.upsert("t", rows, partition_by=("kind",), order=("n",))
+    assert sorted(tuple(r) for r in store.read("t").select("point_id", "n").collect()) == [("a", 3), ("b", 1)]
+    store.upsert("t", spark.createDataFrame([("b", 5, "x"), ("b", 4, "x")], "point_id string, n int, kind string").coalesce(1))
+    store.delete("t", spark.createDataFrame([("a",)], "point_id string"))
+    assert [r["n"] for r in store.read("t").collect()] == [4] and store.layout("t") == ("kind",)
+    store.expire("t", 1)
+    assert store.read("t").count() == 1
+    store.write("none", rows.filter("false"), ("kind",))
+    assert store.read("none").columns == ["point_id", "n", "kind"] and not store.has_points("none")
+
+
+def test_a_stream_prunes_and_labels_stay(spark, tmp_path):
+    source = str(tmp_path / "in")
+    points(spark, ("a", "1", "h1"), ("b", "2", "h2")).write.parquet(source)
+    store = Store(spark, str(tmp_path / "store"))
+    now = points(spark, ("a", "", ""))
+    E.ingest_stream(spark.readStream.schema("point_id string, text string, content_hash string").parquet(source), store, "points", str(tmp_path / "cp"), current=now).awaitTermination()
+    assert [r["point_id"] for r in store.read("points").collect()] == ["a"]
+    labelled = spark.createDataFrame([("q1", "one", True), ("q2", "old", False)], "session_key string, label string, is_new boolean")
+    assert E.register(labelled, store) == 1 and E.register(labelled, store) == 0
+    assert [tuple(r) for r in store.read("labels").collect()] == [("q1", "one")]
+
+
+def test_limits_keep_file_order_and_summaries_join_by_two_keys(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps([{"id": f"q{i}", "options": ["a", "b"], "ref": {"n": i}} for i in (5, 3, 9, 1)]))
+    schema = "id string, options array<string>, ref struct<n:int>"
+    assert [r["id"] for r in S.json_table(spark, str(tmp_path / "q.json"), schema, 3).collect()] == ["q5", "q3", "q9"]
+    assert S.json_table(spark, str(tmp_path / "q.json"), schema).count() == 4
+    chunks = spark.createDataFrame([("f", None), ("f", "C"), ("g", None)], "function_name string, class_name string")
+    told = spark.createDataFrame([("f", None, "alone"), ("f", "C", "method")], "function_name string, class_name string, summary string")
+    assert sorted((r["function_name"], r["class_name"] or "", r["summary"]) for r in S.with_summaries(chunks, told).collect()) == [("f", "", "alone"), ("f", "C", "method"), ("g", "", "")]
+
+
+def test_sessions_are_written_once(spark, tmp_path):
+    from gleaner import drivers
+
+    log = tmp_path / "log.jsonl"
+    event = lambda q, ts, ids: json.dumps({"query_id": q, "event": "retrieval", "ts": ts, "payload": {"query_text": f"How {q}?", "plan": "hybrid", "candidates": [{"point_id": p, "fused_rank": k, "fused_score": 0.0163934, "leg_scores": {"dense": 0.123456}} for k, p in enumerate(ids)]}})
+    log.write_text("\n".join([event("a", "2024-01-01T10:00:00Z", "xyzw"), event("b", "2024-01-01T10:00:30Z", "y"), event("c", "2024-01-01T12:00:00Z", "")]) + "\n")
+    read = lambda: S.event_log(spark, str(log), strict=False)
+    out = str(tmp_path / "out")
+    labels = drivers.write_sessions(spark, read(), out)
+    assert labels == ["how-a_01-01_1000", "how-c_01-01_1200"]
+    one = json.loads((tmp_path / "out" / labels[0] / "session.json").read_text())
+    assert [q["query_id"] for q in one["queries"]] == ["a", "b"] and [c["point_id"] for c in one["queries"][0]["candidates"]] == ["x", "y", "z"]
+    assert one["queries"][0]["candidates"][0]["fused_score"] == 0.0164 and one["queries"][0]["candidates"][0]["leg_scores"] == {"dense": 0.1235}
+    index = json.loads((tmp_path / "out" / "index.json").read_text())
+    assert [(i["label"], i["queries"], i["most_appearing"]) for i in index] == [(labels[0], 2, "y"), (labels[1], 1, None)]
+    assert drivers.write_sessions(spark, read(), out) == [] and drivers.write_sessions(spark, read(), out, force=True) == labels
