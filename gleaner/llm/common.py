@@ -7,6 +7,7 @@ text has no words. They are found, and hashed, for whole Arrow batches at once;
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import os
 import re
@@ -18,9 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TaskContext.get() is not None and hasattr(ctypes.CDLL(None), "mallopt"):
+    # In a worker large blocks of memory go back to the system when they are freed, Arrow's too, so that what one stage needed isn't kept through the next.
+    ctypes.CDLL(None).mallopt(-3, 4 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+
 WORD = re.compile(r"[a-z0-9_\u0080-\U0010ffff]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEED = 20240607
@@ -38,16 +45,22 @@ _IN_WORD = np.array([c >= 128 or chr(c).isalnum() or c == 95 for c in range(256)
 _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
 _BASE = 0xD6E8FEB86659FD93
+#: Powers that a worker keeps.
+KEPT = 1 << 22
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; those for usual lengths are kept, those for a very long text aren't."""
     global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        base, inverse = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        base[0] = inverse[0] = 1
-        _POWERS, _INVERSES = np.cumprod(base, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
-    return _POWERS[:n], _INVERSES[:n]
+    if len(_POWERS) >= n:
+        return _POWERS[:n], _INVERSES[:n]
+    size = max(1 << 16, n if n > KEPT else 1 << (n - 1).bit_length())
+    base, inverse = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+    base[0] = inverse[0] = 1
+    found = np.cumprod(base, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
+    if size <= KEPT:
+        _POWERS, _INVERSES = found
+    return found[0][:n], found[1][:n]
 
 
 class Words:
@@ -71,16 +84,19 @@ class Words:
 
 def words_of(texts: pa.Array, most_bytes: int = 1_500_000) -> Iterator[tuple[int, int, Words]]:
     """(first, end, Words) over documents first:end of an Arrow string column, some MB at a time; a longer document comes alone."""
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = texts.cast(pa.large_string())
     if len(texts) == 0:
         return
-    _, offset_buffer, data_buffer = texts.buffers()
-    offsets = np.frombuffer(offset_buffer, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data_buffer, np.uint8) if data_buffer else np.zeros(0, np.uint8)
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     first = 0
     while first < len(texts):
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most_bytes, "right")) - 1)
-        yield first, end, Words(data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first])
+        end = max(first + 1, int(np.searchsorted(ends, ends[first] + most_bytes, "right")) - 1)
+        part = pc.utf8_lower(texts.slice(first, end - first))  # a part at a time: no copy of the whole batch
+        _, offset_buffer, data_buffer = part.buffers()
+        offsets = np.frombuffer(offset_buffer, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data_buffer, np.uint8) if data_buffer else np.zeros(0, np.uint8)
+        yield first, end, Words(data[offsets[0] : offsets[-1]], offsets - offsets[0])
         first = end
 
 

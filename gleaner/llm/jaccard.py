@@ -32,7 +32,7 @@ from .common import buckets_for, materialise, mix, ngrams, text_bytes, words_of
 
 NGRAM, THRESHOLD = 5, 0.5
 #: N-grams in a block of columns, bytes of text in a block of rows, documents in a tile of the last product.
-COLUMNS, ROWS, TILE = 1_500_000, 6_000_000, 3000
+COLUMNS, ROWS, TILE = 1_200_000, 5_000_000, 3000
 #: Documents of an n-gram that isn't shuffled by columns; pairs held at once.
 HOT, PAIRS = 500_000, 4_000_000
 #: Blocks of columns that the upper 16 bits of an n-gram tell apart; beyond them the next 8 bits split each block.
@@ -94,7 +94,7 @@ def hot_grams(docs: DataFrame, n: int, rows: int, size: int) -> np.ndarray:
             for first, end, words in words_of(batch.column(0)):
                 held += [grams_of(words.hashes[a:b], n) for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())]
                 size, number = size + len(words.data), number + end - first
-                if size >= 4 * ROWS:
+                if size >= 2 * ROWS:
                     yield frequent()
                     held, size, number = [], 0, 0
         if held:
