@@ -285,7 +285,7 @@ def two_leg_bridge(spark, sf_dir):
 _WINDOWS = """
 line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 win AS (SELECT doc_id AS parent_id, CAST((n - 1) // 5 AS INTEGER) AS w, string_agg(line, chr(10) ORDER BY n) AS text FROM line GROUP BY ALL),
-fine AS (SELECT parent_id * 100000 + w AS doc_id, parent_id, text FROM win)"""
+fine AS (SELECT parent_id * 10000000 + w AS doc_id, parent_id, text FROM win)"""
 
 
 @query(f"""WITH {_WINDOWS}, {_terms('doc', 'fine', 'doc_id')}, {ASK}, {_tfidf(total='(SELECT count(*) FROM fine)')}, ranked AS ({TOPK.format(scores='tfidf', k=20)}),
@@ -294,7 +294,7 @@ SELECT query_id, doc_id, child_id, score AS fused_score, CAST(row_number() OVER
 def fine_to_coarse(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     windows = chunking.line_windows(texts(spark, sf_dir))
-    fine = windows.select((F.col("doc_id") * 100000 + F.col("window_idx")).alias("doc_id"), F.col("doc_id").alias("parent_id"), "text")
+    fine = windows.select((F.col("doc_id") * F.lit(10_000_000).cast("long") + F.col("window_idx")).alias("doc_id"), F.col("doc_id").alias("parent_id"), "text")
     leg = lambda index, asked, n: R.sparse_leg(index, asked, n).select("query_id", "doc_id", F.col("rank").alias("fused_rank"), F.col("score").alias("fused_score"))
     return R.fine_to_coarse(fine, docs, items(spark, sf_dir), K, leg).select("query_id", "doc_id", "child_id", "fused_score", "fused_rank")
 
