@@ -97,6 +97,8 @@ def test_evaluation(spark):
     refs = spark.createDataFrame([("1",), ("9",), ("9",), (None,), ("",)], "ref string")
     assert V.dangling(refs, "ref", targets, "query_id").first()["n"] == 4
     assert "| 3 |" in V.report("Recall", V.recall(ranks))
+    said = spark.createDataFrame([(["f", "g", "h"], ["f"], ["f", "g"])], "named array<string>, retrieved array<string>, package array<string>")
+    assert tuple(V.unknown_identifiers(said).first())[3:] == (["g", "h"], ["h"])
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
