@@ -31,6 +31,7 @@ if TaskContext.get() is not None and hasattr(ctypes.CDLL(None), "mallopt"):
 WORD = re.compile(r"[a-z0-9_\u0080-\U0010ffff]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEED = 20240607
+ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -144,9 +145,16 @@ def save_array(folder: str, name: str, array: np.ndarray) -> None:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a small intermediate table to the shared folder and read it back: lineage ends there, so lost executors cost nothing."""
-    folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    # Rows may be whole texts: fewer of them at a time on their way to Python and back. The session's own setting holds again afterwards.
+    usual = spark.conf.get(ROWS_AT_ONCE)
+    spark.conf.set(ROWS_AT_ONCE, min(3000, int(usual)) if int(usual) > 0 else 3000)
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(ROWS_AT_ONCE, usual)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def text_bytes(docs: DataFrame) -> tuple[int, int]:

@@ -34,7 +34,7 @@ NGRAM, THRESHOLD = 5, 0.5
 #: N-grams in a block of columns, bytes of text in a block of rows, documents in a tile of the last product.
 COLUMNS, ROWS, TILE = 1_200_000, 5_000_000, 3000
 #: Documents of an n-gram that isn't shuffled by columns; pairs held at once.
-HOT, PAIRS = 500_000, 4_000_000
+HOT, PAIRS = 500_000, 2_000_000
 #: Blocks of columns that the upper 16 bits of an n-gram tell apart; beyond them the next 8 bits split each block.
 SPLIT = 1 << 16
 BLOCKS = "bucket int, block long, docs binary, grams binary"
@@ -262,12 +262,12 @@ def _pairs_in_runs(item: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, thr
             at = starts[lengths == m]
             if m <= 1500:
                 i, j = np.triu_indices(m, 1)
-                step = max(1, 2_000_000 // len(i))
+                step = max(1, 1_000_000 // len(i))
                 for k in range(0, len(at), step):
                     runs = item[at[k : k + step, None] + np.arange(m)]
                     yield runs[:, i].ravel(), runs[:, j].ravel()
             else:
-                step = max(1, 2_000_000 // m)
+                step = max(1, 1_000_000 // m)
                 for s in at.tolist():
                     for k in range(s, s + m, step):
                         head = item[k : min(k + step, s + m)]
