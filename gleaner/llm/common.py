@@ -28,6 +28,15 @@ if TaskContext.get() is not None and hasattr(ctypes.CDLL(None), "mallopt"):
     ctypes.CDLL(None).mallopt(-3, 4 << 20)
     pa.set_memory_pool(pa.system_memory_pool())
 
+
+
+def give_back() -> None:
+    """Freed memory of this process goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 WORD = re.compile(r"[a-z0-9_\u0080-\U0010ffff]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEED = 20240607

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import seeded, words_of
+from .common import give_back, seeded, words_of
 
 #: Labelled documents of each of the three kinds (good, poor, toxic) that are learned from, at most.
 TRAIN = 1500
@@ -173,7 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model | None
     rows = texts.groupBy("id", "kind").agg(F.min("text").alias("text")).collect()
     for r in sorted(rows, key=lambda r: (r["id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["id"])):
         examples[r["kind"]].append(r["text"])
-    return learn(*examples, tuple(counted.get(k, 0) for k in range(3)))
+    model = learn(*examples, tuple(counted.get(k, 0) for k in range(3)))
+    rows = examples = None
+    give_back()  # the driver goes on to other work
+    return model
 
 
 def p_bad(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
