@@ -11,6 +11,9 @@ links (other documents at the threshold or above, copies included). `similar_set
 4. The same bound says that two similar sets share one of their rarest size - ceil(THRESHOLD * size) + 1 n-grams. The product over
    these columns alone, with pairs of too unequal sizes discarded, gives the candidates.
 5. Candidates are gathered in blocks of sets; the sparse product of a block's rows with their candidates' rows accumulates the exact overlaps.
+6. Where more than RUN sets have an n-gram among their rarest, their pairs aren't candidates: they would grow with the square of the sets. All sets that such n-grams
+   connect are a group, and a group is multiplied with itself, tile by tile: every pair of it is counted exactly, once and nowhere else, and
+   only each set's number of links and a spanning forest leave a tile.
 
 Documents shorter than n words have one n-gram, of all their words. Null texts and texts without words have no n-grams and
 no links. Rows without doc_id can't be named and are left out. Rows that agree in doc_id are one document: never linked with itself, in one class, and
@@ -35,6 +38,8 @@ NGRAM, THRESHOLD = 5, 0.5
 COLUMNS, ROWS, TILE = 1_200_000, 5_000_000, 3000
 #: Documents of an n-gram that isn't shuffled by columns; pairs held at once.
 HOT, PAIRS = 500_000, 2_000_000
+#: Sets with an n-gram among their rarest beyond which they are a group; sets, and bytes of n-grams, in a tile of a group.
+RUN, GROUP_TILE, GROUP_BYTES = 100, 2000, 4_000_000
 #: Blocks of columns that the upper 16 bits of an n-gram tell apart; beyond them the next 8 bits split each block.
 SPLIT = 1 << 16
 BLOCKS = "bucket int, block long, docs binary, grams binary"
@@ -223,18 +228,18 @@ def bounded_rows(threshold: float, parts: int = 1):
     return keep
 
 
-HEADS = np.dtype([("sig", "<i8"), ("size", "<i8")])
+HEADS = np.dtype([("sig", "<i8"), ("size", "<i8"), ("grp", "<i8")])
 
 
 def prefixes(sets: DataFrame, threshold: float, buckets: int) -> DataFrame:
-    """Blocks of the matrix that have each set's rarest n-grams only. N-grams in columns of its own are the rarest of all, and not here."""
+    """Blocks of the matrix that have each set's rarest n-grams only, with its group if it has one. N-grams in columns of its own are the rarest of all, and not here."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             heads = np.empty(batch.num_rows, HEADS)
-            heads["sig"], heads["size"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            heads["sig"], heads["size"], heads["grp"] = (batch.column(c).to_numpy() for c in (0, 1, 3))
             parts = []
             for size, g in zip(heads["size"].tolist(), batch.column(2).to_pylist()):
                 g = np.frombuffer(g, np.uint64)
@@ -249,35 +254,40 @@ def prefixes(sets: DataFrame, threshold: float, buckets: int) -> DataFrame:
                 out["grams"].append(every[at].tobytes())
             yield _batch(BLOCKS, **out)
 
-    return sets.select("sig", "size", "grams").mapInArrow(cut, BLOCKS)
+    return sets.select("sig", "size", "grams", "grp").mapInArrow(cut, BLOCKS)
 
 
-def _pairs_in_runs(item: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
-    """Codes i * len(sizes) + j of the pairs i < j within runs of `item`, sizes near enough; some millions at a time, each of these once."""
+def _connect(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels (each group's least position) after the links a, b are added."""
+    while len(a):
+        x, y = label[a], label[b]
+        differ = x != y
+        a, b = a[differ], b[differ]
+        np.minimum.at(label, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
+        while (label != (further := label[label])).any():
+            label = further
+    return label
+
+
+def _pairs_in_runs(item: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, groups: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """Codes i * len(sizes) + j of the pairs i < j within runs of `item`, sizes near enough, not of one group (0: of none); some millions at a time, each of these once."""
     starts = np.cumsum(lengths) - lengths
     n = len(sizes)
 
     def tiles() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for m in np.unique(lengths[lengths > 1]).tolist():
             at = starts[lengths == m]
-            if m <= 1500:
-                i, j = np.triu_indices(m, 1)
-                step = max(1, 1_000_000 // len(i))
-                for k in range(0, len(at), step):
-                    runs = item[at[k : k + step, None] + np.arange(m)]
-                    yield runs[:, i].ravel(), runs[:, j].ravel()
-            else:
-                step = max(1, 1_000_000 // m)
-                for s in at.tolist():
-                    for k in range(s, s + m, step):
-                        head = item[k : min(k + step, s + m)]
-                        yield np.repeat(head, s + m - k), np.tile(item[k : s + m], len(head))
+            i, j = np.triu_indices(m, 1)
+            step = max(1, 1_000_000 // len(i))
+            for k in range(0, len(at), step):
+                runs = item[at[k : k + step, None] + np.arange(m)]
+                yield runs[:, i].ravel(), runs[:, j].ravel()
 
     found, waiting = [], 0
     for a, b in tiles():
         a, b = np.minimum(a, b), np.maximum(a, b)
         sa, sb = sizes[a], sizes[b]
-        fits = (a != b) & (np.minimum(sa, sb) >= threshold * np.maximum(sa, sb) - EPS)
+        fits = (a != b) & (np.minimum(sa, sb) >= threshold * np.maximum(sa, sb) - EPS) & ((groups[a] != groups[b]) | (groups[a] == 0))
         found.append(np.unique(a[fits] * n + b[fits]))
         waiting += len(found[-1])
         if waiting > PAIRS:
@@ -290,23 +300,46 @@ def _pairs_in_runs(item: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, thr
         yield np.unique(np.concatenate(found))
 
 
-def candidates(threshold: float):
+def _runs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of a block of columns, each once, and runs of them by n-gram with their lengths."""
+    heads, rows, grams, at = [], [], [], 0
+    for batch in batches:
+        for count, d, g in zip(*(batch.column(c).to_pylist() for c in ("block", "docs", "grams"))):
+            heads.append(np.frombuffer(d, HEADS, count))
+            rows.append(np.frombuffer(d, np.uint32, offset=count * HEADS.itemsize).astype(np.int64) + at)
+            grams.append(np.frombuffer(g, np.uint64))
+            at += count
+    heads, rows, grams = np.concatenate(heads), np.concatenate(rows), np.concatenate(grams)
+    _, first, of = np.unique(heads["sig"], return_index=True, return_inverse=True)
+    order = np.lexsort((of[rows], grams))
+    g = grams[order]
+    starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    return heads[first], of[rows[order]], np.diff(np.append(starts, len(g)))
+
+
+def _edges(sig: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(sig[label[at]])], ["a", "b"])
+
+
+def crowded(run: int):
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block of columns: a spanning forest of the sets that n-grams of more than `run` sets connect."""
+        heads, item, lengths = _runs(batches)
+        starts = np.cumsum(lengths) - lengths
+        many = lengths > run
+        inside = np.repeat(many, lengths)
+        yield _edges(heads["sig"], _connect(np.arange(len(heads)), item[inside], item[np.repeat(starts[many], lengths[many])]))
+
+    return connect
+
+
+def candidates(threshold: float, run: int):
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The product over a block of columns: pairs of sets with an overlap and sizes that allow the threshold."""
-        heads, rows, grams, at = [], [], [], 0
-        for batch in batches:
-            for count, d, g in zip(*(batch.column(c).to_pylist() for c in ("block", "docs", "grams"))):
-                heads.append(np.frombuffer(d, HEADS, count))
-                rows.append(np.frombuffer(d, np.uint32, offset=count * HEADS.itemsize).astype(np.int64) + at)
-                grams.append(np.frombuffer(g, np.uint64))
-                at += count
-        heads, rows, grams = np.concatenate(heads), np.concatenate(rows), np.concatenate(grams)
-        _, first, of = np.unique(heads["sig"], return_index=True, return_inverse=True)
-        heads = heads[first]
-        order = np.lexsort((of[rows], grams))
-        g, item = grams[order], of[rows[order]]
-        starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        for codes in _pairs_in_runs(item, np.diff(np.append(starts, len(g))), heads["size"], threshold):
+        """The product over a block of columns: pairs of sets with an overlap and sizes that allow the threshold, but for those within a group, in which n-grams of more than `run` sets have all of theirs."""
+        heads, item, lengths = _runs(batches)
+        few = lengths <= run
+        for codes in _pairs_in_runs(item[np.repeat(few, lengths)], lengths[few], heads["size"], heads["grp"], threshold):
             yield pa.RecordBatch.from_arrays([pa.array(heads["sig"][codes // len(heads)]), pa.array(heads["sig"][codes % len(heads)])], ["a", "b"])
 
     return product
@@ -356,8 +389,98 @@ def overlaps(threshold: float):
     return product
 
 
-def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links a, b, overlap, jaccard, copies_a, copies_b between different sets, named by signatures; sets sig, size, least (doc_id), copies; and members doc_id, sig. Only sets that may have a partner are here."""
+def _dense_overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlaps of all rows of one tile with all of another: frequent columns as a dense product, others by pairs of their rows."""
+    n, m = len(left), len(right)
+    row = np.concatenate((np.repeat(np.arange(n), [len(g) for g in left]), n + np.repeat(np.arange(m), [len(g) for g in right])))
+    _, column = np.unique(np.concatenate(left + right), return_inverse=True)
+    in_left = row < n
+    width = int(column.max()) + 1
+    f, h = np.bincount(column[in_left], minlength=width), np.bincount(column[~in_left], minlength=width)
+    out = np.zeros((n, m), np.float32)  # exact up to 2^24 n-grams
+    dense = np.flatnonzero(f * h * 200 > n * m)
+    place = np.full(width, -1)
+    place[dense] = np.arange(len(dense))
+    for k in range(0, len(dense), 1024):
+        at = np.flatnonzero((place[column] >= k) & (place[column] < k + 1024))
+        block = np.zeros((n + m, min(1024, len(dense) - k)), np.float32)
+        block[row[at], place[column[at]] - k] = 1
+        out += block[:n] @ block[n:].T
+    rest = (place[column] < 0) & (f * h > 0)[column]
+    order = np.lexsort((row[rest], column[rest]))
+    row, column = row[rest][order], column[rest][order]
+    sparse = np.unique(column)
+    start, f, h = np.searchsorted(column, sparse), f[sparse], h[sparse]
+    pairs = np.cumsum(f * h)
+    at = 0
+    while at < len(sparse):  # some million pairs at a time
+        end = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + 1_000_000, "right")))
+        of = np.repeat(np.arange(at, end), (f * h)[at:end])
+        k = np.arange(len(of)) - np.repeat(np.cumsum((f * h)[at:end]) - (f * h)[at:end], (f * h)[at:end])
+        np.add.at(out, (row[start[of] + k // h[of]], row[start[of] + f[of] + k % h[of]] - n), 1)
+        at = end
+    return out
+
+
+DEGREES = "sig long, n long, a long, b long"
+
+
+def within_groups(threshold: float, expand: bool):
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two tiles of a group, or one with itself: the links between them, or each set's number of links to documents and a spanning forest."""
+        part = pa.Table.from_batches(list(batches))
+        sig, size, copies, tile = (part.column(c).to_numpy() for c in ("sig", "size", "copies", "tile"))
+        grams = [np.frombuffer(g, np.uint64) for g in part.column("grams").to_pylist()]
+        order = np.argsort(tile, kind="stable")
+        sig, size, copies, tile, grams = sig[order], size[order], copies[order], tile[order], [grams[i] for i in order.tolist()]
+        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        n, to = int((tile == i).sum()), int((tile == i).sum()) if i != j else 0
+        if not n or to == len(sig):
+            return
+        overlap = _dense_overlaps(grams[:n], grams[to:])
+        degree, label = np.zeros(len(sig), np.int64), np.arange(len(sig))
+        step = max(1, 500_000 // (len(sig) - to))
+        for k in range(0, n, step):
+            both = overlap[k : k + step].astype(np.int64)
+            union = size[k : min(k + step, n), None] + size[None, to:] - both
+            fits = (both > 0) & (both >= threshold * union - EPS)
+            if i == j:
+                fits &= np.arange(k, k + len(both))[:, None] < np.arange(n)
+            a, b = np.nonzero(fits)
+            if expand:
+                x, y, o, u = a + k, b + to, both[a, b], union[a, b]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (sig[x], sig[y], o, o / u, copies[x], copies[y])], [c.split()[0] for c in LINKS.split(", ")])
+                continue
+            degree[k : k + len(both)] += fits @ copies[to:]
+            degree[to:] += copies[k : k + len(both)] @ fits
+            label = _connect(label, a + k, b + to)
+        if not expand:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (sig, degree, sig, sig[label])], [c.split()[0] for c in DEGREES.split(", ")])
+
+    return product
+
+
+def _groups(sets: DataFrame, threshold: float, buckets: int) -> DataFrame | None:
+    """sig, grp of the sets in groups, where there are any."""
+    run = RUN
+    edges = materialise(prefixes(sets.withColumn("grp", F.lit(0).cast("long")), threshold, buckets).groupBy("bucket").applyInArrow(crowded(run), "a long, b long"), "crowded")
+    if edges.isEmpty():
+        return None
+    # 0 stands for no group; a set of that signature has a name of its own as a group.
+    return materialise(components(edges).select(F.col("doc").alias("sig"), F.when(F.col("grp") == 0, F.lit(1)).otherwise(F.col("grp")).alias("grp")), "groups")
+
+
+def _tiles(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """The sets of groups, once for each pair of tiles i <= j of its group that has its own one."""
+    held = sets.join(groups, "sig")
+    many = held.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP_TILE, F.sum(F.octet_length("grams")) / GROUP_BYTES)).cast("int").alias("tiles"))
+    placed = held.join(many, "grp").withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    return placed.select("grp", "sig", "size", "copies", "grams", "tile", other).select("grp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "sig", "size", "copies", "grams", "tile")
+
+
+def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame | None, DataFrame, DataFrame]:
+    """Links between different sets that aren't of one group; the tiles of the groups, if there are any; sets and members."""
     count, size = text_bytes(docs)
     buckets = buckets_for(size / 6, COLUMNS)
     back = incidence(docs, n, buckets, hot_grams(docs, n, count, size)).groupBy("bucket").applyInArrow(shared_columns, SHARED)
@@ -367,7 +490,10 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     # Equal sets have equal blobs, so which one stays doesn't matter; tasks keep one of each before they shuffle.
     once = every.groupBy("sig").agg(F.first("size").alias("size"), F.first("grams").alias("grams"))
     sets = materialise(once.join(held, "sig"), "sets")
-    pairs = materialise(prefixes(sets, threshold, max(6, buckets // 8)).groupBy("bucket").applyInArrow(candidates(threshold), "a long, b long").distinct(), "candidates")
+    blocks = max(6, buckets // 8)
+    groups = _groups(sets, threshold, blocks)
+    grouped = sets.withColumn("grp", F.lit(0).cast("long")) if groups is None else sets.join(groups, "sig", "left").withColumn("grp", F.coalesce("grp", F.lit(0)))
+    pairs = materialise(prefixes(grouped, threshold, blocks).groupBy("bucket").applyInArrow(candidates(threshold, RUN), "a long, b long").distinct(), "candidates")
     # Near copies mostly share their least neighbour, so a block around it has most of their pairs, and their sets once.
     centre = pairs.groupBy("b").agg(F.min("a").alias("least")).select(F.col("b").alias("a"), "least")
     blocked = pairs.join(centre, "a", "left").withColumn("centre", F.coalesce("least", "a")).drop("least")
@@ -381,7 +507,26 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     rows = sets.select(F.col("sig").alias("s_sig"), F.col("size").alias("s_size"), F.col("copies").alias("s_copies"), F.col("grams").alias("s_grams")).hint("merge")
     placed = wanted.join(rows, "s_sig").select(F.col("centre").alias("s_centre"), F.col("i").alias("s_i"), F.col("j").alias("s_j"), "s_sig", "s_size", "s_copies", "s_grams")
     links = tiled.groupBy("centre", "i", "j").cogroup(placed.groupBy("s_centre", "s_i", "s_j")).applyInArrow(overlaps(threshold), LINKS)
-    return materialise(links, "links"), sets.select("sig", "size", "least", "copies"), members
+    return materialise(links, "links"), None if groups is None else _tiles(sets, groups), sets.select("sig", "size", "least", "copies"), members
+
+
+def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links a, b, overlap, jaccard, copies_a, copies_b between different sets, named by signatures; sets sig, size, least (doc_id), copies; and members doc_id, sig. Only sets that may have a partner are here. Links within groups are made as they are read."""
+    links, tiles, sets, members = _linked(docs, n, threshold)
+    if tiles is not None:
+        links = links.unionByName(tiles.groupBy("grp", "i", "j").applyInArrow(within_groups(threshold, True), LINKS))
+    return links, sets, members
+
+
+def linked_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """sig, n (documents with other sets that it is linked to); edges a, b that connect what links connect; sets and members as in `similar_sets`. No row for each link of a group is made."""
+    links, tiles, sets, members = _linked(docs, n, threshold)
+    ends = links.select(F.col("a").alias("sig"), F.col("copies_b").alias("n")).unionByName(links.select(F.col("b").alias("sig"), F.col("copies_a").alias("n")))
+    edges = links.select("a", "b")
+    if tiles is not None:
+        within = materialise(tiles.groupBy("grp", "i", "j").applyInArrow(within_groups(threshold, False), DEGREES), "within-groups")
+        ends, edges = ends.unionByName(within.select("sig", "n")), edges.unionByName(within.select("a", "b").filter("a <> b"))
+    return ends.groupBy("sig").agg(F.sum("n").alias("n")), edges, sets, members
 
 
 def classes(links: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
@@ -394,11 +539,9 @@ def classes(links: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    links, sets, members = similar_sets(docs, n, threshold)
-    ends = links.select(F.col("a").alias("sig"), F.col("copies_b").alias("n")).unionByName(links.select(F.col("b").alias("sig"), F.col("copies_a").alias("n")))
-    degree = ends.groupBy("sig").agg(F.sum("n").alias("n"))
+    degree, edges, sets, members = linked_sets(docs, n, threshold)
     counted = sets.join(degree, "sig", "left").select("sig", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links")).filter("links > 0")
-    placed = classes(links, sets, members).join(counted, "sig")
+    placed = classes(edges, sets, members).join(counted, "sig")
     return placed.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("copies").alias("copies"), F.sum("links").alias("links"))
 
 
@@ -422,7 +565,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def without_near_copies(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, of each class only the one with the least doc_id. Rows that agree in doc_id are one document. Rows without doc_id stay. Columns are carried whatever their names."""
-    gone = classes(*similar_sets(docs, n, threshold)).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone"))
+    gone = classes(*linked_sets(docs, n, threshold)[1:]).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
 
 

@@ -120,3 +120,34 @@ def test_the_registered_query(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["class_id"], r["copies"], r["links"]) for r in registry.op4_ngram_jaccard_join(spark, str(tmp_path)).collect()}
     assert got == brute_classes(rows, 5, 0.5)
+
+
+@pytest.mark.parametrize(("run", "tile", "size"), [(3, 2000, 4_000_000), (2, 5, 4_000_000), (6, 2000, 2000)])
+def test_groups_of_near_copies_equal_brute_force(spark, monkeypatch, run, tile, size):
+    """Sets that share crowded n-grams are multiplied tile by tile; others, and pairs across groups, are candidates as before."""
+    for name, value in (("RUN", run), ("GROUP_TILE", tile), ("GROUP_BYTES", size)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert found(docs) == brute_classes(rows, 5, 0.5)
+    links, _, members = jaccard.similar_sets(docs)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["sig"], []).append(r["doc_id"])
+    want = brute(rows, 5, 0.5)
+    got = [((min(a, b), max(a, b)), r["overlap"], r["copies_a"] * r["copies_b"]) for r in links.collect() for a in of[r["a"]] for b in of[r["b"]]]
+    assert len({p for p, *_ in got}) == len(got) and all(want[p] == n for p, n, _ in got)
+    assert {p for p, *_ in got} | {p for ids in of.values() for p in itertools.combinations(sorted(ids), 2)} == set(want)
+
+
+def test_near_copies_of_one_text_are_no_rows_for_each_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        words = [f"w{k}" for k in range(100)]
+        words[rng.randrange(100)] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    sizes, write = {}, jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: sizes.setdefault(name, []).append(write(df, name)) or sizes[name][-1])
+    assert found(spark.createDataFrame(rows, SCHEMA).repartition(3)) == {i: (0, 1, 299) for i in range(300)}
+    assert all(df.count() <= 3000 for dfs in sizes.values() for df in dfs)
