@@ -92,17 +92,17 @@ class Words:
         self.data, self.offsets = data, offsets
 
 
-def words_of(texts: pa.Array, most_bytes: int = 1_500_000) -> Iterator[tuple[int, int, Words]]:
+def words_of(texts: pa.Array, most_bytes: int = 400_000) -> Iterator[tuple[int, int, Words]]:
     """(first, end, Words) over documents first:end of an Arrow string column, some MB at a time; a longer document comes alone."""
     texts = texts.cast(pa.large_string())
     if len(texts) == 0:
         return
-    texts = pc.fill_null(texts, "") if texts.null_count else texts
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     first = 0
     while first < len(texts):
         end = max(first + 1, int(np.searchsorted(ends, ends[first] + most_bytes, "right")) - 1)
-        part = pc.utf8_lower(texts.slice(first, end - first))  # a part at a time: no copy of the whole batch
+        part = texts.slice(first, end - first)  # a part at a time: no copy of the whole batch
+        part = pc.utf8_lower(pc.fill_null(part, "") if part.null_count else part)
         _, offset_buffer, data_buffer = part.buffers()
         offsets = np.frombuffer(offset_buffer, np.int64)[part.offset : part.offset + len(part) + 1]
         data = np.frombuffer(data_buffer, np.uint8) if data_buffer else np.zeros(0, np.uint8)

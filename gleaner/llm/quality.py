@@ -70,9 +70,9 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
 def features(texts: pa.Array, dictionaries: tuple[bytes, ...]) -> np.ndarray:
     """A row for each text: normalised difference raw, that of all words, largest one and sum of the word windows, log of the compression ratio."""
     raw_good, raw_bad, word_good, word_bad = compressors(dictionaries)
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_string())
     out = np.zeros((len(texts), 5))
-    raw = texts.cast(pa.large_binary())
+    raw = texts.view(pa.large_binary())
     for first, end, words in words_of(texts):
         for i in range(first, end):
             data = raw[i].as_py()
@@ -184,7 +184,7 @@ def p_bad(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]
     p, told = np.full(len(texts), 0.5), np.zeros(len(texts), bool)
     if model is not None and len(texts):
         x = (features(texts, model.dictionaries) - model.centre) / model.spread
-        told = np.array([bool(n) for n in pc.binary_length(texts).to_pylist()], bool)
+        told = pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False)
         odds = sum(np.exp(np.clip(w[0] + x[told] @ w[1:], -30, 30)) for w in model.weights)
         p[told] = odds / (1 + odds)
     return p, told & (p > REJECT)

@@ -1,9 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from gleaner.llm.quality import accepted_documents, classify, features
+from gleaner.llm.quality import accepted_documents, classify, features, learn, p_bad
 
 DOCS, LABELS = "doc_id long, text string", "doc_id long, quality int, toxic int"
 
@@ -84,3 +85,17 @@ def test_windowed_sizes_equal_compressing_by_hand():
             continue
         good, bad = (sum(size(d, 3, data[at : at + 2048]) for at in range(0, len(data), 2048)) for d in dictionaries[:2])
         assert abs(row[0] - (good - bad) / max(good, bad)) < 0.02
+
+
+def test_scoring_a_batch_takes_memory_for_a_part_of_it():
+    """A worker has its batch, and what it needs besides doesn't grow with that."""
+    model = learn(*([f"{kind} text {i} of words" for i in range(60)] for kind in ("good", "poor", "toxic")))
+    texts = pa.array([None] + [f"word{i} " * 250 for i in range(4000)], pa.large_string())
+    p_bad(texts.slice(0, 10), model)
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    p, rejected = p_bad(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert p[0] == 0.5 and not rejected[0] and len(p) == 4001
+    assert peak < 30_000_000 and pa.total_allocated_bytes() - before < 1_000_000
