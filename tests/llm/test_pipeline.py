@@ -5,7 +5,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from gleaner.llm import registry
+from gleaner.llm import jaccard, registry
 from gleaner.llm.common import WORD
 from gleaner.llm.decontaminate import SCORE
 from gleaner.llm.jaccard import NGRAM, THRESHOLD
@@ -70,6 +70,20 @@ def test_every_stage_of_the_pipeline(spark, folder, tmp_path):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()) == sorted(ids[4][1])
 
 
+def test_the_near_copies_stage_makes_no_row_for_each_pair(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        words = [f"w{k}" for k in range(100)]
+        words[rng.randrange(100)] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    made, write = [], jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: made.append(write(df, name)) or made[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert [r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()] == [0]
+    assert made and max(df.count() for df in made) <= 3000  # of 44,850 pairs
+
+
 def test_one_query_for_each_operator():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
