@@ -6,7 +6,8 @@ rounded up, plus one for every RANKED documents. Sizes are numbers of documents.
 1. Links: a document's anchors are the least hash of its word n-grams in every run of PASSAGE words, so all documents that share such a passage
    share an anchor, and the longer the text, the more it has. Shorter documents, and near copies with many edits, are held by the SKETCH least hashes
    of the whole text besides. All documents that have a hash are linked with each other, once for
-   each hash. Links aren't written out: a hash with m documents has m rows, however many share it.
+   each hash. Links aren't written out: a hash with m documents has m rows, however many share it. Hashes with the same
+   documents, as the anchors of one passage mostly are, are one with their number as weight (told apart by 128 bits of their documents).
 2. Documents are dealt to shards evenly, in a seeded order.
 3. In each round, documents are counted by hash and shard, at most SHARDS rows for each hash, and a document's links to a shard are the sum over
    its hashes, without itself. In each of ROUNDS rounds a half of the documents, another one each time, wishes to be where most of its links' weight is, if that is more than
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ngrams, seeded, sliding_min, words_of
+from .common import SEED, materialise, ngrams, seeded, sliding_min, words_of
 
 SHARDS, SLACK, ROUNDS, SKETCH, NGRAM, PASSAGE = 16, 0.05, 8, 8, 5, 50
 #: Documents that are ranked together when they are dealt.
@@ -65,6 +66,14 @@ def holders(docs: DataFrame, n: int = NGRAM, size: int = SKETCH, passage: int =
     return sketches.join(several, F.col("hash") == F.col("h")).select("doc", "hash")
 
 
+def weighted_holders(docs: DataFrame) -> DataFrame:
+    """doc, hash, weight: of the hashes that the same documents have only the least, with their number."""
+    held = materialise(holders(docs), "holders")
+    same = held.groupBy("hash").agg(F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(SEED))).alias("y"), F.count(F.lit(1)).alias("m"))
+    one = same.groupBy("x", "y", "m").agg(F.min("hash").alias("h"), F.count(F.lit(1)).alias("weight")).select("h", "weight")
+    return held.join(one, F.col("hash") == F.col("h")).select("doc", "hash", "weight")
+
+
 def links(docs: DataFrame, n: int = NGRAM, size: int = SKETCH) -> DataFrame:
     """a, b, weight of links between neighbours by doc_id alone, in both directions: a sample to count cut links by, which has m - 1 for a hash with m documents."""
     follows = F.lead("doc").over(Window.partitionBy("hash").orderBy("doc"))
@@ -98,16 +107,16 @@ def _first(wishes: DataFrame) -> DataFrame:
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
-    held = materialise(holders(docs), "holders")
+    held = materialise(weighted_holders(docs), "weighted")
     ids = docs.select(F.col("doc_id").cast("long").alias("d")).filter("d is not null").distinct().count()
     labels = materialise(deal(docs, shards, ids), "shards")
     most = int(np.ceil(ids * (1 + slack) / shards))
     spark = docs.sparkSession
     for k in range(rounds):
         sizes = {r["shard"]: r["count"] for r in labels.groupBy("shard").count().collect()}
-        placed = held.join(labels, "doc").select(F.col("doc").alias("a"), "hash", "shard")
+        placed = held.join(labels, "doc").select(F.col("doc").alias("a"), "hash", "weight", "shard")
         votes = placed.groupBy("hash", F.col("shard").alias("there")).agg(F.count(F.lit(1)).alias("n"))
-        others = placed.join(votes, "hash").select("a", "there", (F.col("n") - (F.col("there") == F.col("shard")).cast("long")).alias("n")).filter("n > 0")
+        others = placed.join(votes, "hash").select("a", "there", (F.col("weight") * (F.col("n") - (F.col("there") == F.col("shard")).cast("long"))).alias("n")).filter("n > 0")
         pull = others.groupBy("a", "there").agg(F.sum("n").alias("w"))
         best = pull.groupBy("a").agg(F.max_by(F.struct("there", "w"), F.struct("w", -F.col("there"))).alias("best"), F.collect_list(F.struct("there", "w")).alias("all"))
         own = F.aggregate(F.filter("all", lambda x: x["there"] == F.col("shard")), F.lit(0).cast("long"), lambda s, x: s + x["w"])

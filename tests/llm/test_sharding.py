@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+from gleaner.llm import sharding
 from gleaner.llm.common import seeded
 from gleaner.llm.sharding import _first, assign_shards, deal, holders, links, sharded_documents
 
@@ -76,3 +77,24 @@ def test_a_large_group_meets(spark):
     got = {r["doc_id"]: r["shard"] for r in assign_shards(spark.createDataFrame(rows, SCHEMA).repartition(3), 4, 1.0).collect()}
     assert len(got) == 400 and max(Counter(got.values()).values()) <= 201
     assert max(Counter(got[i] for i in range(0, 400, 4)).values()) >= 90
+
+
+def test_rounds_read_one_row_for_each_document_and_set_of_holders(spark, monkeypatch):
+    """Brute force over the hashes: as many links as before between any two documents, from fewer rows."""
+    passages = [" ".join(f"p{g}_{k}" for k in range(300)) for g in range(3)]
+    rows = [(i, f"{passages[i % 3]} own {i} " + (passages[(i + 1) % 3] if i % 4 == 0 else "")) for i in range(24)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    made, write = {}, sharding.materialise
+    monkeypatch.setattr(sharding, "materialise", lambda df, name: made.setdefault(name, write(df, name)))
+    assert assign_shards(docs, 4, rounds=0).count() == 24
+    by = {}
+    for r in made["holders"].collect():
+        by.setdefault(r["hash"], set()).add(r["doc"])
+    want = Counter(frozenset(v) for v in by.values())
+    read = [df for name, df in made.items() if name not in ("anchors", "shards")][-1].collect()
+    got, weight = {}, {}
+    for r in read:
+        got.setdefault(r["hash"], set()).add(r["doc"])
+        weight[r["hash"]] = r.asDict().get("weight", 1)
+    assert len(read) == sum(map(len, want)) < sum(map(len, by.values())) / 2
+    assert {frozenset(v): weight[h] for h, v in got.items()} == want
