@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +29,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-_LEXICAL, _CAMEL = re.compile(T.LEXICAL, re.A), re.compile(T.CAMEL)
-_MEMO = 1_000_000
+LEXICAL, _CAMEL = re.compile(T.LEXICAL, re.A), re.compile(T.CAMEL)
+#: Tokens that a worker remembers the terms of; texts cut and postings passed on at a time.
+MEMO, AT_ONCE, MOST = 200_000, 256, 50_000
 
 
 def terms_of(token: str) -> tuple[str, ...]:
@@ -40,36 +43,97 @@ def terms_of(token: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(filter(None, out)))
 
 
+#: What isn't part of any token becomes a blank; dots are looked at later. UTF-8 beyond ASCII is no part of tokens.
+_BLANKS = bytes(c if c < 128 and (chr(c).isalnum() or c in b"_.") else 32 for c in range(256))
+
+
+def pieces(text: bytes | None) -> list[bytes]:
+    """What stands between blanks; several lexical tokens where dots are doubled."""
+    return text.translate(_BLANKS).split() if text else []
+
+
+def piece_terms(piece: bytes) -> tuple[str, ...]:
+    """Terms of all lexical tokens in a piece; plain words and numbers are their own only term."""
+    token = piece.strip(b".").decode()
+    if token.isdigit() or (token.isalpha() and token.islower()):
+        return (token,)
+    if token.isalpha() and (token.isupper() or token[1:].islower()):
+        return (token.lower(),)
+    return tuple(t for lexical in LEXICAL.findall(token) for t in terms_of(lexical))
+
+
+class Coder(dict):
+    """A number for each piece of text that a worker met. `of` gives the entries that matter of a piece's terms: places in a vocabulary, hashed dimensions."""
+
+    def __init__(self, of: Callable[[tuple[str, ...]], Iterable[int]]):
+        self.of = of
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self._new: tuple[list, list, list] = [], [], []
+        self._sizes = self._counts = self._entries = np.zeros(0, np.int64)
+
+    def __missing__(self, piece: bytes) -> int:
+        terms = piece_terms(piece)
+        found = list(self.of(terms))
+        self._new[0].append(len(terms))
+        self._new[1].append(len(found))
+        self._new[2].extend(found)
+        self[piece] = code = len(self)
+        return code
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some texts: the number of terms of each; and row and entry of every entry, as often as it occurs."""
+        if len(self) > MEMO:
+            self._forget()
+        cut = [pieces(t) for t in texts.cast(pa.binary()).to_pylist()]
+        row = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+        code = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64, len(row))
+        self._sizes, self._counts, self._entries = (np.concatenate((old, np.array(new, np.int64))) for old, new in zip((self._sizes, self._counts, self._entries), self._new))
+        self._new = [], [], []
+        length = np.bincount(row, self._sizes[code], len(cut)).astype(np.int64)
+        some = self._counts[code] > 0
+        row, code = row[some], code[some]
+        n = self._counts[code]
+        first = (np.cumsum(self._counts) - self._counts)[code]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return length, np.repeat(row, n), self._entries[np.repeat(first, n) + within]
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unique: bool = True) -> DataFrame:
     """id, term, tf by the identifier-aware tokenizer.
 
-    Whole documents are counted where they are read, in Arrow batches, so nothing is shuffled; a worker takes each distinct token apart once. `T.tokens` gives the same in the JVM,
+    Whole documents are counted where they are read, in Arrow batches, so nothing is shuffled; a worker takes each distinct piece of text apart once. `T.tokens` gives the same in the JVM,
     but its nested functions over arrays take more than ten times as long. With unique=False, rows that agree in id are added up, which shuffles.
     """
 
+    def rows(ids: pa.Array, row: list, terms: list, tf: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(terms, pa.string()), pa.array(tf, pa.int64())], [id_col, "term", "tf"])
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[str, ...]] = {}
+        memo: dict[bytes, tuple[str, ...]] = {}
         for batch in batches:
-            row, terms, tf = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                own: dict[str, int] = {}
-                for token, n in Counter(_LEXICAL.findall(text)).items():
-                    found = memo.get(token)
-                    if found is None:
-                        if len(memo) >= _MEMO:
-                            memo.clear()
-                        found = memo[token] = terms_of(token)
-                    for term in found:
-                        own[term] = own.get(term, 0) + n
-                terms.extend(own.keys())
-                tf.extend(own.values())
-                row.extend([i] * len(own))
-                if len(terms) > 500_000:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(terms, pa.string()), pa.array(tf, pa.int64())], [id_col, "term", "tf"])
-                    row, terms, tf = [], [], []
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(terms, pa.string()), pa.array(tf, pa.int64())], [id_col, "term", "tf"])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                row, terms, tf = [], [], []
+                for i, text in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
+                    own: dict[str, int] = {}
+                    for piece, n in Counter(pieces(text)).items():
+                        found = memo.get(piece)
+                        if found is None:
+                            if len(memo) >= MEMO:
+                                memo.clear()
+                            found = memo[piece] = piece_terms(piece)
+                        for term in found:
+                            own[term] = own.get(term, 0) + n
+                    terms.extend(own.keys())
+                    tf.extend(own.values())
+                    row.extend([i] * len(own))
+                    if len(terms) > MOST:
+                        yield rows(part.column(0), row, terms, tf)
+                        row, terms, tf = [], [], []
+                yield rows(part.column(0), row, terms, tf)
 
     narrow = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
     found = narrow.mapInArrow(count, f"{id_col} {dict(docs.dtypes)[id_col]}, term string, tf long")
