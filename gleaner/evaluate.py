@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.operators import scan
 
 GATE = 0.8
 
@@ -164,6 +166,8 @@ def top_each(candidates: DataFrame, n: int = 5) -> DataFrame:
 
 def wide_ranks(candidates: DataFrame, targets: DataFrame, points: DataFrame, top: int = 10) -> DataFrame:
     """query_id, first_rank, mentioned: the target's rank in a wide pool, and whether one of the first texts names its symbol (targets has symbol)."""
-    texts = candidates.filter(F.col("fused_rank") < top).join(points.select("doc_id", "text"), "doc_id").join(targets.select("query_id", "symbol").distinct(), "query_id")
+    candidates = candidates.persist(StorageLevel.MEMORY_AND_DISK)
+    first = candidates.filter(F.col("fused_rank") < top)
+    texts = first.join(scan.named(points.select("doc_id", "text"), first), "doc_id").join(targets.select("query_id", "symbol").distinct(), "query_id")
     named = texts.groupBy("query_id").agg(F.max(F.contains("text", "symbol")).alias("mentioned"))
     return target_ranks(candidates, targets).join(named, "query_id", "left").withColumn("mentioned", F.coalesce("mentioned", F.lit(False)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import norm
-from gleaner.operators import dense, represent, sparse
+from gleaner.operators import dense, represent, scan, sparse
 from gleaner.sources.store import FINE_SPACES, MODELS, parse_space
 
 #: From id, text to id, embedding; the flag tells queries from passages.
@@ -55,7 +55,7 @@ class Registry:
 
 
 def _hashed(texts: DataFrame, id_col: str, _: bool) -> DataFrame:
-    return dense.hashed_embeddings(sparse.postings(texts, id_col), id_col)
+    return scan.hashed_vectors(texts, id_col)
 
 
 HASHED = Embedder("hashed", dense.DIMS, _hashed)

@@ -6,11 +6,13 @@ import ast
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators.sparse import plain_unions, postings
+from gleaner.operators.scan import FEW
+from gleaner.operators.sparse import Coder, plain_unions, postings
 
 NUMBA = frozenset("cfunc guvectorize jit njit prange stencil vectorize".split())
 Imports = list[tuple[str, list[str]]]
@@ -66,8 +68,44 @@ def context_headers(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return with_imports.withColumn("context_header", F.array_join(lines, "\n")).drop("imports", "above", "below")
 
 
-def term_table(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", posts: DataFrame | None = None) -> DataFrame:
-    """id, term: the lexicon's (term) entries in each text, once each. Terms with a space or hyphen are searched as substrings; others must be tokens, which is an equi-join with the postings (`posts` where they are there already)."""
+def with_terms(docs: DataFrame, lexicon: DataFrame, name: str = "terms") -> DataFrame:
+    """Adds an array of the lexicon's (term) entries in each text, once each, longest first. Terms with a space or hyphen are searched as substrings; others must be
+    tokens. A lexicon of no more than FEW terms goes to the texts, so that nothing is shuffled; a larger one is joined with their postings."""
+    rows = lexicon.select(F.lower("term").alias("term")).filter("term is not null").distinct().limit(FEW + 1).collect()
+    if len(rows) > FEW:
+        found = docs.withColumn("_row", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+        terms = _joined_terms(found, lexicon, "_row").groupBy("_row").agg(_longest_first().alias(name))
+        return found.join(terms, "_row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>"))).drop("_row")
+    words = [r["term"] for r in rows]
+    phrases, single = [w for w in words if " " in w or "-" in w], {w: i for i, w in enumerate(words) if " " not in w and "-" not in w}
+    columns = docs.columns
+    at = columns.index("text")
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(lambda terms: [single[t] for t in terms if t in single])
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                texts = part.column(at).cast(pa.string())
+                out: list[set[str]] = [set() for _ in range(part.num_rows)]
+                _, row, entry = coder.read(texts)
+                for r, e in zip(row.tolist(), entry.tolist()):
+                    out[r].add(words[e])
+                for own, text in zip(out, texts.to_pylist() if phrases else ()):
+                    lower = (text or "").lower()
+                    own.update(p for p in phrases if p in lower)
+                out = [sorted(own, key=lambda t: (-len(t), t)) for own in out]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(pa.string()))], [*columns, name])
+
+    fields = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
+    return docs.mapInArrow(find, f"{fields}, {name} array<string>")
+
+
+def _longest_first() -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), "term"))), lambda x: x["term"])
+
+
+def _joined_terms(docs: DataFrame, lexicon: DataFrame, id_col: str, posts: DataFrame | None = None) -> DataFrame:
     plain_unions(docs.sparkSession)
     words = lexicon.select(F.lower("term").alias("term")).distinct()
     phrases, single = words.filter("term rlike '[ -]'"), words.filter("not term rlike '[ -]'")
@@ -76,10 +114,18 @@ def term_table(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", post
     return posts.select(id_col, "term").join(single, "term").select(id_col, "term").unionByName(by_phrase)
 
 
+def term_table(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", posts: DataFrame | None = None) -> DataFrame:
+    """id, term: the lexicon's entries in each text, as rows. With `posts` (postings that are there already) they are joined with these."""
+    if posts is not None:
+        return _joined_terms(docs, lexicon, id_col, posts)
+    return with_terms(docs.select(id_col, "text"), lexicon, "_terms").select(id_col, F.explode("_terms").alias("term"))
+
+
 def lexicon_terms(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", posts: DataFrame | None = None) -> DataFrame:
-    """id, terms: the same as one array for each id, longest first."""
-    in_order = F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), "term")))
-    return term_table(docs, lexicon, id_col, posts).groupBy(id_col).agg(F.transform(in_order, lambda x: x["term"]).alias("terms"))
+    """id, terms: the same as one array for each id that has any, longest first."""
+    if posts is None:
+        return with_terms(docs.select(id_col, "text"), lexicon).filter(F.size("terms") > 0).select(id_col, "terms")
+    return term_table(docs, lexicon, id_col, posts).groupBy(id_col).agg(_longest_first().alias("terms"))
 
 
 def symbol_table(chunks: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import context_text, lexical_overlap
+from gleaner.operators.scan import named
 from gleaner.operators.sparse import DIGITS, plain_unions, ranked
 
 CONSTANT, WIDTH = 60, 20
@@ -72,7 +74,8 @@ def rerank_with(candidates: DataFrame, queries: DataFrame, points: DataFrame, re
         return rerank(candidates, None, k)
     asked = queries.select("query_id", F.col("text").alias("_query"))
     theirs = points.select("doc_id", candidate_text(points.columns).alias("_candidate"))
-    joined = candidates.join(asked, "query_id").join(theirs, "doc_id", "left")
+    candidates = candidates.persist(StorageLevel.MEMORY_AND_DISK)
+    joined = candidates.join(asked, "query_id").join(named(theirs, candidates), "doc_id", "left")
     return rerank(joined, reranker.score(F.col("_query"), F.coalesce("_candidate", F.lit(""))), k).select(*candidates.columns)
 
 

@@ -6,6 +6,7 @@ Documents are the corpus and benchmark items the queries. All run over whole tab
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from gleaner import drivers
 from gleaner import evaluate as V
 from gleaner.functions import text as T
 from gleaner.functions.vectors import as_double, max_abs_diff, stable_u32
-from gleaner.operators import chunking, dense, embed, enrich, fusion, represent, sparse
+from gleaner.operators import chunking, dense, embed, enrich, fusion, represent, scan, sparse
 from gleaner.plans import ingest
 from gleaner.plans import retrieval as R
 from gleaner.sources import files, store
@@ -151,14 +152,12 @@ def stable_hash(spark, sf_dir):
 
 @query(f"WITH {DOC}, {ASK}, {_tfidf()} " + TOPK.format(scores="tfidf", k=K))
 def tfidf_topk(spark, sf_dir):
-    docs = texts(spark, sf_dir)
-    return sparse.ranked(sparse.tfidf_scores(sparse.postings(docs), R.query_postings(items(spark, sf_dir)), table(spark, sf_dir, "documents").count()), K)
+    return R.sparse_leg(_index(spark, sf_dir), items(spark, sf_dir), K)
 
 
 @query(f"WITH {DOC}, {ASK}, {OKAPI} " + TOPK.format(scores="okapi", k=K))
 def okapi_topk(spark, sf_dir):
-    docs = texts(spark, sf_dir)
-    return sparse.ranked(sparse.okapi_scores(sparse.postings(docs), R.query_postings(items(spark, sf_dir)), table(spark, sf_dir, "documents").count()), K)
+    return R.okapi_leg(_index(spark, sf_dir), items(spark, sf_dir), K)
 
 
 _PAIRS = "embeddings q CROSS JOIN embeddings d"
@@ -231,7 +230,8 @@ scored AS (SELECT query_id, doc_id, fused_rank, CASE WHEN len(q) > 0 THEN len(li
 SELECT query_id, doc_id, rerank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, fused_rank) - 1 AS INTEGER) AS fused_rank FROM scored""")
 def lexical_rerank(spark, sf_dir):
     asked, docs = items(spark, sf_dir), table(spark, sf_dir, "documents")
-    found = R.hybrid(_index(spark, sf_dir), asked, 20).join(asked.select("query_id", F.col("text").alias("query_text")), "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    best = R.hybrid(_index(spark, sf_dir), asked, 20).persist(StorageLevel.MEMORY_AND_DISK)
+    found = best.join(asked.select("query_id", F.col("text").alias("query_text")), "query_id").join(scan.named(docs.select("doc_id", "text"), best), "doc_id")
     return fusion.rerank(found, T.lexical_overlap(F.col("query_text"), F.col("text"))).select("query_id", "doc_id", F.element_at("leg_scores", "rerank").alias("rerank"), "fused_rank")
 
 
@@ -275,11 +275,11 @@ allowed AS (SELECT DISTINCT b.query_id, c.doc_id FROM best b JOIN found p ON p.d
 a1 AS (SELECT n.* FROM cn_all n SEMI JOIN allowed USING (query_id, doc_id)), a2 AS (SELECT n.* FROM cs n SEMI JOIN allowed USING (query_id, doc_id)),
 {_leg('c1', 'a1')}, {_leg('c2', 'a2')}, {_fused(['c1', 'c2'])} SELECT * FROM fused""")
 def two_leg_bridge(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    whole = R.build_index(docs)
-    terms = enrich.term_table(docs, _lexicon(spark, sf_dir), posts=whole.postings).persist(StorageLevel.MEMORY_AND_DISK)
-    papers, code = (whole.where(c) for c in (F.col("lang") == "en", F.col("lang") != "en"))
-    return R.two_leg(papers, code, items(spark, sf_dir), terms, K).select(*LONG)
+    docs = sparse.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    lexicon = _lexicon(spark, sf_dir)
+    sides = [docs.filter(c) for c in ("lang = 'en'", "lang <> 'en'")]
+    papers, code = (replace(R.build_index(d, dealt=True), points=enrich.with_terms(d, lexicon)) for d in sides)
+    return R.two_leg(papers, code, items(spark, sf_dir), "terms", K).select(*LONG)
 
 
 _WINDOWS = """
@@ -296,7 +296,7 @@ def fine_to_coarse(spark, sf_dir):
     windows = chunking.line_windows(texts(spark, sf_dir))
     fine = windows.select((F.col("doc_id") * F.lit(10_000_000).cast("long") + F.col("window_idx")).alias("doc_id"), F.col("doc_id").alias("parent_id"), "text")
     leg = lambda index, asked, n: R.sparse_leg(index, asked, n).select("query_id", "doc_id", F.col("rank").alias("fused_rank"), F.col("score").alias("fused_score"))
-    return R.fine_to_coarse(fine, docs, items(spark, sf_dir), K, leg).select("query_id", "doc_id", "child_id", "fused_score", "fused_rank")
+    return R.fine_to_coarse(fine, docs, items(spark, sf_dir), K, leg, dealt=True).select("query_id", "doc_id", "child_id", "fused_score", "fused_rank")
 
 
 @query("""WITH RECURSIVE edge AS (SELECT c_custkey AS src, n_nationkey + 1000000 AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_nationkey + 1000000, n_regionkey + 2000000 FROM nation),
@@ -422,7 +422,7 @@ def vector_diff(spark, sf_dir):
 
 @query(f"WITH {DOC}, n AS (SELECT doc_id, sum(tf) AS n FROM doc GROUP BY doc_id) SELECT quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, CAST(max(n) AS BIGINT) AS longest, count(*) FILTER (n > 512) AS over_512, count(*) FILTER (n > 450) AS over_450 FROM n")
 def token_percentiles(spark, sf_dir):
-    n = sparse.postings(texts(spark, sf_dir)).groupBy("doc_id").agg(F.sum("tf").alias("n"))
+    n = scan.lengths(texts(spark, sf_dir))
     p = F.percentile("n", F.array(F.lit(0.5), F.lit(0.9)))
     return n.agg(p.alias("p"), F.max("n").alias("longest"), F.count_if(F.col("n") > 512).alias("over_512"), F.count_if(F.col("n") > 450).alias("over_450")).select(F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), "longest", "over_512", "over_450")
 
@@ -524,22 +524,13 @@ _RANKS = "(SELECT q.query_id, min(f.fused_rank) AS first_rank FROM (SELECT DISTI
 
 
 def _targets(spark, sf_dir) -> DataFrame:
-    """A text that contains an item has all the words inside it between the same blanks, so its longest one is looked up before texts are compared. Items of fewer than three words are compared with every text."""
-    space = F.lit(r"\s+")
-    docs = texts(spark, sf_dir)
-    heads = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("head"), F.split("text", space).alias("w"))
-    inner = F.filter(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda x: x != "")
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
-    seeded = heads.withColumn("seed", longest)
-    long, short = seeded.filter("seed is not null"), seeded.filter("seed is null")
-    having = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", space))).alias("seed")).join(long.select("seed").distinct(), "seed", "left_semi")
-    found = having.join(long, "seed").filter(F.contains("text", "head")).select("query_id", "doc_id")
-    return found.unionByName(docs.join(short, F.contains("text", "head")).select("query_id", "doc_id"))
+    return scan.few(scan.containing(texts(spark, sf_dir), items(spark, sf_dir)))
 
 
-def _sparse_found(spark, sf_dir, leg: Callable) -> DataFrame:
-    found = leg(_index(spark, sf_dir), items(spark, sf_dir), 50)
-    return found.select("query_id", "doc_id", F.col("rank").alias("fused_rank"), F.col("score").alias("fused_score"))
+def _sparse_found(spark, sf_dir, *legs: Callable) -> list[DataFrame]:
+    """The 50 best by each leg; the items' terms are counted once."""
+    index, asked = _index(spark, sf_dir), items(spark, sf_dir)
+    return [leg(index, asked, 50).select("query_id", "doc_id", F.col("rank").alias("fused_rank"), F.col("score").alias("fused_score")) for leg in legs]
 
 
 _TF, _BM = (f"(SELECT query_id, doc_id, rank AS fused_rank FROM ({TOPK.format(scores=s, k=50)}))" for s in ("tfidf", "okapi"))
@@ -550,21 +541,21 @@ _BOTH = f"WITH {DOC}, {ASK}, {_tfidf()}, {OKAPI}, {_TARGETS}, ta AS {_RANKS.form
 SELECT coalesce(tier, 'all') AS tier, count(*) AS queries, avg(CASE WHEN first_rank < 3 THEN 1.0 ELSE 0.0 END) AS recall_at_3, avg(CASE WHEN first_rank < 5 THEN 1.0 ELSE 0.0 END) AS recall_at_5, avg(CASE WHEN first_rank < 10 THEN 1.0 ELSE 0.0 END) AS recall_at_10 FROM ta JOIN tier USING (query_id) GROUP BY ROLLUP (tier)""")
 def recall_by_tier(spark, sf_dir):
     tiers = items(spark, sf_dir).select("query_id", F.when(F.length("text") < 200, "short").otherwise("long").alias("tier"))
-    ranks = V.target_ranks(_sparse_found(spark, sf_dir, R.sparse_leg), _targets(spark, sf_dir)).join(tiers, "query_id")
+    ranks = V.target_ranks(*_sparse_found(spark, sf_dir, R.sparse_leg), _targets(spark, sf_dir)).join(tiers, "query_id")
     return V.recall(ranks, by="tier")
 
 
 @query(_BOTH + " SELECT query_id, CASE WHEN coalesce(ta.first_rank < 1, false) THEN 'regressed' ELSE 'recovered' END AS change FROM ta JOIN tb USING (query_id) WHERE coalesce(ta.first_rank < 1, false) <> coalesce(tb.first_rank < 1, false)")
 def version_compare(spark, sf_dir):
     targets = _targets(spark, sf_dir)
-    a, b = (V.target_ranks(_sparse_found(spark, sf_dir, leg), targets) for leg in (R.sparse_leg, R.okapi_leg))
+    a, b = (V.target_ranks(found, targets) for found in _sparse_found(spark, sf_dir, R.sparse_leg, R.okapi_leg))
     return V.compare(a, b, 1)
 
 
 @query(f"""WITH {DOC}, {ASK}, {_tfidf()}, {OKAPI}, a AS (SELECT * FROM {_TF} WHERE fused_rank < 5), b AS (SELECT * FROM {_BM} WHERE fused_rank < 5)
 SELECT query_id, CAST(min(CASE WHEN a.doc_id IS DISTINCT FROM b.doc_id THEN fused_rank END) AS INTEGER) AS first_difference, min(CASE WHEN a.doc_id IS DISTINCT FROM b.doc_id THEN fused_rank END) IS NULL AS equal FROM a FULL JOIN b USING (query_id, fused_rank) GROUP BY query_id""")
 def rank_parity(spark, sf_dir):
-    a, b = (_sparse_found(spark, sf_dir, leg) for leg in (R.sparse_leg, R.okapi_leg))
+    a, b = _sparse_found(spark, sf_dir, R.sparse_leg, R.okapi_leg)
     return V.parity(a, b, 5)
 
 
@@ -573,7 +564,7 @@ m AS (SELECT query_id, bool_or(contains(text, symbol)) AS mentioned FROM {_TF} J
 SELECT query_id, coalesce(CAST(first_rank AS INTEGER), -1) AS first_rank, coalesce(mentioned, false) AS mentioned FROM ta LEFT JOIN m USING (query_id)""")
 def wide_rank(spark, sf_dir):
     symbol = items(spark, sf_dir).select("query_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("symbol"))
-    return V.wide_ranks(_sparse_found(spark, sf_dir, R.sparse_leg), _targets(spark, sf_dir).join(symbol, "query_id"), table(spark, sf_dir, "documents")).withColumn("first_rank", F.coalesce("first_rank", F.lit(-1)))
+    return V.wide_ranks(*_sparse_found(spark, sf_dir, R.sparse_leg), _targets(spark, sf_dir).join(symbol, "query_id"), table(spark, sf_dir, "documents")).withColumn("first_rank", F.coalesce("first_rank", F.lit(-1)))
 
 
 @query("""WITH w AS (SELECT o_orderkey AS id, o_custkey % 50 AS lo, o_custkey % 50 + o_orderkey % 7 AS hi FROM orders), c AS (SELECT l_orderkey AS id, l_linenumber - 1 AS fused_rank, l_partkey % 50 AS a, l_partkey % 50 + l_linenumber AS b FROM lineitem)
@@ -618,7 +609,7 @@ def population_rate(spark, sf_dir):
 
 def _files(spark, sf_dir) -> DataFrame:
     body = F.concat(F.lit('"""Parts named '), "p_name", F.lit('."""\nimport math\nfrom os import path as p\n\n@njit\ndef price_'), F.col("p_partkey").cast("string"), F.lit("(x):\n    # the price\n    y = math.floor(x)\n    z = y + 1\n    if z:\n        y = size_of(\n            z\n        )\n    return y\n\nclass Part"), F.col("p_partkey").cast("string"), F.lit(":\n    kind = 1\n\n    def size_of(self):\n        return p.join('a')  # joined\n"))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("/home/src/shop/mod"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("source"))
+    return sparse.spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select(F.concat(F.lit("/home/src/shop/mod"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("source"))
 
 
 @query()
@@ -672,7 +663,7 @@ def _tree(spark, sf_dir, changed: bool = False) -> DataFrame:
     kind = F.col("p_partkey") % 4
     path = F.when(kind == 3, place("__init__.py")).otherwise(place("mod.py"))
     source = F.when(kind == 0, both).when(kind == 1, two).when(kind == 2, F.lit("def broken(:\n")).otherwise(F.concat(F.lit("from .mod import x"), key, F.lit("\n")))
-    tree = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), source.alias("source"))
+    tree = sparse.spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", path.alias("path"), source.alias("source"))
     if changed:
         tree = tree.filter("p_partkey % 7 <> 0").withColumn("source", F.when((F.col("p_partkey") % 5 == 0) & kind.isin(0, 1), F.concat("source", F.lit("\ndef added():\n    return 3\n"))).otherwise(F.col("source")))
     return tree.select("path", "source")
@@ -758,21 +749,21 @@ def indexability(spark, sf_dir):
 @query(f"""WITH {DOC}, {ASK}, {_tfidf()}, {OKAPI}, a AS (SELECT * FROM {_TF} WHERE fused_rank < 10), b AS (SELECT * FROM {_BM} WHERE fused_rank < 10)
 SELECT k, count(*) AS queries, count(*) FILTER (lowest IS NULL OR lowest >= k) AS equal FROM (SELECT query_id, min(CASE WHEN a.doc_id IS DISTINCT FROM b.doc_id THEN fused_rank END) AS lowest FROM a FULL JOIN b USING (query_id, fused_rank) GROUP BY query_id) CROSS JOIN (VALUES (3), (5), (10)) v(k) GROUP BY k""")
 def rank_parities(spark, sf_dir):
-    a, b = (_sparse_found(spark, sf_dir, leg) for leg in (R.sparse_leg, R.okapi_leg))
+    a, b = _sparse_found(spark, sf_dir, R.sparse_leg, R.okapi_leg)
     return V.parities(a, b)
 
 
 @query(f"""WITH {DOC}, {ASK}, {_tfidf()}, {OKAPI}, a AS (SELECT * FROM {_TF} WHERE fused_rank < 10), b AS (SELECT * FROM {_BM} WHERE fused_rank < 10)
 SELECT query_id, CAST(fused_rank AS INTEGER) AS fused_rank, a.doc_id AS left_id, b.doc_id AS right_id, a.doc_id IS NOT DISTINCT FROM b.doc_id AS same FROM a FULL JOIN b USING (query_id, fused_rank)""")
 def rank_diff(spark, sf_dir):
-    a, b = (_sparse_found(spark, sf_dir, leg) for leg in (R.sparse_leg, R.okapi_leg))
+    a, b = _sparse_found(spark, sf_dir, R.sparse_leg, R.okapi_leg)
     return V.rank_rows(a, b, 10)
 
 
 @query(f"""WITH {DOC}, {ASK}, {_tfidf()}, {OKAPI}, a AS (SELECT * FROM {_TF} WHERE fused_rank < 10), b AS (SELECT * FROM {_BM} WHERE fused_rank < 10), x AS (SELECT DISTINCT doc_id FROM a), y AS (SELECT DISTINCT doc_id FROM b)
 SELECT count(*) FILTER (x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL) AS both, count(*) FILTER (y.doc_id IS NULL) AS left_only, count(*) FILTER (x.doc_id IS NULL) AS right_only, count(*) FILTER (y.doc_id IS NULL OR x.doc_id IS NULL) = 0 AS equal FROM x FULL JOIN y USING (doc_id)""")
 def found_sets(spark, sf_dir):
-    a, b = (_sparse_found(spark, sf_dir, leg).filter("fused_rank < 10") for leg in (R.sparse_leg, R.okapi_leg))
+    a, b = (found.filter("fused_rank < 10") for found in _sparse_found(spark, sf_dir, R.sparse_leg, R.okapi_leg))
     return V.set_comparison(a, b, "doc_id")
 
 
