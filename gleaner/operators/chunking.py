@@ -1,12 +1,14 @@
-"""Chunkers: fixed lines and sections in the JVM; Python sources by their syntax tree, a file at a time, in Arrow batches."""
+"""Chunkers: sections in the JVM, fixed lines in Arrow batches; Python sources by their syntax tree, a file at a time, in Arrow batches."""
 
 from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize as lexer
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,15 +17,32 @@ from gleaner.functions import text as T
 
 FINE_MOST, FINE_LEAST, SECTION_TOKENS = 5, 3, 400
 CHUNK = "text string, qualname string, chunk_type string, line_start int, line_end int, source_file string, parent_class string, module string"
+#: Continued lines, and other ends of lines than newlines.
+_ODD = re.compile(r"[\\\r\f\v\x1c-\x1e\x85\u2028\u2029]")
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
 def line_chunks(docs: DataFrame, lines: int = 40, id_col: str = "doc_id") -> DataFrame:
-    """id, chunk_idx, line_start, line_end, text: every `lines` lines."""
-    parts = F.split("text", "\n")
-    starts = F.sequence(F.lit(0), F.size("parts") - 1, F.lit(lines))
-    cut = docs.select(id_col, parts.alias("parts")).select(id_col, "parts", F.posexplode(starts).alias("chunk_idx", "at"))
-    return cut.select(id_col, "chunk_idx", (F.col("at") + 1).alias("line_start"), F.least(F.col("at") + lines, F.size("parts")).alias("line_end"), F.array_join(F.slice("parts", F.col("at") + 1, F.lit(lines)), "\n").alias("text"))
+    """id, chunk_idx, line_start, line_end, text: every `lines` lines. A text is cut once, where it is read: its time grows with its length, not with the number of its chunks times that."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                row, at, ends, texts = [], [], [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    if text is None:
+                        continue
+                    own = text.split("\n")
+                    starts = range(0, len(own), lines)
+                    row += [i] * len(starts)
+                    at += starts
+                    ends += [min(s + lines, len(own)) for s in starts]
+                    texts += ["\n".join(own[s : s + lines]) for s in starts]
+                begins = np.array(at, np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(begins // lines), pa.array(begins + 1), pa.array(ends, pa.int32()), pa.array(texts, pa.string())], [id_col, "chunk_idx", "line_start", "line_end", "text"])
+
+    return docs.select(id_col, F.col("text").cast("string").alias("text")).mapInArrow(cut, f"{id_col} {dict(docs.dtypes)[id_col]}, chunk_idx int, line_start int, line_end int, text string")
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -165,7 +184,15 @@ def statement_ends(source: str) -> list[int]:
         return []
     spans = [(_start(s), s.end_lineno) for s in node.body]
     ends = [e for _, e in spans]
+    if "#" not in source:
+        return sorted(ends)
     header = max([node.lineno, *(n.end_lineno for n in ast.walk(node.args) if hasattr(n, "end_lineno")), *([node.returns.end_lineno] if node.returns else [])])
+    if not _ODD.search(source):
+        # Beyond the header, what is outside all statements is no part of a string: a line that begins with a hash is a comment.
+        for line, own in enumerate(source.split("\n"), 1):
+            if own.lstrip().startswith("#") and header < line <= node.end_lineno and not any(a <= line <= b for a, b in spans):
+                ends.append(line)
+        return sorted(ends)
     try:
         for token in lexer.generate_tokens(io.StringIO(source).readline):
             line = token.start[0]

@@ -130,12 +130,30 @@ def test_line_chunks_cut_a_text_once(spark):
     assert rows(got) == [(1, 0, 1, 2, "a\n"), (1, 1, 3, 4, "b\nc"), (1, 2, 5, 5, ""), (2, 0, 1, 1, ""), (4, 0, 1, 1, "x")]
 
 
-def test_comments_are_looked_for_where_there_may_be_any(monkeypatch):
+SOURCES = ["def f(x):\n    a = 1\n    return a\n", "def f(x):\n    a = 1\n    # c\n    return a  # d\n    # e\n", '    def f(\n        # arg\n        x,\n    ):\n        # b\n        y = """\n# no\n"""\n        # c\n        if y:\n            # in\n            z = 1\n    # out\n', "@d('#')\ndef f(x: '#'):\n\t# t\n\tpass\n#\n"]
+OTHERS = ["def f(): 'doc'\n", 'class A:\n    ("doc")\n    x = 1\n', "def f():\n    r'doc'; return 1\n", "x = {'a': 'b'}", "def f(:\n '''doc'''", "'a'", "f('a')\ndef g():\n    return 'x'\n", "def f(): \\\n 'doc'\n"]
+
+
+def test_statements_end_the_same_without_a_lexer(monkeypatch):
+    """A lexer is only asked where lines are continued or end in another way."""
     called = []
     real = chunking.lexer.generate_tokens
     monkeypatch.setattr(chunking.lexer, "generate_tokens", lambda r: called.append(1) or real(r))
-    assert chunking.statement_ends("def f(x):\n    a = 1\n    return a\n") == [2, 3] and not called
-    assert chunking.statement_ends("def f(x):\n    a = 1\n    # c\n    return a\n") == [2, 3, 4] and called
+    got = [chunking.statement_ends(s) for s in SOURCES]
+    assert not called
+    monkeypatch.setattr(chunking, "_ODD", chunking.re.compile(""))
+    assert got == [chunking.statement_ends(s) for s in SOURCES] and called and got[1] == [2, 3, 4, 5][: len(got[1])]
+
+
+def test_only_texts_that_may_have_a_docstring_are_parsed(monkeypatch):
+    got = [(represent.without_docstrings(s), represent.docstring(s)) for s in SOURCES + OTHERS]
+    parsed = []
+    real = represent.ast.parse
+    monkeypatch.setattr(represent.ast, "parse", lambda s: parsed.append(s) or real(s))
+    represent.docstring("def price(x):\n    # c\n    return p.join('a')\n")
+    assert not parsed
+    monkeypatch.setattr(represent, "_may_have_docstring", lambda _: True)
+    assert got == [(represent.without_docstrings(s), represent.docstring(s)) for s in SOURCES + OTHERS] and got[4][1] == "doc"
     assert represent.code_only("a = 1\nb = '#' # c\n") == "a = 1\nb = '#'"
 
 
